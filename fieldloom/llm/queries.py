@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import licenses, line_dedup, mixing, quality_rules, url_filter
+from fieldloom.llm import ann, licenses, line_dedup, mixing, packing, quality_rules, secrets, url_filter
 from fieldloom.llm.common import read
 
 
@@ -20,6 +21,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly")
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(read(spark, sf_dir, "pages"), url_filter.rules_table(spark))
 
@@ -29,13 +34,21 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read(spark, sf_dir, "embeddings"))
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_scan(read(spark, sf_dir, "documents"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = line_dedup.line_dedup(read(spark, sf_dir, "documents"))
     return x.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__dropped").alias("n_dropped"), F.length("text").cast("long").alias("kept_chars"), F.md5("text").alias("kept_md5"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op4_quality_rules, op6_url_filter, op7_mixing, op10_line_dedup)
+    f.__name__: f for f in (op1_license_scan, op4_quality_rules, op5_packing, op6_url_filter, op7_mixing, op8_nearest, op9_secret_scan, op10_line_dedup)
 }
 
 ORACLES: dict[str, str] = {}
