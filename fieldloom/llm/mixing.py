@@ -82,3 +82,12 @@ def mix_plan(docs: DataFrame, weights: list[float], id_col: str = "doc_id", text
     both = small.select(*columns).unionByName(big.select(*columns))
     copies = F.least(F.col("whole") + F.when(F.col("size") > 0, F.col("more")).otherwise(0), F.lit(int(epochs)))
     return both.withColumn("copies", copies).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def mix(docs: DataFrame, weights: list[float], id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **settings) -> DataFrame:
+    """The rows of docs, with all their columns, each as often as the mix takes it. Rows with equal id, source and size share the most copies any of them gets."""
+    plan = mix_plan(docs, weights, id_col, text_col, source_col, **settings)
+    plan = plan.groupBy("doc_id", "source", "size").agg(F.max("copies").alias("__copies")).where("__copies > 0")
+    plan = plan.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "__copies")
+    joined = docs.join(plan, docs[id_col].eqNullSafe(F.col("__id")) & docs[source_col].eqNullSafe(F.col("__source")) & (words(docs[text_col]) == F.col("__size")))
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)

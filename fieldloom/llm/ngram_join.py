@@ -217,3 +217,15 @@ def jaccard_join(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "
     known = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<long>")))
     out = rows.select("doc_id", "n_shingles", "node").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
     return out.join(known, ["node", "salt"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_copies", F.when(F.col("n_shingles") > 0, 1).otherwise(0)).cast("long").alias("n_copies"))
+
+
+def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose id is the smallest of their component; repeated rows stay once. An id is taken to stand for one text."""
+    x = jaccard_join(docs, n, percent, id_col, text_col)
+    stay = x.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__rows"))
+    stay = materialize(stay, "representatives")
+    kept = docs.join(stay, docs[id_col].cast("long").eqNullSafe(F.col("__id")))
+    once = kept.where("__rows = 1").select(*docs.columns)
+    if not stay.where("__rows > 1").limit(1).count():
+        return once
+    return once.unionByName(kept.where("__rows > 1").select(*docs.columns).dropDuplicates([id_col, text_col]))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import ann, licenses, line_dedup, mixing, ngram_join, packing, quality_rules, secrets, url_filter
+from fieldloom.llm import ann, brown_lm, licenses, line_dedup, mixing, ngram_join, packing, quality_rules, secrets, url_filter
 from fieldloom.llm.common import read
 
 
@@ -20,6 +20,10 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_join(read(spark, sf_dir, "documents"), n=3, percent=90)
 
 
+def op3_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown_lm.lm_scores(read(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = quality_rules.quality_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return x.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly")
@@ -52,7 +56,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op2_ngram_join, op4_quality_rules, op5_packing, op6_url_filter, op7_mixing, op8_nearest, op9_secret_scan, op10_line_dedup)
+    f.__name__: f for f in (op1_license_scan, op2_ngram_join, op3_brown_lm, op4_quality_rules, op5_packing, op6_url_filter, op7_mixing, op8_nearest, op9_secret_scan, op10_line_dedup)
 }
 
 ORACLES: dict[str, str] = {}
