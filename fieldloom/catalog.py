@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-FLAGSHIP = ""
+from fieldloom.plans import climate, domain, grids, networks, relational, series, tables, words  # noqa: F401  they register their queries
+from fieldloom.plans.registry import ORACLES, QUERIES
+
+FLAGSHIP = "monthly_order_trend"
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
