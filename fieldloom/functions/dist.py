@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _ERF = np.vectorize(math.erf, otypes=[float])
 _LGAMMA = np.vectorize(math.lgamma, otypes=[float])
@@ -80,12 +81,12 @@ def _t_cdf(t: float, df: float) -> float:
     return 0.5 + s * total / 2
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def two_sided_p(z: pd.Series) -> pd.Series:
     return pd.Series(2 * (1 - normal_cdf(np.abs(z.to_numpy(float)))))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def spi_value(total: pd.Series, zero_share: pd.Series, alpha: pd.Series, beta: pd.Series) -> pd.Series:
     """The normal quantile of a mixed distribution: a share of zeros, and a gamma distribution."""
     x, q, a, b = (s.to_numpy(float) for s in (total, zero_share, alpha, beta))
@@ -94,7 +95,7 @@ def spi_value(total: pd.Series, zero_share: pd.Series, alpha: pd.Series, beta: p
     return pd.Series(np.where(ok, normal_inverse(np.clip(h, 1e-6, 1 - 1e-6)), np.nan))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_975(df: pd.Series) -> pd.Series:
     known = {n: t_quantile(0.975, n) for n in df.dropna().unique() if n >= 1}
     return df.map(known)
