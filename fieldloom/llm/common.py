@@ -36,6 +36,33 @@ def materialize(df: DataFrame, name: str = "part") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables in the shared folder that an operator needs for a while only. keep() writes one; clear() deletes all.
+
+    keep() also lets Spark drop the shuffle files of what it wrote, which otherwise stay until the driver collects garbage.
+    """
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        spark = df.sparkSession
+        path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self.paths.append(path)
+        out = spark.read.schema(df.schema).parquet(path)
+        del df
+        spark.sparkContext._jvm.System.gc()
+        return out
+
+    def clear(self, spark: SparkSession) -> None:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for x in self.paths:
+            path = jvm.org.apache.hadoop.fs.Path(x)
+            path.getFileSystem(conf).delete(path, True)
+        self.paths = []
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

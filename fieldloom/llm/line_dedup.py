@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import materialize
+from fieldloom.llm.common import Scratch, materialize
 
 MIN_CHARS = 24
 #: Characters by which lengths are banded for the halves.
@@ -52,11 +52,12 @@ def _variants() -> F.Column:
 
 def line_drops(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id and drops (array of struct pos, h1: line number and hash) for each document that loses lines. docs: doc_id, text."""
+    scratch = Scratch()
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.length("line") >= min_chars)
     h1, h2 = F.xxhash64("line"), F.xxhash64(F.lit("second"), "line")
-    lines = materialize(lines.select("doc_id", "pos", h1.alias("h1"), h2.alias("h2"), *[k.alias(f"k{i}") for i, k in enumerate(_halves())]), "lines")
+    lines = scratch.keep(lines.select("doc_id", "pos", h1.alias("h1"), h2.alias("h2"), *[k.alias(f"k{i}") for i, k in enumerate(_halves())]), "lines")
     line = ["h1", "h2"]
-    distinct = materialize(lines.groupBy(*line, "k0", "k1", "k2", "k3").agg(F.min(_place()).alias("first"), F.count("*").alias("n")), "distinct-lines")
+    distinct = scratch.keep(lines.groupBy(*line, "k0", "k1", "k2", "k3").agg(F.min(_place()).alias("first"), F.count("*").alias("n")), "distinct-lines")
     keys = distinct.select(*line, "first", F.explode(F.array_compact(F.array("k0", "k1", "k2", "k3"))).alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
     near = keys.join(shared, "key", "left_semi").select(*line, "first").distinct()
@@ -65,10 +66,10 @@ def line_drops(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     found = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("at"))).select("doc_id", F.split("text", "\n").alias("all"), F.explode("wanted").alias("w"))
     found = found.select("w.h1", "w.h2", F.struct("doc_id", "w.pos").alias("first"), F.get("all", "w.pos").alias("line"))
     found = found.where((F.xxhash64("line") == F.col("h1")) & (F.xxhash64(F.lit("second"), F.col("line")) == F.col("h2")))
-    texts = materialize(found.dropDuplicates(["h1", "h2"]), "near-lines")
+    texts = scratch.keep(found.dropDuplicates(["h1", "h2"]), "near-lines")
     variants = texts.select(*line, "first", F.explode(_variants()).alias("key"))
     lead = variants.groupBy("key").agg(F.min(F.struct("first", "h1", "h2")).alias("lead"), F.count("*").alias("m")).where("m > 1")
-    groups = materialize(variants.join(lead.select("key", "lead"), "key"), "variant-groups")
+    groups = scratch.keep(variants.join(lead.select("key", "lead"), "key"), "variant-groups")
 
     def close(pairs: DataFrame) -> DataFrame:
         """Lines of pairs (h1, h2, o1, o2) that are within one edit of the other."""
@@ -76,7 +77,7 @@ def line_drops(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
         return pairs.distinct().join(a, line).join(b, ["o1", "o2"]).where(F.levenshtein("a", "b", 1).between(0, 1)).select(*line).distinct()
 
     first = close(groups.where("first > lead.first").select(*line, F.col("lead.h1").alias("o1"), F.col("lead.h2").alias("o2")))
-    first = materialize(first, "near-first")
+    first = scratch.keep(first, "near-first")
     open_ = groups.where("first > lead.first").join(first, line, "left_anti").select("key", *line, "first")
     others = groups.select("key", F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("first").alias("of"), "lead").where("of > lead.first").drop("lead")
     rest = close(open_.join(others, "key").where("of < first").select(*line, "o1", "o2"))
@@ -84,7 +85,9 @@ def line_drops(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     verdict = distinct.select(*line, "first", "n").join(gone, line, "left").where("n > 1 or near").select(*line, "first", F.coalesce("near", F.lit(False)).alias("near"))
     # A hot line's occurrences and its one verdict meet in a sort-merge join, whose large partitions are split at run time.
     drops = lines.select("doc_id", "pos", *line).join(verdict, line).where(F.col("near") | (_place() > F.col("first")))
-    return drops.groupBy("doc_id").agg(F.collect_set(F.struct("pos", "h1")).alias("drops"))
+    drops = materialize(drops.groupBy("doc_id").agg(F.collect_set(F.struct("pos", "h1")).alias("drops")), "line-drops")
+    scratch.clear(docs.sparkSession)
+    return drops
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:

@@ -6,13 +6,15 @@ has a key for each part (and for the parts of the next smaller size band where a
 key link with nothing. The rest goes in three steps.
 
 1. Leaders: in each key's posting list, every node is compared with the list's leader, so that large groups of near copies
-   need one comparison a member; a second round takes other leaders. Linked nodes form groups (connected components).
-2. Token-group matrix: each group's token union is stored as rows (token, group). A node whose tokens occur in other groups
-   too seldom cannot link outside its own group and is closed. For the others, the overlap with the union of each other group
-   that shares a key bounds the overlap with every member.
+   need one comparison a member. Linked nodes form groups (connected components). Nodes of lists that stay long then learn how
+   many of their tokens stand in no other node of such lists; a second round takes those with the fewest as leaders.
+2. Token-group matrix: each group has a row of BITS bits in which the hashes of its token union are set. Bits of a node that
+   the row of another group lacks are tokens that no member has, so they bound the node's overlap with every member.
+   Tokens that stand in no other node bound it too, so that a node of a long list meets only groups it can link with.
 3. Only groups that qualify are opened: the node is compared with those members that share a key with it. Links found
    join groups into components.
 
+Comparisons start with the two nodes' own bits, whose differences bound the sets' difference; what passes is compared by whole sets.
 Every link's two nodes are in one component at the end, and every comparison is of whole sets, so the components are those
 of all links. Hashes of tokens and of sets have 64 bits; equal hashes are taken for equality.
 
@@ -30,10 +32,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import Words, as_signed, batch, chunked, materialize, mix, text_bytes
+from fieldloom.llm.common import Scratch, Words, as_signed, batch, chunked, materialize, mix, text_bytes
 
 #: Ratio between the bounds of size bands.
 BAND = 1.5
+#: Bits of a row of the token-group matrix, in words of 64.
+BITS, WORDS = 2048, 32
+#: Rows of two numbers up to which a table is broadcast; larger ones are shuffled.
+BROADCAST_ROWS = 1_000_000
+#: Nodes from which a list of several groups counts as long.
+LONG_LIST = 40
 
 
 def sets_of(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -82,7 +90,7 @@ def keys_of(tokens: np.ndarray, percent: int) -> np.ndarray:
 
 
 _NODES = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("keys", pa.list_(pa.int64()))])
-_SETS = pa.schema([("node", pa.int64()), ("tokens", pa.list_(pa.int64()))])
+_SETS = pa.schema([("node", pa.int64()), ("size", pa.int64()), ("bits", pa.list_(pa.int64())), ("tokens", pa.list_(pa.int64()))])
 
 
 def _node(tokens: np.ndarray) -> int:
@@ -105,26 +113,48 @@ def node_table(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, keys array<long>")
 
 
+def bits_of(tokens: np.ndarray) -> np.ndarray:
+    row = np.zeros(BITS, np.uint8)
+    row[(mix(tokens ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(BITS)).astype(np.int64)] = 1
+    return np.packbits(row).view(np.int64)
+
+
 def token_sets(docs: DataFrame, n: int) -> DataFrame:
-    """node and its sorted tokens for each row of docs (doc_id, text)."""
+    """node, size, bits and sorted tokens for each row of docs (text, expected node) that has the expected node."""
 
     def run(batches):
         for b in batches:
-            texts = text_bytes(b.column(1))
+            texts, wanted = text_bytes(b.column(0)), b.column(1).to_pylist()
             for i, j in chunked(texts):
                 tokens, many = sets_of(texts[i:j], n)
                 ends = np.cumsum(many)
-                own = [tokens[e - m : e] for e, m in zip(ends, many, strict=True) if m]
+                own = [tokens[e - m : e] for e, m in zip(ends, many, strict=True)]
+                own = [(w, x) for w, x in zip(wanted[i:j], own, strict=True) if len(x) and _node(x) == w]
                 if own:
-                    yield batch(_SETS, [_node(x) for x in own], [as_signed(x) for x in own])
+                    yield batch(_SETS, [w for w, _ in own], [len(x) for _, x in own], [bits_of(x) for _, x in own], [as_signed(x) for _, x in own])
 
-    return docs.mapInArrow(run, "node long, tokens array<long>")
+    return docs.mapInArrow(run, "node long, size long, bits array<long>, tokens array<long>")
 
 
-def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of nodes that link, by comparing whole sets."""
+def small(df: DataFrame) -> DataFrame:
+    """A materialised table with a hint to broadcast it if it has few rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
-    def run(batches):
+
+def _rows(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, WORDS)
+
+
+def linked(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of nodes that link: by their sizes and bits first, then by their whole sets."""
+
+    def rough(batches):
+        for t in batches:
+            apart = np.bitwise_count(_rows(t.column(3)) ^ _rows(t.column(5))).sum(axis=1, dtype=np.int64)
+            sizes = t.column(2).to_numpy() + t.column(4).to_numpy()
+            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], names=["a", "b"]).filter(pa.array(apart <= (100 - percent) * sizes // (100 + percent)))
+
+    def exact(batches):
         for t in batches:
             left, right = t.column(2), t.column(3)
             keep = []
@@ -134,80 +164,115 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    # Sizes alone rule many pairs out before a set moves.
-    sizes = sets.select("node", F.size("tokens").alias("size"))
-    pairs = pairs.join(sizes.select(F.col("node").alias("a"), F.col("size").alias("sa")), "a").join(sizes.select(F.col("node").alias("b"), F.col("size").alias("sb")), "b")
-    pairs = pairs.where(100 * F.least("sa", "sb") >= percent * F.greatest("sa", "sb")).select("a", "b")
-    x = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
-    return x.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    def both_sides(pairs: DataFrame, *columns: str) -> DataFrame:
+        pairs = small(pairs)
+        left = sets.select(F.col("node").alias("a"), *[F.col(c).alias(f"{c}_a") for c in columns]).join(pairs, "a")
+        right = sets.select(F.col("node").alias("b"), *[F.col(c).alias(f"{c}_b") for c in columns]).join(pairs, "b")
+        return left.join(right, ["a", "b"])
+
+    pairs = scratch.keep(pairs, "pairs")
+    x = both_sides(pairs, "size", "bits").where(100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b"))
+    near = scratch.keep(x.select("a", "b", "size_a", "bits_a", "size_b", "bits_b").mapInArrow(rough, "a long, b long"), "near-pairs")
+    return both_sides(near, "tokens").select("a", "b", "tokens_a", "tokens_b").mapInArrow(exact, "a long, b long")
+
+
+def qualify(percent: int):
+    """Keeps (node, group) if the group's row leaves room for a link: a member holds `percent` of the node's tokens at least."""
+
+    def run(batches):
+        for t in batches:
+            missing = np.bitwise_count(_rows(t.column(3)) & ~_rows(t.column(4))).sum(axis=1, dtype=np.int64)
+            size = t.column(2).to_numpy()
+            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], names=["q", "other"]).filter(pa.array(100 * (size - missing) >= percent * size))
+
+    return run
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
+def components(nodes: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     """node and group (the smallest node that links reach) for each node; hubs and leaves are relabelled until nothing changes."""
-    both = materialize(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
-    groups = materialize(both.select(F.col("a").alias("node")).distinct().withColumn("group", F.col("node")), "groups")
+    both = scratch.keep(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
+    groups = scratch.keep(both.select(F.col("a").alias("node")).distinct().withColumn("group", F.col("node")), "groups")
     while True:
         around = both.join(groups.select(F.col("node").alias("b"), "group"), "b").groupBy("a").agg(F.min("group").alias("least"))
         step = groups.join(around.select(F.col("a").alias("node"), "least"), "node").select("node", F.col("group").alias("was"), F.least("group", "least").alias("group"))
         # A group's own label may have moved on: follow it, and tell the group's namesake what was found.
         found = step.groupBy(F.col("was").alias("node")).agg(F.min("group").alias("found"))
-        step = materialize(step.join(found, "node", "left").select("node", "was", F.least("group", F.coalesce("found", "group")).alias("group")), "step")
+        step = scratch.keep(step.join(found, "node", "left").select("node", "was", F.least("group", F.coalesce("found", "group")).alias("group")), "step")
         jump = step.join(step.select(F.col("node").alias("group"), F.col("group").alias("over")), "group").select("node", "was", F.least("group", "over").alias("group"))
-        jump = materialize(jump, "jump")
+        jump = scratch.keep(jump, "jump")
         groups = jump.select("node", "group")
         if not jump.where("group <> was").limit(1).count():
             break
     return nodes.join(groups, "node", "left").select("node", F.coalesce("group", "node").alias("group"))
 
 
-def jaccard_join(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2) -> DataFrame:
+def jaccard_join(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id of the component) and n_copies (rows of the same set), one row a row of docs."""
+    scratch = Scratch()
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = materialize(node_table(docs, n, percent), "nodes")
-    nodes = materialize(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_copies")), "distinct-nodes")
-    # A node's keys from one of its rows.
-    first = rows.join(nodes.select(F.col("node").alias("own"), F.col("doc_id").alias("at")), (F.col("node") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("at"))).select("node", "keys")
-    posted = first.select("node", F.explode("keys").alias("key"))
-    shared = posted.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("lead")).where("m > 1")
-    lists = materialize(posted.join(shared.select("key"), "key").select("key", "node").distinct(), "posting-lists")
-    near = lists.select("node").distinct()
-    wanted = nodes.join(near, "node", "left_semi").select(F.col("doc_id").alias("at"), "node")
-    texts = docs.join(wanted.select("at").distinct(), F.col("doc_id").eqNullSafe(F.col("at")), "left_semi")
-    sets = token_sets(texts, n).join(near, "node", "left_semi").dropDuplicates(["node"])
-    sets = materialize(sets, "token-sets")
-
-    links = None
-    groups = near.withColumn("group", F.col("node"))
-    for k in range(rounds):
-        # The leader is the least by a hash that differs from round to round, among lists that still hold several groups.
+    rows = scratch.keep(node_table(docs, n, percent), "nodes")
+    nodes = scratch.keep(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_copies")), "distinct-nodes")
+    # A node's keys from the row of its smallest id; rows of other ids are copies.
+    least = nodes.where("n_copies > 1").select("node", F.col("doc_id").alias("at"))
+    copies = rows.select("node", "doc_id").join(least, "node").where(~F.col("doc_id").eqNullSafe(F.col("at"))).select(F.col("node").alias("n"), F.col("doc_id").alias("d")).distinct()
+    copies = small(scratch.keep(copies, "copies"))
+    first = rows.where("node is not null").join(copies, (F.col("node") == F.col("n")) & F.col("doc_id").eqNullSafe(F.col("d")), "left_anti")
+    # Both the counts of keys and the lists come from one shuffle.
+    posted = first.select("node", F.explode("keys").alias("key")).repartition("key")
+    shared = posted.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
+    lists = scratch.keep(posted.join(shared, "key").select("key", "node").distinct(), "posting-lists")
+    near = scratch.keep(lists.select("node").distinct(), "near-nodes")
+    wanted = small(scratch.keep(nodes.join(near, "node", "left_semi").select(F.col("doc_id").alias("at"), "node"), "wanted"))
+    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("at"))).select("text", "node")
+    sets = scratch.keep(token_sets(texts, n), "token-sets")
+    if sets.count() > near.count():  # repeated rows of one id
+        sets = scratch.keep(sets.dropDuplicates(["node"]), "distinct-token-sets")
+
+    def round_of(groups: DataFrame, order: list[str], links: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """Links with each list's leader, the least by the order, and the groups that all links make."""
         labelled = lists.join(groups, "node")
-        open_ = labelled.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("order"), "node", "group")).alias("lead"), F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high")
-        pairs = labelled.join(open_, "key").where(F.col("group") != F.col("lead.group")).select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
-        new = materialize(linked(pairs, sets, percent), "links")
+        lead = labelled.groupBy("key").agg(F.min(F.struct(*order, "node", "group")).alias("lead"), F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high")
+        pairs = labelled.join(lead, "key").where(F.col("group") != F.col("lead.group")).select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
+        new = scratch.keep(linked(pairs, sets, percent, scratch), "links")
         links = new if links is None else links.union(new)
-        groups = materialize(components(near, links), "groups")
+        return links, scratch.keep(components(near, links, scratch), "groups")
+
+    links, groups = round_of(near.withColumn("group", F.col("node")), [], None)
+    # Tokens that no other node of a long list has.
+    long_ = lists.join(groups, "node").groupBy("key").agg(F.count("*").alias("m"), F.min("group").alias("low"), F.max("group").alias("high")).where(f"low <> high and m >= {LONG_LIST}").select("key")
+    long_ = scratch.keep(long_, "long-lists")
+    in_long = lists.join(long_, "key", "left_semi").select("node").distinct()
+    tokens = sets.join(in_long, "node", "left_semi").select("node", F.explode("tokens").alias("token"))
+    own = tokens.groupBy("token").agg(F.count("*").alias("m"), F.min("node").alias("node")).where("m = 1").groupBy("node").agg(F.count("*").alias("own"))
+    sized = sets.select("node", "size").join(own, "node", "left").select("node", "size", F.coalesce("own", F.lit(0)).cast("long").alias("own"))
+    sized = scratch.keep(sized, "sizes")
+    links, groups = round_of(groups.join(sized.select("node", (F.col("own") / F.col("size")).alias("apart")), "node"), ["apart"], links)
 
     # Token-group matrix.
     labelled = lists.join(groups, "node")
     mixed = labelled.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("key")
-    labelled = materialize(labelled.join(mixed, "key", "left_semi").select("key", "node", "group"), "open-lists")
-    tokens = sets.join(labelled.select("node", "group").distinct(), "node").select("node", "group", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
-    matrix = materialize(tokens.groupBy("token", "group").agg(F.count("*").alias("members")), "token-groups")
-    several = matrix.groupBy("token").agg(F.count("*").alias("groups")).where("groups > 1").select("token")
-    outside = tokens.join(several, "token", "left_semi").groupBy("node", "group", "size").agg(F.count("*").alias("met"))
-    queries = materialize(outside.where(100 * F.col("met") >= percent * F.col("size")).select("node", "group", "size"), "open-nodes")
-    # Both ends of a link must be open.
-    labelled = labelled.join(queries.select("node"), "node", "left_semi")
-    sized = labelled.join(queries.select("node", "size"), "node")
-    meet = sized.select("key", F.col("node").alias("q"), F.col("group").alias("own"), "size").join(labelled.select("key", F.col("group").alias("other")).distinct(), "key")
-    meet = materialize(meet.where("own <> other").select("q", "own", "size", "other").distinct(), "met-groups")
-    spread = meet.join(sets.select(F.col("node").alias("q"), "tokens"), "q").select("q", "size", "other", F.explode("tokens").alias("token"))
-    bound = spread.join(matrix.select("token", F.col("group").alias("other")), ["token", "other"]).groupBy("q", "size", "other").agg(F.count("*").alias("met"))
-    opened = bound.where(100 * F.col("met") >= percent * F.col("size")).select("q", "other")
-    members = labelled.select("key", F.col("node").alias("m"), F.col("group").alias("other"))
-    pairs = labelled.select("key", F.col("node").alias("q")).join(members, "key").join(opened, ["q", "other"]).select(F.least("q", "m").alias("a"), F.greatest("q", "m").alias("b")).distinct()
-    final = materialize(linked(pairs, sets, percent), "links")
-    groups = materialize(components(near, links.union(final)), "groups")
+    labelled = scratch.keep(labelled.join(mixed, "key", "left_semi").select("key", "node", "group"), "open-lists")
+    bits = sets.join(labelled.select("node", "group").distinct(), "node").select("group", F.posexplode("bits").alias("at", "word"))
+    rows_of = bits.groupBy("group", "at").agg(F.bit_or("word").alias("word"))
+    matrix = scratch.keep(rows_of.groupBy("group").agg(F.array_sort(F.collect_list(F.struct("at", "word"))).alias("w")).select("group", F.col("w.word").alias("row")), "token-groups")
+    # Nodes meet the groups, not the members, of their lists. A link of q and m needs size(q) - own(q), and size(m) - own(m), of at
+    # least percent / (100 + percent) of both sizes together.
+    # That holds where both are in a long list; elsewhere a node's own tokens may stand in the other one.
+    labelled = labelled.join(long_.select("key", F.lit(True).alias("long")), "key", "left").join(sized, "node")
+    own = F.when(F.col("long"), F.col("own")).otherwise(0)
+    labelled = labelled.withColumn("room", (100 + percent) * (F.col("size") - own) - percent * F.col("size"))
+    heads = labelled.groupBy("key", F.col("group").alias("other")).agg(F.min("size").alias("least"), F.max("room").alias("most")).withColumnRenamed("key", "k")
+    fits = (F.col("key") == F.col("k")) & (F.col("group") != F.col("other")) & (F.col("room") >= percent * F.col("least")) & (F.col("most") >= percent * F.col("size"))
+    meet = labelled.join(heads, fits).select(F.col("node").alias("q"), "other").distinct()
+    meet = small(scratch.keep(meet, "met-groups"))
+    asked = sets.select(F.col("node").alias("q"), "size", "bits").join(meet, "q")
+    opened = asked.join(matrix.select(F.col("group").alias("other"), "row"), "other").select("q", "other", "size", "bits", "row").mapInArrow(qualify(percent), "q long, other long")
+    opened = small(scratch.keep(opened, "opened-groups"))
+    members = labelled.select(F.col("key").alias("k"), F.col("node").alias("m"), F.col("group").alias("g"), F.col("size").alias("least"), F.col("room").alias("most"))
+    both = (F.col("key") == F.col("k")) & (F.col("other") == F.col("g")) & (F.col("room") >= percent * F.col("least")) & (F.col("most") >= percent * F.col("size"))
+    pairs = labelled.withColumnRenamed("node", "q").join(opened, "q").join(members, both).select(F.least("q", "m").alias("a"), F.greatest("q", "m").alias("b")).distinct()
+    final = scratch.keep(linked(pairs, sets, percent, scratch), "links")
+    groups = scratch.keep(components(near, links.union(final), scratch), "groups")
 
     named = nodes.join(groups, "node", "left").withColumn("group", F.coalesce("group", "node"))
     least = named.groupBy("group").agg(F.min("doc_id").alias("component_id"))
@@ -216,7 +281,10 @@ def jaccard_join(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "
     salts = 16
     known = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<long>")))
     out = rows.select("doc_id", "n_shingles", "node").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
-    return out.join(known, ["node", "salt"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_copies", F.when(F.col("n_shingles") > 0, 1).otherwise(0)).cast("long").alias("n_copies"))
+    out = out.join(known, ["node", "salt"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_copies", F.when(F.col("n_shingles") > 0, 1).otherwise(0)).cast("long").alias("n_copies"))
+    out = materialize(out, "components")
+    scratch.clear(out.sparkSession)
+    return out
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
