@@ -59,4 +59,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_license_scan, op2_ngram_join, op3_brown_lm, op4_quality_rules, op5_packing, op6_url_filter, op7_mixing, op8_nearest, op9_secret_scan, op10_line_dedup)
 }
 
-ORACLES: dict[str, str] = {}
+_RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in url_filter.RULES)
+
+OP6 = rf"""
+WITH x AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM x),
+r AS (SELECT * FROM (VALUES {_RULES}) t(h, q, v)),
+m AS (SELECT page_id, h || q AS rule, v, row_number() OVER (PARTITION BY page_id ORDER BY length(h) DESC, length(q) DESC) AS k FROM p JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q))
+SELECT p.page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM p LEFT JOIN m ON m.page_id = p.page_id AND k = 1"""
+
+OP7 = r"""
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size FROM documents),
+o AS (SELECT *, md5(concat_ws(':', '42', coalesce(CAST(doc_id AS VARCHAR), ''), CAST(size AS VARCHAR))) AS ord FROM d),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS n FROM o GROUP BY source),
+w AS (SELECT source, source_size, CAST(CASE n % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS DOUBLE) AS weight, CAST(3 AS DOUBLE) * source_size AS cap FROM s),
+f AS (SELECT *, cap / weight AS full_at, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY cap / weight, source NULLS FIRST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS own FROM w),
+t AS (SELECT source, source_size, least(cap, weight * (SELECT arg_min(own, (full_at, source)) FROM f WHERE own <= full_at)) AS target FROM f),
+q AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM t),
+j AS (SELECT o.*, source_size, target, whole, target - whole * source_size AS rest, size > CAST(0.01 AS DOUBLE) * source_size AS big FROM o JOIN q ON o.source IS NOT DISTINCT FROM q.source),
+b AS (SELECT *, sum(size) OVER (PARTITION BY source, big ORDER BY ord, doc_id ROWS UNBOUNDED PRECEDING) AS upto, sum(size) OVER (PARTITION BY source, big) AS held FROM j),
+g AS (SELECT *, CASE WHEN big AND upto - size / 2.0 <= rest * held / source_size THEN 1 ELSE 0 END AS more FROM b),
+k AS (SELECT *, coalesce(sum(CASE WHEN big THEN size * more ELSE 0 END) OVER (PARTITION BY source), 0) AS big_taken FROM g),
+c AS (SELECT *, CAST(least(whole + CASE WHEN size = 0 THEN 0 WHEN big THEN more WHEN upto - size / 2.0 <= rest - big_taken THEN 1 ELSE 0 END, 3) AS BIGINT) AS copies FROM k)
+SELECT doc_id, size, source_size, target, size * copies AS taken, source, copies FROM c"""
+
+#: The other operators' results have no SQL: automata, components, fitted models, plans; tests compare them with plain versions.
+ORACLES: dict[str, str] = {"op6_url_filter": OP6, "op7_mixing": OP7}
