@@ -41,7 +41,7 @@ BITS, WORDS = 2048, 32
 #: Rows of two numbers up to which a table is broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 1_000_000
 #: Nodes from which a list of several groups counts as long.
-LONG_LIST = 40
+LONG_LIST = 8
 
 
 def sets_of(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -136,9 +136,9 @@ def token_sets(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, "node long, size long, bits array<long>, tokens array<long>")
 
 
-def small(df: DataFrame) -> DataFrame:
+def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """A materialised table with a hint to broadcast it if it has few rows."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def _rows(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -192,18 +192,21 @@ def components(nodes: DataFrame, links: DataFrame, scratch: Scratch) -> DataFram
     """node and group (the smallest node that links reach) for each node; hubs and leaves are relabelled until nothing changes."""
     both = scratch.keep(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
     groups = scratch.keep(both.select(F.col("a").alias("node")).distinct().withColumn("group", F.col("node")), "groups")
+    # All tables of a round have a row a linked node at most, so they are broadcast together or shuffled together.
+    few = F.broadcast if groups.count() <= BROADCAST_ROWS else lambda df: df
     while True:
-        around = both.join(groups.select(F.col("node").alias("b"), "group"), "b").groupBy("a").agg(F.min("group").alias("least"))
-        step = groups.join(around.select(F.col("a").alias("node"), "least"), "node").select("node", F.col("group").alias("was"), F.least("group", "least").alias("group"))
-        # A group's own label may have moved on: follow it, and tell the group's namesake what was found.
+        around = both.join(few(groups.select(F.col("node").alias("b"), "group")), "b").groupBy(F.col("a").alias("node")).agg(F.min("group").alias("least"))
+        step = around.join(few(groups), "node").select("node", F.col("group").alias("was"), F.least("group", "least").alias("group"))
+        step = scratch.keep(step, "step")
+        # A group's own label may have moved on: tell the group's namesake what was found, and follow it.
         found = step.groupBy(F.col("was").alias("node")).agg(F.min("group").alias("found"))
-        step = scratch.keep(step.join(found, "node", "left").select("node", "was", F.least("group", F.coalesce("found", "group")).alias("group")), "step")
-        jump = step.join(step.select(F.col("node").alias("group"), F.col("group").alias("over")), "group").select("node", "was", F.least("group", "over").alias("group"))
+        told = scratch.keep(step.join(few(found), "node", "left").select("node", "was", F.least("group", F.coalesce("found", "group")).alias("group")), "told")
+        jump = told.join(few(told.select(F.col("node").alias("group"), F.col("group").alias("over"))), "group").select("node", "was", F.least("group", "over").alias("group"))
         jump = scratch.keep(jump, "jump")
         groups = jump.select("node", "group")
         if not jump.where("group <> was").limit(1).count():
             break
-    return nodes.join(groups, "node", "left").select("node", F.coalesce("group", "node").alias("group"))
+    return nodes.join(few(groups), "node", "left").select("node", F.coalesce("group", "node").alias("group"))
 
 
 def jaccard_join(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -230,29 +233,33 @@ def jaccard_join(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "
 
     def round_of(groups: DataFrame, order: list[str], links: DataFrame | None) -> tuple[DataFrame, DataFrame]:
         """Links with each list's leader, the least by the order, and the groups that all links make."""
-        labelled = lists.join(groups, "node")
+        labelled = lists.join(small(groups), "node")
         lead = labelled.groupBy("key").agg(F.min(F.struct(*order, "node", "group")).alias("lead"), F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high")
+        lead = small(scratch.keep(lead.select("key", "lead"), "leaders"), BROADCAST_ROWS // 4)
         pairs = labelled.join(lead, "key").where(F.col("group") != F.col("lead.group")).select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
         new = scratch.keep(linked(pairs, sets, percent, scratch), "links")
         links = new if links is None else links.union(new)
         return links, scratch.keep(components(near, links, scratch), "groups")
 
     links, groups = round_of(near.withColumn("group", F.col("node")), [], None)
+    known = small(groups)
     # Tokens that no other node of a long list has.
-    long_ = lists.join(groups, "node").groupBy("key").agg(F.count("*").alias("m"), F.min("group").alias("low"), F.max("group").alias("high")).where(f"low <> high and m >= {LONG_LIST}").select("key")
-    long_ = scratch.keep(long_, "long-lists")
-    in_long = lists.join(long_, "key", "left_semi").select("node").distinct()
+    long_ = lists.join(known, "node").groupBy("key").agg(F.count("*").alias("m"), F.min("group").alias("low"), F.max("group").alias("high")).where(f"low <> high and m >= {LONG_LIST}").select("key")
+    long_ = small(scratch.keep(long_, "long-lists"))
+    in_long = small(scratch.keep(lists.join(long_, "key", "left_semi").select("node").distinct(), "long-nodes"))
     tokens = sets.join(in_long, "node", "left_semi").select("node", F.explode("tokens").alias("token"))
     own = tokens.groupBy("token").agg(F.count("*").alias("m"), F.min("node").alias("node")).where("m = 1").groupBy("node").agg(F.count("*").alias("own"))
     sized = sets.select("node", "size").join(own, "node", "left").select("node", "size", F.coalesce("own", F.lit(0)).cast("long").alias("own"))
-    sized = scratch.keep(sized, "sizes")
-    links, groups = round_of(groups.join(sized.select("node", (F.col("own") / F.col("size")).alias("apart")), "node"), ["apart"], links)
+    sized = small(scratch.keep(sized, "sizes"))
+    links, groups = round_of(known.join(sized.select("node", (F.col("own") / F.col("size")).alias("apart")), "node"), ["apart"], links)
 
     # Token-group matrix.
-    labelled = lists.join(groups, "node")
+    labelled = lists.join(small(groups), "node")
     mixed = labelled.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("key")
+    mixed = small(scratch.keep(mixed, "mixed-lists"))
     labelled = scratch.keep(labelled.join(mixed, "key", "left_semi").select("key", "node", "group"), "open-lists")
-    bits = sets.join(labelled.select("node", "group").distinct(), "node").select("group", F.posexplode("bits").alias("at", "word"))
+    inside = small(scratch.keep(labelled.select("node", "group").distinct(), "inside"))
+    bits = sets.join(inside, "node").select("group", F.posexplode("bits").alias("at", "word"))
     rows_of = bits.groupBy("group", "at").agg(F.bit_or("word").alias("word"))
     matrix = scratch.keep(rows_of.groupBy("group").agg(F.array_sort(F.collect_list(F.struct("at", "word"))).alias("w")).select("group", F.col("w.word").alias("row")), "token-groups")
     # Nodes meet the groups, not the members, of their lists. A link of q and m needs size(q) - own(q), and size(m) - own(m), of at
