@@ -5,16 +5,19 @@ so if the range of token hashes is cut into d + 1 parts, the two sets are equal
 has a key for each part (and for the parts of the next smaller size band where a link reaches there); nodes without a shared
 key link with nothing. The rest goes in three steps.
 
-1. Leaders: in each key's posting list, every node is compared with the list's leader, so that large groups of near copies
-   need one comparison a member. Linked nodes form groups (connected components). Nodes of lists that stay long then learn how
-   many of their tokens stand in no other node of such lists; a second round takes those with the fewest as leaders.
+1. Leaders: each node is compared with one leader of its keys' posting lists, the one it shares most keys with, so that large
+   groups of near copies need one comparison a member. Linked nodes form groups (connected components). A second round takes
+   the nodes with the fewest rare tokens as leaders, and compares nodes with those of all their lists.
 2. Token-group matrix: each group has a row of BITS bits in which the hashes of its token union are set. Bits of a node that
-   the row of another group lacks are tokens that no member has, so they bound the node's overlap with every member.
-   Tokens that stand in no other node bound it too, so that a node of a long list meets only groups it can link with.
-3. Only groups that qualify are opened: the node is compared with those members that share a key with it. Links found
+   the row of another group lacks are tokens that no member has, so they bound the node's overlap with every member. A node is
+   held against those groups that share a token of its prefix: with all tokens in one order, rare ones first, two nodes that
+   link share one among their first ones, and how far on each of the two has the first shared one bounds sizes and overlap.
+   The order comes from counts of token hashes in a table of fixed size; any order finds all links.
+3. Only groups that qualify are opened: the node is compared with those members that share a token of its prefix. Links found
    join groups into components.
 
-Comparisons start with the two nodes' own bits, whose differences bound the sets' difference; what passes is compared by whole sets.
+Comparisons start with the two nodes' own bits, as many as four a token, whose differences bound the sets' difference; what
+passes is compared by whole sets, each node's set going to its leader's.
 Every link's two nodes are in one component at the end, and every comparison is of whole sets, so the components are those
 of all links. Hashes of tokens and of sets have 64 bits; equal hashes are taken for equality.
 
@@ -40,8 +43,10 @@ BAND = 1.5
 BITS, WORDS = 2048, 32
 #: Rows of two numbers up to which a table is broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 1_000_000
-#: Nodes from which a list of several groups counts as long.
-LONG_LIST = 8
+#: Counters of token hashes, by which tokens are ordered.
+COUNTERS = 1 << 20
+#: Bits of a node's own row: four a token, between these bounds.
+OWN_BITS = (1024, 1 << 16)
 
 
 def sets_of(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -90,7 +95,7 @@ def keys_of(tokens: np.ndarray, percent: int) -> np.ndarray:
 
 
 _NODES = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("keys", pa.list_(pa.int64()))])
-_SETS = pa.schema([("node", pa.int64()), ("size", pa.int64()), ("bits", pa.list_(pa.int64())), ("tokens", pa.list_(pa.int64()))])
+_SETS = pa.schema([("node", pa.int64()), ("size", pa.int64()), ("bits", pa.list_(pa.int64())), ("wide", pa.list_(pa.int64())), ("tokens", pa.list_(pa.int64()))])
 
 
 def _node(tokens: np.ndarray) -> int:
@@ -113,12 +118,62 @@ def node_table(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, keys array<long>")
 
 
-def bits_of(tokens: np.ndarray) -> np.ndarray:
-    row = np.zeros(BITS, np.uint8)
-    row[(mix(tokens ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(BITS)).astype(np.int64)] = 1
+def bits_of(tokens: np.ndarray, bits: int = BITS) -> np.ndarray:
+    row = np.zeros(bits, np.uint8)
+    row[(mix(tokens ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(bits)).astype(np.int64)] = 1
     return np.packbits(row).view(np.int64)
 
 
+def own_bits(tokens: np.ndarray) -> np.ndarray:
+    return bits_of(tokens, min(max(1 << (4 * len(tokens) - 1).bit_length(), OWN_BITS[0]), OWN_BITS[1]))
+
+
+def bits_apart(x: np.ndarray, y: np.ndarray) -> int:
+    """Bits in which two rows differ, the longer one folded to the other's length; each stands for a token that only one has."""
+    few = min(len(x), len(y))
+    return int(np.bitwise_count((np.bitwise_or.reduce(x.reshape(-1, few)) ^ np.bitwise_or.reduce(y.reshape(-1, few))).view(np.uint64)).sum())
+
+
+def counter_of(tokens: np.ndarray) -> np.ndarray:
+    return (mix(tokens + np.uint64(0x9FB21C651E98DF25)) % np.uint64(COUNTERS)).astype(np.int64)
+
+
+def token_counts(sets: DataFrame) -> np.ndarray:
+    """How often the tokens of each counter stand in sets; COUNTERS numbers, whatever the input."""
+
+    def run(batches):
+        total = np.zeros(COUNTERS, np.int64)
+        for b in batches:
+            total += np.bincount(counter_of(b.column(0).flatten().to_numpy().view(np.uint64)), minlength=COUNTERS)
+        at = np.flatnonzero(total)
+        for i in range(0, len(at), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(at[i : i + (1 << 16)]), pa.array(total[at[i : i + (1 << 16)]])], names=["at", "n"])
+
+    found = sets.select("tokens").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(COUNTERS, np.uint32)
+    out[found["at"].to_numpy()] = np.minimum(found["n"].to_numpy(), 2**32 - 1)
+    return out
+
+
+def prefixes(sets: DataFrame, counts, percent: int) -> DataFrame:
+    """node, size, rare (tokens that nothing else has) and prefix: the next tokens by count up to the place by which a linked node has a shared one."""
+    schema = pa.schema([("node", pa.int64()), ("size", pa.int64()), ("rare", pa.int64()), ("prefix", pa.list_(pa.int64()))])
+
+    def run(batches):
+        many = counts.value
+        for b in batches:
+            rare, first = [], []
+            for x in b.column(2):
+                tokens = x.values.to_numpy().view(np.uint64)
+                n = many[counter_of(tokens)]
+                rare.append(int((n == 1).sum()))
+                order = np.lexsort((tokens, n))[: len(tokens) - -(-percent * len(tokens) // 100) + 1]
+                first.append(as_signed(tokens[order[rare[-1] :]]))
+            yield batch(schema, b.column(0), b.column(1), rare, first)
+
+    return sets.select("node", "size", "tokens").mapInArrow(run, "node long, size long, rare long, prefix array<long>")
+
+
 def token_sets(docs: DataFrame, n: int) -> DataFrame:
     """node, size, bits and sorted tokens for each row of docs (text, expected node) that has the expected node."""
 
@@ -131,9 +186,9 @@ def token_sets(docs: DataFrame, n: int) -> DataFrame:
                 own = [tokens[e - m : e] for e, m in zip(ends, many, strict=True)]
                 own = [(w, x) for w, x in zip(wanted[i:j], own, strict=True) if len(x) and _node(x) == w]
                 if own:
-                    yield batch(_SETS, [w for w, _ in own], [len(x) for _, x in own], [bits_of(x) for _, x in own], [as_signed(x) for _, x in own])
+                    yield batch(_SETS, [w for w, _ in own], [len(x) for _, x in own], [bits_of(x) for _, x in own], [own_bits(x) for _, x in own], [as_signed(x) for _, x in own])
 
-    return docs.mapInArrow(run, "node long, size long, bits array<long>, tokens array<long>")
+    return docs.mapInArrow(run, "node long, size long, bits array<long>, wide array<long>, tokens array<long>")
 
 
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -146,11 +201,12 @@ def _rows(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b) of nodes that link: by their sizes and bits first, then by their whole sets."""
+    """Pairs (a, b) of nodes that link: by their sizes and bits first, then by their whole sets. Where one of a pair has many partners, it should be b."""
 
     def rough(batches):
         for t in batches:
-            apart = np.bitwise_count(_rows(t.column(3)) ^ _rows(t.column(5))).sum(axis=1, dtype=np.int64)
+            left, right = t.column(3), t.column(5)
+            apart = np.array([bits_apart(left[i].values.to_numpy(), right[i].values.to_numpy()) for i in range(t.num_rows)], np.int64)
             sizes = t.column(2).to_numpy() + t.column(4).to_numpy()
             yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], names=["a", "b"]).filter(pa.array(apart <= (100 - percent) * sizes // (100 + percent)))
 
@@ -167,12 +223,12 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) ->
     def both_sides(pairs: DataFrame, *columns: str) -> DataFrame:
         pairs = small(pairs)
         left = sets.select(F.col("node").alias("a"), *[F.col(c).alias(f"{c}_a") for c in columns]).join(pairs, "a")
-        right = sets.select(F.col("node").alias("b"), *[F.col(c).alias(f"{c}_b") for c in columns]).join(pairs, "b")
-        return left.join(right, ["a", "b"])
+        right = sets.select(F.col("node").alias("b"), *[F.col(c).alias(f"{c}_b") for c in columns]).join(pairs.select("b"), "b", "left_semi")
+        return left.hint("merge").join(right, "b")
 
     pairs = scratch.keep(pairs, "pairs")
-    x = both_sides(pairs, "size", "bits").where(100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b"))
-    near = scratch.keep(x.select("a", "b", "size_a", "bits_a", "size_b", "bits_b").mapInArrow(rough, "a long, b long"), "near-pairs")
+    x = both_sides(pairs, "size", "wide").where(100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b"))
+    near = scratch.keep(x.select("a", "b", "size_a", "wide_a", "size_b", "wide_b").mapInArrow(rough, "a long, b long"), "near-pairs")
     return both_sides(near, "tokens").select("a", "b", "tokens_a", "tokens_b").mapInArrow(exact, "a long, b long")
 
 
@@ -232,52 +288,51 @@ def jaccard_join(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "
         sets = scratch.keep(sets.dropDuplicates(["node"]), "distinct-token-sets")
 
     def round_of(groups: DataFrame, order: list[str], links: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        """Links with each list's leader, the least by the order, and the groups that all links make."""
+        """Links with the lists' leaders, the least by the order, and the groups that all links make."""
         labelled = lists.join(small(groups), "node")
         lead = labelled.groupBy("key").agg(F.min(F.struct(*order, "node", "group")).alias("lead"), F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high")
         lead = small(scratch.keep(lead.select("key", "lead"), "leaders"), BROADCAST_ROWS // 4)
-        pairs = labelled.join(lead, "key").where(F.col("group") != F.col("lead.group")).select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
-        new = scratch.keep(linked(pairs, sets, percent, scratch), "links")
+        pairs = labelled.join(lead, "key").where(F.col("group") != F.col("lead.group")).groupBy(F.col("node").alias("a"), F.col("lead.node").alias("b")).agg(F.count("*").alias("m"))
+        if links is None:  # the others are left to later rounds, for which few are still apart
+            pairs = pairs.groupBy("a").agg(F.max_by("b", F.struct("m", "b")).alias("b"))
+        new = scratch.keep(linked(pairs.select("a", "b"), sets, percent, scratch), "links")
         links = new if links is None else links.union(new)
         return links, scratch.keep(components(near, links, scratch), "groups")
 
     links, groups = round_of(near.withColumn("group", F.col("node")), [], None)
-    known = small(groups)
-    # Tokens that no other node of a long list has.
-    long_ = lists.join(known, "node").groupBy("key").agg(F.count("*").alias("m"), F.min("group").alias("low"), F.max("group").alias("high")).where(f"low <> high and m >= {LONG_LIST}").select("key")
-    long_ = small(scratch.keep(long_, "long-lists"))
-    in_long = small(scratch.keep(lists.join(long_, "key", "left_semi").select("node").distinct(), "long-nodes"))
-    tokens = sets.join(in_long, "node", "left_semi").select("node", F.explode("tokens").alias("token"))
-    own = tokens.groupBy("token").agg(F.count("*").alias("m"), F.min("node").alias("node")).where("m = 1").groupBy("node").agg(F.count("*").alias("own"))
-    sized = sets.select("node", "size").join(own, "node", "left").select("node", "size", F.coalesce("own", F.lit(0)).cast("long").alias("own"))
-    sized = small(scratch.keep(sized, "sizes"))
-    links, groups = round_of(known.join(sized.select("node", (F.col("own") / F.col("size")).alias("apart")), "node"), ["apart"], links)
+    counts = docs.sparkSession.sparkContext.broadcast(token_counts(sets))
+    firsts = scratch.keep(prefixes(sets, counts, percent), "prefixes")
+    links, groups = round_of(groups.join(small(firsts.select("node", (F.col("rare") / F.col("size")).alias("apart"))), "node"), ["apart"], links)
 
     # Token-group matrix.
+    # Nodes of lists that hold several groups, by the tokens of their prefixes. pos: tokens of the node before that one.
     labelled = lists.join(small(groups), "node")
     mixed = labelled.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("key")
     mixed = small(scratch.keep(mixed, "mixed-lists"))
-    labelled = scratch.keep(labelled.join(mixed, "key", "left_semi").select("key", "node", "group"), "open-lists")
+    apart = small(scratch.keep(labelled.join(mixed, "key", "left_semi").select("node", "group").distinct(), "apart"))
+    labelled = firsts.join(apart, "node").select("node", "group", "size", "rare", F.posexplode("prefix").alias("pos", "key"))
+    labelled = labelled.withColumn("pos", F.col("pos") + F.col("rare")).drop("rare")
+    labelled = scratch.keep(labelled, "prefix-tokens")
+    mixed = labelled.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("key")
+    mixed = small(scratch.keep(mixed, "mixed-tokens"))
+    labelled = scratch.keep(labelled.join(mixed, "key", "left_semi"), "open-lists")
     inside = small(scratch.keep(labelled.select("node", "group").distinct(), "inside"))
     bits = sets.join(inside, "node").select("group", F.posexplode("bits").alias("at", "word"))
     rows_of = bits.groupBy("group", "at").agg(F.bit_or("word").alias("word"))
     matrix = scratch.keep(rows_of.groupBy("group").agg(F.array_sort(F.collect_list(F.struct("at", "word"))).alias("w")).select("group", F.col("w.word").alias("row")), "token-groups")
-    # Nodes meet the groups, not the members, of their lists. A link of q and m needs size(q) - own(q), and size(m) - own(m), of at
-    # least percent / (100 + percent) of both sizes together.
-    # That holds where both are in a long list; elsewhere a node's own tokens may stand in the other one.
-    labelled = labelled.join(long_.select("key", F.lit(True).alias("long")), "key", "left").join(sized, "node")
-    own = F.when(F.col("long"), F.col("own")).otherwise(0)
-    labelled = labelled.withColumn("room", (100 + percent) * (F.col("size") - own) - percent * F.col("size"))
-    heads = labelled.groupBy("key", F.col("group").alias("other")).agg(F.min("size").alias("least"), F.max("room").alias("most")).withColumnRenamed("key", "k")
-    fits = (F.col("key") == F.col("k")) & (F.col("group") != F.col("other")) & (F.col("room") >= percent * F.col("least")) & (F.col("most") >= percent * F.col("size"))
-    meet = labelled.join(heads, fits).select(F.col("node").alias("q"), "other").distinct()
-    meet = small(scratch.keep(meet, "met-groups"))
-    asked = sets.select(F.col("node").alias("q"), "size", "bits").join(meet, "q")
+    # Nodes meet the groups, not the members, of their lists. Of q and m, whose first shared token stands at places i and j, the
+    # overlap is at most rest(q) = size(q) - i and rest(m), and the union at least i + j + rest of either, and either's size.
+    labelled = labelled.withColumn("rest", 100 * (F.col("size") - F.col("pos"))).withColumn("room", F.col("rest") - percent * F.col("size"))
+    heads = labelled.groupBy(F.col("key").alias("k"), F.col("group").alias("other")).agg(F.min("size").alias("least"), F.min("pos").alias("early"), F.max("rest").alias("most"), F.max("room").alias("wide"))
+    fits = (F.col("room") >= percent * F.col("early")) & (F.col("wide") >= percent * F.col("pos")) & (F.col("rest") >= percent * F.col("least")) & (F.col("most") >= percent * F.col("size"))
+    meet = labelled.join(heads, (F.col("key") == F.col("k")) & (F.col("group") != F.col("other")) & fits)
+    meet = scratch.keep(meet.select("key", F.col("node").alias("q"), "other", "pos", "size", "rest", "room"), "met-groups")
+    asked = sets.select(F.col("node").alias("q"), "size", "bits").join(small(scratch.keep(meet.select("q", "other").distinct(), "met-once")), "q")
     opened = asked.join(matrix.select(F.col("group").alias("other"), "row"), "other").select("q", "other", "size", "bits", "row").mapInArrow(qualify(percent), "q long, other long")
     opened = small(scratch.keep(opened, "opened-groups"))
-    members = labelled.select(F.col("key").alias("k"), F.col("node").alias("m"), F.col("group").alias("g"), F.col("size").alias("least"), F.col("room").alias("most"))
-    both = (F.col("key") == F.col("k")) & (F.col("other") == F.col("g")) & (F.col("room") >= percent * F.col("least")) & (F.col("most") >= percent * F.col("size"))
-    pairs = labelled.withColumnRenamed("node", "q").join(opened, "q").join(members, both).select(F.least("q", "m").alias("a"), F.greatest("q", "m").alias("b")).distinct()
+    members = labelled.select(F.col("key").alias("k"), F.col("node").alias("m"), F.col("group").alias("g"), F.col("size").alias("least"), F.col("pos").alias("early"), F.col("rest").alias("most"), F.col("room").alias("wide"))
+    both = (F.col("key") == F.col("k")) & (F.col("other") == F.col("g")) & fits
+    pairs = meet.join(opened, ["q", "other"], "left_semi").join(members, both).select(F.least("q", "m").alias("a"), F.greatest("q", "m").alias("b")).distinct()
     final = scratch.keep(linked(pairs, sets, percent, scratch), "links")
     groups = scratch.keep(components(near, links.union(final), scratch), "groups")
 

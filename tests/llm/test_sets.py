@@ -44,8 +44,7 @@ def plain_components(rows, n, percent):
 
 
 @pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80)])
-def test_components(spark, monkeypatch, n, percent):
-    monkeypatch.setattr(ngram_join, "LONG_LIST", 3)
+def test_components(spark, n, percent):
     rows = corpus(25)
     rows += rows[:3] + [(500 + k, rows[-1][1], "en", "a", 1) for k in range(4)]
     df = spark.createDataFrame(rows, DDL).selectExpr("*", "1 AS node", "2 AS keys", "3 AS component_id")
