@@ -322,10 +322,11 @@ def jaccard_join(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "
     matrix = scratch.keep(rows_of.groupBy("group").agg(F.array_sort(F.collect_list(F.struct("at", "word"))).alias("w")).select("group", F.col("w.word").alias("row")), "token-groups")
     # Nodes meet the groups, not the members, of their lists. Of q and m, whose first shared token stands at places i and j, the
     # overlap is at most rest(q) = size(q) - i and rest(m), and the union at least i + j + rest of either, and either's size.
+    # A link is found from the side of the smaller group.
     labelled = labelled.withColumn("rest", 100 * (F.col("size") - F.col("pos"))).withColumn("room", F.col("rest") - percent * F.col("size"))
     heads = labelled.groupBy(F.col("key").alias("k"), F.col("group").alias("other")).agg(F.min("size").alias("least"), F.min("pos").alias("early"), F.max("rest").alias("most"), F.max("room").alias("wide"))
     fits = (F.col("room") >= percent * F.col("early")) & (F.col("wide") >= percent * F.col("pos")) & (F.col("rest") >= percent * F.col("least")) & (F.col("most") >= percent * F.col("size"))
-    meet = labelled.join(heads, (F.col("key") == F.col("k")) & (F.col("group") != F.col("other")) & fits)
+    meet = labelled.join(heads, (F.col("key") == F.col("k")) & (F.col("group") < F.col("other")) & fits)
     meet = scratch.keep(meet.select("key", F.col("node").alias("q"), "other", "pos", "size", "rest", "room"), "met-groups")
     asked = sets.select(F.col("node").alias("q"), "size", "bits").join(small(scratch.keep(meet.select("q", "other").distinct(), "met-once")), "q")
     opened = asked.join(matrix.select(F.col("group").alias("other"), "row"), "other").select("q", "other", "size", "bits", "row").mapInArrow(qualify(percent), "q long, other long")
