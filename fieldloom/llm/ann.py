@@ -5,8 +5,9 @@ task holds two blocks of bounded size however many rows there are and however ma
 are one entry with the smallest ids that a result can need. An entry gets one extra coordinate that makes all entries equally
 long, so that the nearest by angle is the nearest by inner product; each of `trees` trees sorts the entries by a string of 32
 random hyperplane signs. A query descends to its longest matching prefix in every tree, then all trees ascend together, one sign
-at a time, until they hold `probe` times the block's entries, repeats counted. These candidates are scored exactly, in double
-precision, and the best of all blocks are merged.
+at a time, until they hold `probe` times the block's entries, repeats counted, and at least FLOOR * k different ones (or all).
+Entries that hold nothing but the query's own id count for neither. These candidates are scored exactly, in double precision,
+and the best of all blocks are merged.
 
 No row is left out of the index and no bucket has a cap. Cases: vectors that are null, zero, or hold null or non-finite components
 take no part, nor does a row without an id; a query meets only vectors of its own length; other rows with the
@@ -25,6 +26,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SIGNS = 32
+#: Different entries that a query meets at least, as a multiple of k: blocks of fewer are compared whole.
+FLOOR = 16
 DDL = "query_id long, vec_id long, score double"
 
 
@@ -41,6 +44,7 @@ class Forest:
         strings = self._strings(np.column_stack([x, extra]))
         self.order = np.argsort(strings, axis=0, kind="stable").T.astype(np.int32)
         self.sorted = np.ascontiguousarray(np.take_along_axis(strings.T, self.order, axis=1))
+        self.place = np.argsort(self.order, axis=1).astype(np.int32)
 
     def _strings(self, x: np.ndarray) -> np.ndarray:
         """Sign strings as 32-bit numbers: a row each row of x, a column each tree."""
@@ -51,12 +55,16 @@ class Forest:
             out[i : i + 4096] = packed.view(">u4").astype(np.uint32)
         return out
 
-    def candidates(self, queries: np.ndarray, want: float) -> list[np.ndarray]:
-        """For each query, the entries that the trees hold when, ascending together, they first hold `want` of them."""
+    def candidates(self, queries: np.ndarray, want: float, least: int, whose: np.ndarray, own_entry: np.ndarray) -> list[np.ndarray]:
+        """For each query, the entries that the trees hold when, ascending together, they first hold `want` of them and `least` different ones.
+
+        whose, own_entry: pairs of a query and an entry that only holds the query's id; such entries are neither counted nor given.
+        """
         strings = self._strings(np.column_stack([queries, np.zeros(len(queries))])).T
         trees, n = strings.shape
-        low, high = np.zeros((trees, n), np.int64), np.full((trees, n), self.size, np.int64)
-        open_ = np.arange(n)
+        open_, closed = np.arange(n), np.zeros(n, bool)
+        held, out = np.zeros(self.size, bool), [np.empty(0, np.int64)] * n
+        first = np.searchsorted(whose, np.arange(n + 1))
         # Longest match in any tree: with one of the two neighbours in sorted order.
         reach = np.zeros(n, np.int64)
         for t in range(trees):
@@ -73,18 +81,24 @@ class Forest:
             for t in range(trees):
                 q = strings[t][own]
                 a[t], b[t] = np.searchsorted(self.sorted[t], q & ~below), np.searchsorted(self.sorted[t], q | below, side="right")
-            low[:, own], high[:, own] = a, b
-            full = (b - a).sum(axis=0) >= want
-            open_ = np.setdiff1d(open_, own[full])
+            total = (b - a).sum(axis=0)
+            mine = np.flatnonzero(np.isin(whose, own))
+            at, place = np.searchsorted(own, whose[mine]), self.place[:, own_entry[mine]]
+            np.subtract.at(total, at, ((place >= a[:, at]) & (place < b[:, at])).sum(axis=0))
+            full = np.flatnonzero((total >= min(want, trees * self.size)) | (depth == 0))
+            for c in full.tolist():
+                q = own[c]
+                for t, i, j in zip(range(trees), a[:, c].tolist(), b[:, c].tolist(), strict=True):
+                    held[self.order[t, i:j]] = True
+                held[own_entry[first[q] : first[q + 1]]] = False
+                got = np.flatnonzero(held)
+                held[got] = False
+                if len(got) >= least or depth == 0:
+                    out[q] = got
+                    closed[q] = True
+            open_ = open_[~closed[open_]]
             if not len(open_):
                 break
-        held = np.zeros(self.size, bool)
-        out = []
-        for q in range(n):
-            for t, i, j in zip(range(trees), low[:, q].tolist(), high[:, q].tolist(), strict=True):
-                held[self.order[t, i:j]] = True
-            out.append(np.flatnonzero(held))
-            held[out[-1]] = False
         return out
 
 
@@ -111,7 +125,15 @@ def search_block(rows: pd.DataFrame, queries: pd.DataFrame, k: int, trees: int,
         distinct = x[first]
         forest = Forest(distinct, trees, seed)
         rough, longest = distinct.astype(np.float32), np.sqrt((distinct * distinct).sum(axis=1).max())
-        for i, own in enumerate(forest.candidates(q, probe * len(first))):
+        # Entries of one id only, by that id, and the queries of that id.
+        low, high = ids[by[start[:-1]]], ids[by[start[1:] - 1]]
+        single = np.flatnonzero(low == high)
+        single = single[np.argsort(low[single], kind="stable")]
+        asked = queries["vec_id"].to_numpy()[qs]
+        a, b = np.searchsorted(low[single], asked), np.searchsorted(low[single], asked, side="right")
+        whose = np.repeat(np.arange(len(qs)), b - a)
+        mine = single[np.arange(len(whose)) - np.repeat(np.cumsum(b - a) - (b - a), b - a) + np.repeat(a, b - a)]
+        for i, own in enumerate(forest.candidates(q, probe * len(first), FLOOR * k, whose, mine)):
             if len(own) > k + 1:
                 # Single precision leaves out those that are too far by more than its error.
                 near = rough[own] @ q[i].astype(np.float32)
