@@ -21,9 +21,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that stand, within one edit, earlier; those left without a word go."""
-    x = line_dedup.line_dedup(docs).withColumn("n_chars", F.length("text").cast("long"))
-    return x.where(F.coalesce(F.length(F.trim("text")), F.lit(0)) > 0).select(*COLUMNS)
+    """Documents without lines that stand earlier, the longer ones within one edit; those left without a word go."""
+    x = line_dedup.line_dedup(docs, short=True).withColumn("n_chars", F.length("text").cast("long"))
+    return x.where(F.col("text").rlike(line_dedup.WORD)).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

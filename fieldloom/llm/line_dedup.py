@@ -8,7 +8,9 @@ variant are compared by their edit distance: first each with the earliest line o
 without a neighbour with the others. The hash of a variant is a sum over its characters, so that deleting equal characters
 gives one key, and a line emits as many keys as it has different characters.
 
-Cases: lines of fewer than `min_chars` characters, blank ones included, always stay. A null text stays null; an empty one
+Cases: with `short`, every line with a word takes part in equality, and only the edit is for lines of `min_chars` characters
+or more; one edit makes another number or word of a shorter one. Without it, shorter lines always stay. Lines without a word
+always stay. A null text stays null; an empty one
 stays empty. A null id comes first. Repeated rows: equal lines at equal places of rows with one id count as one place and stay
 together. Any columns may be there; they are kept, and none is read but the id and the text. An empty table stays empty.
 """
@@ -21,6 +23,8 @@ from pyspark.sql import functions as F
 from fieldloom.llm.common import Scratch, materialize
 
 MIN_CHARS = 24
+#: A character of a word.
+WORD = r"[^\x20\x09-\x0D]"
 #: Characters by which lengths are banded for the halves.
 BAND = 4
 
@@ -50,12 +54,13 @@ def _variants() -> F.Column:
     return F.concat(F.array(F.xxhash64(n, total)), less)
 
 
-def line_drops(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def line_drops(docs: DataFrame, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
     """doc_id and drops (array of struct pos, h1: line number and hash) for each document that loses lines. docs: doc_id, text."""
     scratch = Scratch()
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.length("line") >= min_chars)
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    lines = lines.where(F.col("line").rlike(WORD) if short else F.length("line") >= min_chars)
     h1, h2 = F.xxhash64("line"), F.xxhash64(F.lit("second"), "line")
-    lines = scratch.keep(lines.select("doc_id", "pos", h1.alias("h1"), h2.alias("h2"), *[k.alias(f"k{i}") for i, k in enumerate(_halves())]), "lines")
+    lines = scratch.keep(lines.select("doc_id", "pos", h1.alias("h1"), h2.alias("h2"), *[F.when(F.length("line") >= min_chars, k).alias(f"k{i}") for i, k in enumerate(_halves())]), "lines")
     line = ["h1", "h2"]
     distinct = scratch.keep(lines.groupBy(*line, "k0", "k1", "k2", "k3").agg(F.min(_place()).alias("first"), F.count("*").alias("n")), "distinct-lines")
     keys = distinct.select(*line, "first", F.explode(F.array_compact(F.array("k0", "k1", "k2", "k3"))).alias("key"))
@@ -90,9 +95,9 @@ def line_drops(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return drops
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
     """docs without the lines that go; columns as before, and __lines, __dropped (counts of lines before and dropped)."""
-    drops = line_drops(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), min_chars).select(F.col("doc_id").alias("__id"), F.col("drops").alias("__drops"))
+    drops = line_drops(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), min_chars, short).select(F.col("doc_id").alias("__id"), F.col("drops").alias("__drops"))
     lines = F.split(F.col(text_col), "\n")
     kept = F.filter(lines, lambda x, i: ~F.array_contains("__drops", F.struct(i.alias("pos"), F.xxhash64(x).alias("h1"))))
     joined = docs.join(drops, docs[id_col].eqNullSafe(drops["__id"]), "left")

@@ -1,10 +1,12 @@
 """Operators do the whole job on inputs that a cut would hide in: small blocks, copies, short lines, frequent words."""
 
+import corpus_pipeline
 import numpy as np
 import pandas as pd
 import pytest
+from llm.helpers import WORD
 
-from fieldloom.llm import ann
+from fieldloom.llm import ann, line_dedup
 
 
 @pytest.mark.parametrize(("n", "copies"), [(1, 1), (10, 1), (30, 1), (100, 1), (200, 1), (500, 1), (3, 5), (6, 40)])
@@ -22,3 +24,22 @@ def test_neighbours_of_unit_vectors_in_small_blocks(n, copies):
         assert len(own) == len(want) == min(20, len(x) - 1) and q not in set(own.vec_id)
         hits, whole = hits + len(set(own.vec_id) & set(want)), whole + len(want)
     assert hits >= 0.95 * whole
+
+
+def test_equal_short_lines_go(spark):
+    long = "a line of more than enough characters {}"
+    texts = ["All rights reserved.\nHome\n" + long.format(1), "Home\n\nHome\nHone\n \nAll rights reserved.", long.format(2) + "\nMenu 1", "Menu 2\n\n\nMenu 1\nx", "Home\nx", "\t\nHome\n\t", None, "", "new \n "]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen, want = [], {}
+    for i, t in enumerate(texts):
+        kept = []
+        for x in (t or "").split("\n"):
+            if not WORD.search(x) or not (x in seen or (x.startswith("a line") and any(y.startswith("a line") for y in seen))):
+                kept.append(x)
+            seen.append(x)
+        want[i] = None if t is None else "\n".join(kept)
+    got = {r.doc_id: r for r in line_dedup.line_dedup(df, short=True).collect()}
+    assert {i: r.text for i, r in got.items()} == want
+    assert {i: r["__dropped"] for i, r in got.items()} == {0: 0, 1: 3, 2: 1, 3: 1, 4: 2, 5: 1, 6: 0, 7: 0, 8: 0}
+    docs = df.selectExpr("*", "'en' AS lang", "'a' AS source", "0L AS n_chars")
+    assert sorted(r.doc_id for r in corpus_pipeline.lines(spark, docs, "").collect()) == [0, 1, 2, 3, 8]
