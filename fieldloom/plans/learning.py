@@ -25,11 +25,11 @@ def land_cover_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def land_cover_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A random forest trained on every third cell, and its classes for all cells."""
     x = _cells(spark, sf_dir)
-    return landcover.forest(x.where("vec_id % 3 = 0"), x, [f"b{i}" for i in range(6)], "label", trees=20).select("vec_id", "label", "predicted")
+    return landcover.forest(x.where("vec_id % 3 = 0"), x, [f"b{i}" for i in range(6)], "label").select("vec_id", "label", "predicted")
 
 
 @query()
 def emission_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intervals of emissions by Monte Carlo for each market segment."""
     c = table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("zone")).agg(F.count("*").cast("double").alias("area"), F.lit(120.0).alias("agb"), F.lit(0.25).alias("ratio"))
-    return landcover.emission_draws(c.withColumns({"area_sd": F.col("area") * 0.05, "agb_sd": F.lit(15.0), "ratio_sd": F.lit(0.03)}), 5000)
+    return landcover.emission_draws(c.withColumns({"area_sd": F.col("area") * 0.05, "agb_sd": F.lit(15.0), "ratio_sd": F.lit(0.03)}))
