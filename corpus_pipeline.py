@@ -43,7 +43,8 @@ def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("mixture", mixture), ("sequences", sequences)]
 
-#: The forest, the connected components and the packing aren't expressible in SQL; tests compare them with brute force.
+#: The forest, the connected components and the packing aren't expressible in SQL. Tests hold components, line dedup, mixing and pieces against
+#: plain versions operator by operator; there is none of run(), nor of what the forest keeps.
 ORACLE_SQL = None
 
 
