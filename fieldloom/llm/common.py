@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -20,11 +19,10 @@ U64 = np.uint64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see; a temporary one only where none is configured."""
+    """The folder that all executors see, from spark.checkpoint.dir."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="fieldloom-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return path.rstrip("/")
 
 
@@ -37,30 +35,50 @@ def materialize(df: DataFrame, name: str = "part") -> DataFrame:
 
 
 class Scratch:
-    """Tables in the shared folder that an operator needs for a while only. keep() writes one; clear() deletes all.
+    """Tables in the shared folder that an operator needs for a while only: keep() writes one, drop() deletes those of a name, clear() all.
 
-    keep() also lets Spark drop the shuffle files of what it wrote, which otherwise stay until the driver collects garbage.
+    As a context manager it clears at the end, also after a failure.
     """
 
-    def __init__(self) -> None:
-        self.paths: list[str] = []
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.paths: dict[str, list[str]] = {}
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        spark = df.sparkSession
-        path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    def keep(self, df: DataFrame, name: str, free: bool = False) -> DataFrame:
+        """df, written and read back. free: let Spark drop the shuffle files of what was written now, not when the driver next collects garbage."""
+        path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
+        self.paths.setdefault(name, []).append(path)
         df.write.parquet(path)
-        self.paths.append(path)
-        out = spark.read.schema(df.schema).parquet(path)
-        del df
-        spark.sparkContext._jvm.System.gc()
+        out = self.spark.read.schema(df.schema).parquet(path)
+        if free:
+            del df
+            self.spark.sparkContext._jvm.System.gc()
         return out
 
-    def clear(self, spark: SparkSession) -> None:
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        for x in self.paths:
+    def drop(self, *names: str) -> None:
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for x in [x for n in names for x in self.paths.pop(n, [])]:
             path = jvm.org.apache.hadoop.fs.Path(x)
             path.getFileSystem(conf).delete(path, True)
-        self.paths = []
+
+    def clear(self) -> None:
+        self.drop(*list(self.paths))
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.clear()
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as keep it apart from the columns of df, whatever their case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for x in names:
+        while x.lower() in taken:
+            x = f"_{x}"
+        out.append(x)
+    return out
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -95,10 +113,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_POWERS = np.empty(4096, U64)
-_POWERS[0] = 1
-for _i in range(1, 4096):  # wraps around
-    _POWERS[_i] = int(_POWERS[_i - 1]) * 0x9E3779B97F4A7C15 % 2**64
+class _Weights:
+    """A random odd number for each place in a word or piece; as many as the longest one so far needs."""
+
+    def __init__(self) -> None:
+        self.known = np.empty(0, U64)
+
+    def __call__(self, places: np.ndarray) -> np.ndarray:
+        most = int(places.max(initial=-1)) + 1
+        if most > len(self.known):
+            self.known = mix(np.arange(1, max(4096, 2 * most) + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
+        return self.known[places]
+
+
+weights = _Weights()
 _BYTES = mix(np.arange(1, 257, dtype=U64) * U64(0xD1342543DE82EF95))
 _LOWER = np.arange(256)
 _LOWER[65:91] += 32
@@ -127,7 +155,7 @@ class Words:
             first = np.zeros(len(lengths), np.int64)
             np.cumsum(lengths[:-1], out=first[1:])
             place = np.arange(len(inside)) - np.repeat(first, lengths)
-            self.hashes = mix(np.add.reduceat(table[self.buffer[inside]] * _POWERS[place & 4095], first))
+            self.hashes = mix(np.add.reduceat(table[self.buffer[inside]] * weights(place), first))
         else:
             self.hashes = np.empty(0, U64)
         self.counts = np.diff(np.searchsorted(self.starts, self.offsets))

@@ -56,7 +56,7 @@ def _variants() -> F.Column:
 
 def line_drops(docs: DataFrame, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
     """doc_id and drops (array of struct pos, h1: line number and hash) for each document that loses lines. docs: doc_id, text."""
-    scratch = Scratch()
+    scratch = Scratch(docs.sparkSession)
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     lines = lines.where(F.col("line").rlike(WORD) if short else F.length("line") >= min_chars)
     h1, h2 = F.xxhash64("line"), F.xxhash64(F.lit("second"), "line")
@@ -91,7 +91,7 @@ def line_drops(docs: DataFrame, min_chars: int = MIN_CHARS, short: bool = False)
     # A hot line's occurrences and its one verdict meet in a sort-merge join, whose large partitions are split at run time.
     drops = lines.select("doc_id", "pos", *line).join(verdict, line).where(F.col("near") | (_place() > F.col("first")))
     drops = materialize(drops.groupBy("doc_id").agg(F.collect_set(F.struct("pos", "h1")).alias("drops")), "line-drops")
-    scratch.clear(docs.sparkSession)
+    scratch.clear()
     return drops
 
 

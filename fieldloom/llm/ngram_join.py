@@ -1,25 +1,20 @@
-"""N-gram Jaccard join with a token-group matrix: links between documents whose word n-gram sets overlap enough.
-
-Documents of one n-gram set are one node. Two sets of a link differ in at most d tokens, a bound that follows from their sizes,
-so if the range of token hashes is cut into d + 1 parts, the two sets are equal in at least one part. Each node therefore
-has a key for each part (and for the parts of the next smaller size band where a link reaches there); nodes without a shared
-key link with nothing. The rest goes in three steps.
-
-1. Leaders: each node is compared with one leader of its keys' posting lists, the one it shares most keys with, so that large
-   groups of near copies need one comparison a member. Linked nodes form groups (connected components). A second round takes
-   the nodes with the fewest rare tokens as leaders, and compares nodes with those of all their lists.
-2. Token-group matrix: each group has a row of BITS bits in which the hashes of its token union are set. Bits of a node that
-   the row of another group lacks are tokens that no member has, so they bound the node's overlap with every member. A node is
-   held against those groups that share a token of its prefix: with all tokens in one order, rare ones first, two nodes that
-   link share one among their first ones, and how far on each of the two has the first shared one bounds sizes and overlap.
-   The order comes from counts of token hashes in a table of fixed size; any order finds all links.
-3. Only groups that qualify are opened: the node is compared with those members that share a token of its prefix. Links found
-   join groups into components.
-
-Comparisons start with the two nodes' own bits, as many as four a token, whose differences bound the sets' difference; what
-passes is compared by whole sets, each node's set going to its leader's.
-Every link's two nodes are in one component at the end, and every comparison is of whole sets, so the components are those
-of all links. Hashes of tokens and of sets have 64 bits; equal hashes are taken for equality.
+"""N-gram Jaccard join with a token-group matrix: components of documents whose word n-gram sets overlap enough.
+
+Documents of one n-gram set are one node. With all tokens in one order, rare ones first, two nodes that link share one of their
+first tokens, so each node has keys: as many first tokens as its size asks for. Nodes without a shared key link with nothing.
+The order comes from counts of token hashes in a table of fixed size; any order finds all links.
+
+1. Leaders: each node is compared with one leader of its keys' posting lists, the one it shares most keys with. Links give
+   components, so that lists which hold one component need nothing more. Nodes of one leader are a cluster.
+2. Token-group matrix: nodes in lists that hold several components are partitioned, by cluster and size, into groups of about
+   GROUP nodes and GROUP_TOKENS tokens. A group's row has the bits of its token union. Two groups meet if they share a key.
+   For each node of the one, the tokens whose bits the other's row lacks bound its overlap with every member there.
+3. Only pairs of groups in which nodes of both sides qualify are opened: the exact union bounds them once more, and the nodes
+   left are compared by whole sets, as a product of two matrices over the tokens that both groups hold. Of the links found, those
+   that join components are kept.
+
+All pairs of nodes that share a key are compared or bounded, unless they are in one component already, so the components are
+those of all links. Hashes of tokens and of sets have 64 bits; equal hashes are taken for equality.
 
 Cases: a null, empty or blank text has no set, links with nothing and is its own component. Repeated rows and copies share a
 node; each row is returned. Texts are read whole. A null id never stands for others: a component without any other id is
@@ -28,31 +23,26 @@ null. Only the id and the text are read. An empty table gives an empty result.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import Scratch, Words, as_signed, batch, chunked, materialize, mix, text_bytes
+from fieldloom.llm.common import Scratch, Words, as_signed, batch, chunked, materialize, mix, text_bytes, unused
 
-#: Ratio between the bounds of size bands.
-BAND = 1.5
-#: Bits of a row of the token-group matrix, in words of 64.
-BITS, WORDS = 2048, 32
 #: Rows of two numbers up to which a table is broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 1_000_000
-#: Counters of token hashes, by which tokens are ordered.
-COUNTERS = 1 << 20
-#: Bits of a node's own row: four a token, between these bounds.
+#: Counters of token hashes, by which tokens are ordered, and how many of them make a row.
+COUNTERS, SLICE = 1 << 20, 1 << 14
+#: Bits of a node's row: four a token, between these bounds.
 OWN_BITS = (1024, 1 << 16)
+#: Nodes and tokens of a group of the matrix, about.
+GROUP, GROUP_TOKENS = 48, 1 << 15
 
 
 def sets_of(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct n-gram hashes of all texts, one text after the other, and how many each text has."""
-    w = Words(texts, lower=True)
-    keys, many = w.shingles(n)
+    keys, many = Words(texts, lower=True).shingles(n)
     owner = np.repeat(np.arange(len(many)), many)
     order = np.lexsort((keys, owner))
     keys, owner = keys[order], owner[order]
@@ -61,134 +51,109 @@ def sets_of(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
     return keys[new], np.bincount(owner[new], minlength=len(many))
 
 
-def band_of(size: int) -> int:
-    b = int(math.log(size) / math.log(BAND))
-    while math.ceil(BAND ** (b + 1)) <= size:
-        b += 1
-    while math.ceil(BAND**b) > size:
-        b -= 1
-    return b
+def counter_of(tokens: np.ndarray) -> np.ndarray:
+    return (mix(tokens + np.uint64(0x9FB21C651E98DF25)) % np.uint64(COUNTERS)).astype(np.int64)
 
 
-def parts_of(band: int, percent: int) -> tuple[int, int]:
-    """Parts into which a band's sets are cut, and the largest size that can link with a set of this band."""
-    largest = math.ceil(BAND ** (band + 1)) - 1
-    reach = 100 * largest // percent
-    return (100 - percent) * (largest + reach) // (100 + percent) + 1, reach
+def token_counts(docs: DataFrame, n: int) -> np.ndarray:
+    """How often the n-grams of each counter stand in docs (id, text); COUNTERS numbers, whatever the input."""
+    schema = pa.schema([("slice", pa.int32()), ("counts", pa.binary())])
 
+    def rows(total: dict[int, np.ndarray]):
+        return pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([np.minimum(x, 2**32 - 1).astype("<u4").tobytes() for x in total.values()], pa.binary())], schema=schema)
 
-def keys_of(tokens: np.ndarray, percent: int) -> np.ndarray:
-    """The node's keys: a hash of band, part and the tokens in the part."""
-    if not len(tokens):
-        return np.empty(0, np.uint64)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(tokens))])
-    own, out = band_of(len(tokens)), []
-    for band in (own, own - 1):
-        if band < 0:
-            continue
-        parts, reach = parts_of(band, percent)
-        if len(tokens) > reach:
-            continue
-        edges = np.concatenate([[0], np.searchsorted(tokens, (np.arange(1, parts) * (2.0**64 / parts)).astype(np.uint64)), [len(tokens)]])
-        out.append(mix(sums[edges[1:]] - sums[edges[:-1]] + mix(np.arange(parts, dtype=np.uint64) + np.uint64((band + 1) << 32))))
-    return np.concatenate(out)
+    def count(batches):
+        total = np.zeros(COUNTERS, np.int64)
+        for b in batches:
+            texts = text_bytes(b.column(0))
+            for i, j in chunked(texts):
+                total += np.bincount(counter_of(Words(texts[i:j], lower=True).shingles(n)[0]), minlength=COUNTERS)
+        yield rows({i: x for i, x in enumerate(total.reshape(-1, SLICE)) if x.any()})
+
+    def add(batches):
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for i, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                total[i] = total.get(i, 0) + np.frombuffer(x.as_buffer(), "<u4").astype(np.int64)
+        yield rows(total)
+
+    ddl = "slice int, counts binary"
+    found = docs.select("text").mapInArrow(count, ddl).repartition("slice").mapInArrow(add, ddl).collect()  # COUNTERS / SLICE rows
+    out = np.zeros((COUNTERS // SLICE, SLICE), np.uint32)
+    for r in found:
+        out[r["slice"]] = np.frombuffer(r["counts"], "<u4")
+    return out.ravel()
 
 
-_NODES = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("keys", pa.list_(pa.int64()))])
-_SETS = pa.schema([("node", pa.int64()), ("size", pa.int64()), ("bits", pa.list_(pa.int64())), ("wide", pa.list_(pa.int64())), ("tokens", pa.list_(pa.int64()))])
+def first_tokens(size: np.ndarray | int, percent: int):
+    """How many first tokens of a set one must look at to meet every set that links with it."""
+    return size - -(-percent * size // 100) + 1
 
 
-def _node(tokens: np.ndarray) -> int:
-    x = mix(np.concatenate([[np.bitwise_xor.reduce(mix(tokens + np.uint64(0x5851F42D4C957F2D)))], [tokens.sum()]]).astype(np.uint64))
-    return int(as_signed(mix(x[:1] + x[1:]))[0])
+def nodes_of(tokens: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """A hash of each set; the sets follow each other and hold many tokens each, none of them 0 tokens."""
+    start = np.cumsum(many) - many
+    both = mix(np.bitwise_xor.reduceat(mix(tokens + np.uint64(0x5851F42D4C957F2D)), start)) + mix(np.add.reduceat(tokens, start))
+    return as_signed(mix(both + many.astype(np.uint64)))
 
 
-def node_table(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, node (null for an empty set) and keys of each document."""
+def node_table(docs: DataFrame, n: int, percent: int, counts) -> DataFrame:
+    """doc_id, n_shingles, node (null for an empty set) and keys (its first tokens) of each document. counts: a broadcast of counters."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches):
+        seen = counts.value
         for b in batches:
             texts = text_bytes(b.column(1))
             for i, j in chunked(texts):
                 tokens, many = sets_of(texts[i:j], n)
-                ends = np.cumsum(many)
-                own = [tokens[e - m : e] for e, m in zip(ends, many, strict=True)]
-                yield batch(_NODES, b.column(0).slice(i, j - i), many, [_node(x) if len(x) else None for x in own], [as_signed(keys_of(x, percent)) for x in own])
+                node = np.zeros(len(many), np.int64)
+                node[many > 0] = nodes_of(tokens, many[many > 0]) if len(tokens) else 0
+                owner = np.repeat(np.arange(len(many)), many)
+                order = np.lexsort((tokens, seen[counter_of(tokens)], owner))
+                place = np.arange(len(tokens)) - np.repeat(np.cumsum(many) - many, many)
+                wanted = np.where(many > 0, first_tokens(many, percent), 0)
+                keys = as_signed(tokens[order][place < wanted[owner]])
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(wanted)]).astype(np.int32)), pa.array(keys))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(many), pa.array(node, mask=many == 0), lists], schema=schema)
 
     return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, keys array<long>")
 
 
-def bits_of(tokens: np.ndarray, bits: int = BITS) -> np.ndarray:
+def own_bits(tokens: np.ndarray) -> np.ndarray:
+    """A row of bits in which the hashes of the tokens are set."""
+    bits = min(max(1 << (4 * len(tokens) - 1).bit_length(), OWN_BITS[0]), OWN_BITS[1])
     row = np.zeros(bits, np.uint8)
     row[(mix(tokens ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(bits)).astype(np.int64)] = 1
-    return np.packbits(row).view(np.int64)
+    return np.packbits(row, bitorder="little").view(np.int64)
 
 
-def own_bits(tokens: np.ndarray) -> np.ndarray:
-    return bits_of(tokens, min(max(1 << (4 * len(tokens) - 1).bit_length(), OWN_BITS[0]), OWN_BITS[1]))
+def folded(x: np.ndarray, words: int) -> np.ndarray:
+    return np.bitwise_or.reduce(x.reshape(-1, words))
 
 
 def bits_apart(x: np.ndarray, y: np.ndarray) -> int:
     """Bits in which two rows differ, the longer one folded to the other's length; each stands for a token that only one has."""
     few = min(len(x), len(y))
-    return int(np.bitwise_count((np.bitwise_or.reduce(x.reshape(-1, few)) ^ np.bitwise_or.reduce(y.reshape(-1, few))).view(np.uint64)).sum())
-
-
-def counter_of(tokens: np.ndarray) -> np.ndarray:
-    return (mix(tokens + np.uint64(0x9FB21C651E98DF25)) % np.uint64(COUNTERS)).astype(np.int64)
-
-
-def token_counts(sets: DataFrame) -> np.ndarray:
-    """How often the tokens of each counter stand in sets; COUNTERS numbers, whatever the input."""
-
-    def run(batches):
-        total = np.zeros(COUNTERS, np.int64)
-        for b in batches:
-            total += np.bincount(counter_of(b.column(0).flatten().to_numpy().view(np.uint64)), minlength=COUNTERS)
-        at = np.flatnonzero(total)
-        for i in range(0, len(at), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(at[i : i + (1 << 16)]), pa.array(total[at[i : i + (1 << 16)]])], names=["at", "n"])
-
-    found = sets.select("tokens").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(COUNTERS, np.uint32)
-    out[found["at"].to_numpy()] = np.minimum(found["n"].to_numpy(), 2**32 - 1)
-    return out
-
-
-def prefixes(sets: DataFrame, counts, percent: int) -> DataFrame:
-    """node, size, rare (tokens that nothing else has) and prefix: the next tokens by count up to the place by which a linked node has a shared one."""
-    schema = pa.schema([("node", pa.int64()), ("size", pa.int64()), ("rare", pa.int64()), ("prefix", pa.list_(pa.int64()))])
-
-    def run(batches):
-        many = counts.value
-        for b in batches:
-            rare, first = [], []
-            for x in b.column(2):
-                tokens = x.values.to_numpy().view(np.uint64)
-                n = many[counter_of(tokens)]
-                rare.append(int((n == 1).sum()))
-                order = np.lexsort((tokens, n))[: len(tokens) - -(-percent * len(tokens) // 100) + 1]
-                first.append(as_signed(tokens[order[rare[-1] :]]))
-            yield batch(schema, b.column(0), b.column(1), rare, first)
-
-    return sets.select("node", "size", "tokens").mapInArrow(run, "node long, size long, rare long, prefix array<long>")
+    return int(np.bitwise_count((folded(x, few) ^ folded(y, few)).view(np.uint64)).sum())
 
 
 def token_sets(docs: DataFrame, n: int) -> DataFrame:
     """node, size, bits and sorted tokens for each row of docs (text, expected node) that has the expected node."""
+    schema = pa.schema([("node", pa.int64()), ("size", pa.int64()), ("bits", pa.list_(pa.int64())), ("tokens", pa.list_(pa.int64()))])
 
     def run(batches):
         for b in batches:
             texts, wanted = text_bytes(b.column(0)), b.column(1).to_pylist()
             for i, j in chunked(texts):
                 tokens, many = sets_of(texts[i:j], n)
-                ends = np.cumsum(many)
-                own = [tokens[e - m : e] for e, m in zip(ends, many, strict=True)]
-                own = [(w, x) for w, x in zip(wanted[i:j], own, strict=True) if len(x) and _node(x) == w]
-                if own:
-                    yield batch(_SETS, [w for w, _ in own], [len(x) for _, x in own], [bits_of(x) for _, x in own], [own_bits(x) for _, x in own], [as_signed(x) for _, x in own])
+                if len(tokens):
+                    ends = np.cumsum(many)[many > 0]
+                    found = zip([w for w, m in zip(wanted[i:j], many, strict=True) if m], nodes_of(tokens, many[many > 0]).tolist(), ends - many[many > 0], ends, strict=True)
+                    own = [(w, tokens[a:e]) for w, got, a, e in found if w == got]
+                    yield batch(schema, [w for w, _ in own], [len(x) for _, x in own], [own_bits(x) for _, x in own], [as_signed(x) for _, x in own])
 
-    return docs.mapInArrow(run, "node long, size long, bits array<long>, wide array<long>, tokens array<long>")
+    return docs.mapInArrow(run, "node long, size long, bits array<long>, tokens array<long>")
 
 
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -196,10 +161,6 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
-def _rows(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, WORDS)
-
-
 def linked(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) of nodes that link: by their sizes and bits first, then by their whole sets. Where one of a pair has many partners, it should be b."""
 
@@ -226,20 +187,83 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) ->
         right = sets.select(F.col("node").alias("b"), *[F.col(c).alias(f"{c}_b") for c in columns]).join(pairs.select("b"), "b", "left_semi")
         return left.hint("merge").join(right, "b")
 
-    pairs = scratch.keep(pairs, "pairs")
-    x = both_sides(pairs, "size", "wide").where(100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b"))
-    near = scratch.keep(x.select("a", "b", "size_a", "wide_a", "size_b", "wide_b").mapInArrow(rough, "a long, b long"), "near-pairs")
+    x = both_sides(pairs, "size", "bits").where(100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b"))
+    near = scratch.keep(x.select("a", "b", "size_a", "bits_a", "size_b", "bits_b").mapInArrow(rough, "a long, b long"), "near-pairs")
     return both_sides(near, "tokens").select("a", "b", "tokens_a", "tokens_b").mapInArrow(exact, "a long, b long")
 
 
+def _members(x: pa.StructScalar) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """Nodes, components, sizes and lists of numbers of a group."""
+    m = x.values
+    return (*(m.field(i).to_numpy() for i in range(3)), m.field(3))
+
+
 def qualify(percent: int):
-    """Keeps (node, group) if the group's row leaves room for a link: a member holds `percent` of the node's tokens at least."""
+    """Keeps pairs of groups in which, by the bits of the token unions, each side has a node that the other leaves room for a link."""
+
+    def room(size: np.ndarray, bits: list[np.ndarray], row: np.ndarray) -> bool:
+        for n, x in zip(size, bits, strict=True):
+            few = min(len(x), len(row))
+            missing = int(np.bitwise_count((folded(x, few) & ~folded(row, few)).view(np.uint64)).sum())
+            if 100 * (n - missing) >= percent * n:
+                return True
+        return False
 
     def run(batches):
         for t in batches:
-            missing = np.bitwise_count(_rows(t.column(3)) & ~_rows(t.column(4))).sum(axis=1, dtype=np.int64)
-            size = t.column(2).to_numpy()
-            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], names=["q", "other"]).filter(pa.array(100 * (size - missing) >= percent * size))
+            keep = []
+            for i in range(t.num_rows):
+                (_, _, s, x), (_, _, r, y) = _members(t.column(2)[i]), _members(t.column(3)[i])
+                x, y = ([v.values.to_numpy() for v in z] for z in (x, y))
+                few = min(map(len, [*x, *y]))
+                union = lambda z: np.bitwise_or.reduce([folded(v, few) for v in z])  # noqa: B023, E731
+                keep.append(room(s, x, union(y)) and room(r, y, union(x)))
+            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], names=["p", "q"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def links_between(left: tuple, right: tuple, percent: int) -> list[tuple[int, int]]:
+    """Links between nodes of two groups, of which only those that join components that are still apart. A group: nodes, components, sizes, lists of sorted tokens."""
+    sides = []
+    for (node, of, size, tokens), (_, _, _, other) in ((left, right), (right, left)):
+        flat, union = tokens.flatten().to_numpy().view(np.uint64), np.unique(other.flatten().to_numpy().view(np.uint64))
+        at = np.minimum(np.searchsorted(union, flat), len(union) - 1)
+        shared = np.add.reduceat((union[at] == flat).astype(np.int64), np.cumsum(size) - size)
+        sides.append((node, of, size, flat, np.repeat(np.arange(len(size)), size), 100 * shared >= percent * size))
+    common = np.intersect1d(sides[0][3], sides[1][3])
+    if not len(common):
+        return []
+    grids = []
+    for node, of, size, flat, owner, open_ in sides:
+        at = np.minimum(np.searchsorted(common, flat), len(common) - 1)
+        hit = (common[at] == flat) & open_[owner]
+        grid = np.zeros((len(size), len(common)), np.float32)
+        grid[owner[hit], at[hit]] = 1
+        grids.append(grid[open_])
+    (a, of_a, n_a), (b, of_b, n_b) = ((node[o], of[o], size[o]) for node, of, size, _, _, o in sides)
+    both = (grids[0] @ grids[1].T).astype(np.int64)
+    hits = np.argwhere((100 * both >= percent * (n_a[:, None] + n_b[None] - both)) & (of_a[:, None] != of_b[None]))
+    out, root = [], {}
+
+    def find(x: int) -> int:
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    for i, j in hits:
+        x, y = find(int(of_a[i])), find(int(of_b[j]))
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            out.append((int(a[i]), int(b[j])))
+    return out
+
+
+def open_groups(percent: int):
+    def run(batches):
+        for t in batches:
+            found = [x for i in range(t.num_rows) for x in links_between(_members(t.column(2)[i]), _members(t.column(3)[i]), percent)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return run
 
@@ -265,98 +289,113 @@ def components(nodes: DataFrame, links: DataFrame, scratch: Scratch) -> DataFram
     return nodes.join(few(groups), "node", "left").select("node", F.coalesce("group", "node").alias("group"))
 
 
-def jaccard_join(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id of the component) and n_copies (rows of the same set), one row a row of docs."""
-    scratch = Scratch()
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = scratch.keep(node_table(docs, n, percent), "nodes")
+def joined(docs: DataFrame, n: int, percent: int, scratch: Scratch) -> DataFrame:
+    """doc_id, n_shingles, node, component_id, n_copies and stands (whether the node is the one that stands for its component) of each row of docs (doc_id, text)."""
+    counts = docs.sparkSession.sparkContext.broadcast(token_counts(docs, n))
+    keyed = scratch.keep(node_table(docs, n, percent, counts), "keyed-nodes")
+    rows = scratch.keep(keyed.drop("keys"), "nodes")
     nodes = scratch.keep(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_copies")), "distinct-nodes")
     # A node's keys from the row of its smallest id; rows of other ids are copies.
     least = nodes.where("n_copies > 1").select("node", F.col("doc_id").alias("at"))
     copies = rows.select("node", "doc_id").join(least, "node").where(~F.col("doc_id").eqNullSafe(F.col("at"))).select(F.col("node").alias("n"), F.col("doc_id").alias("d")).distinct()
     copies = small(scratch.keep(copies, "copies"))
-    first = rows.where("node is not null").join(copies, (F.col("node") == F.col("n")) & F.col("doc_id").eqNullSafe(F.col("d")), "left_anti")
-    # Both the counts of keys and the lists come from one shuffle.
+    first = keyed.where("node is not null").join(copies, (F.col("node") == F.col("n")) & F.col("doc_id").eqNullSafe(F.col("d")), "left_anti")
+    # Both the lists' ends and the lists come from one shuffle.
     posted = first.select("node", F.explode("keys").alias("key")).repartition("key")
-    shared = posted.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
-    lists = scratch.keep(posted.join(shared, "key").select("key", "node").distinct(), "posting-lists")
+    shared = posted.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key", F.col("low").alias("lead"))
+    lists = scratch.keep(posted.join(shared, "key").select("key", "node", "lead").distinct(), "posting-lists", free=True)
+    scratch.drop("keyed-nodes", "copies")
     near = scratch.keep(lists.select("node").distinct(), "near-nodes")
     wanted = small(scratch.keep(nodes.join(near, "node", "left_semi").select(F.col("doc_id").alias("at"), "node"), "wanted"))
-    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("at"))).select("text", "node")
-    sets = scratch.keep(token_sets(texts, n), "token-sets")
+    sets = scratch.keep(token_sets(docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("at"))).select("text", "node"), n), "token-sets")
     if sets.count() > near.count():  # repeated rows of one id
         sets = scratch.keep(sets.dropDuplicates(["node"]), "distinct-token-sets")
 
-    def round_of(groups: DataFrame, order: list[str], links: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        """Links with the lists' leaders, the least by the order, and the groups that all links make."""
-        labelled = lists.join(small(groups), "node")
-        lead = labelled.groupBy("key").agg(F.min(F.struct(*order, "node", "group")).alias("lead"), F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high")
-        lead = small(scratch.keep(lead.select("key", "lead"), "leaders"), BROADCAST_ROWS // 4)
-        pairs = labelled.join(lead, "key").where(F.col("group") != F.col("lead.group")).groupBy(F.col("node").alias("a"), F.col("lead.node").alias("b")).agg(F.count("*").alias("m"))
-        if links is None:  # the others are left to later rounds, for which few are still apart
-            pairs = pairs.groupBy("a").agg(F.max_by("b", F.struct("m", "b")).alias("b"))
-        new = scratch.keep(linked(pairs.select("a", "b"), sets, percent, scratch), "links")
-        links = new if links is None else links.union(new)
-        return links, scratch.keep(components(near, links, scratch), "groups")
-
-    links, groups = round_of(near.withColumn("group", F.col("node")), [], None)
-    counts = docs.sparkSession.sparkContext.broadcast(token_counts(sets))
-    firsts = scratch.keep(prefixes(sets, counts, percent), "prefixes")
-    links, groups = round_of(groups.join(small(firsts.select("node", (F.col("rare") / F.col("size")).alias("apart"))), "node"), ["apart"], links)
-
-    # Token-group matrix.
-    # Nodes of lists that hold several groups, by the tokens of their prefixes. pos: tokens of the node before that one.
-    labelled = lists.join(small(groups), "node")
-    mixed = labelled.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("key")
-    mixed = small(scratch.keep(mixed, "mixed-lists"))
-    apart = small(scratch.keep(labelled.join(mixed, "key", "left_semi").select("node", "group").distinct(), "apart"))
-    labelled = firsts.join(apart, "node").select("node", "group", "size", "rare", F.posexplode("prefix").alias("pos", "key"))
-    labelled = labelled.withColumn("pos", F.col("pos") + F.col("rare")).drop("rare")
-    labelled = scratch.keep(labelled, "prefix-tokens")
-    mixed = labelled.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("key")
-    mixed = small(scratch.keep(mixed, "mixed-tokens"))
-    labelled = scratch.keep(labelled.join(mixed, "key", "left_semi"), "open-lists")
-    inside = small(scratch.keep(labelled.select("node", "group").distinct(), "inside"))
-    bits = sets.join(inside, "node").select("group", F.posexplode("bits").alias("at", "word"))
-    rows_of = bits.groupBy("group", "at").agg(F.bit_or("word").alias("word"))
-    matrix = scratch.keep(rows_of.groupBy("group").agg(F.array_sort(F.collect_list(F.struct("at", "word"))).alias("w")).select("group", F.col("w.word").alias("row")), "token-groups")
-    # Nodes meet the groups, not the members, of their lists. Of q and m, whose first shared token stands at places i and j, the
-    # overlap is at most rest(q) = size(q) - i and rest(m), and the union at least i + j + rest of either, and either's size.
-    # A link is found from the side of the smaller group.
-    labelled = labelled.withColumn("rest", 100 * (F.col("size") - F.col("pos"))).withColumn("room", F.col("rest") - percent * F.col("size"))
-    heads = labelled.groupBy(F.col("key").alias("k"), F.col("group").alias("other")).agg(F.min("size").alias("least"), F.min("pos").alias("early"), F.max("rest").alias("most"), F.max("room").alias("wide"))
-    fits = (F.col("room") >= percent * F.col("early")) & (F.col("wide") >= percent * F.col("pos")) & (F.col("rest") >= percent * F.col("least")) & (F.col("most") >= percent * F.col("size"))
-    meet = labelled.join(heads, (F.col("key") == F.col("k")) & (F.col("group") < F.col("other")) & fits)
-    meet = scratch.keep(meet.select("key", F.col("node").alias("q"), "other", "pos", "size", "rest", "room"), "met-groups")
-    asked = sets.select(F.col("node").alias("q"), "size", "bits").join(small(scratch.keep(meet.select("q", "other").distinct(), "met-once")), "q")
-    opened = asked.join(matrix.select(F.col("group").alias("other"), "row"), "other").select("q", "other", "size", "bits", "row").mapInArrow(qualify(percent), "q long, other long")
-    opened = small(scratch.keep(opened, "opened-groups"))
-    members = labelled.select(F.col("key").alias("k"), F.col("node").alias("m"), F.col("group").alias("g"), F.col("size").alias("least"), F.col("pos").alias("early"), F.col("rest").alias("most"), F.col("room").alias("wide"))
-    both = (F.col("key") == F.col("k")) & (F.col("other") == F.col("g")) & fits
-    pairs = meet.join(opened, ["q", "other"], "left_semi").join(members, both).select(F.least("q", "m").alias("a"), F.greatest("q", "m").alias("b")).distinct()
-    final = scratch.keep(linked(pairs, sets, percent, scratch), "links")
-    groups = scratch.keep(components(near, links.union(final), scratch), "groups")
+    # Leaders.
+    pairs = lists.where("node <> lead").groupBy(F.col("node").alias("a"), F.col("lead").alias("b")).agg(F.count("*").alias("m"))
+    led = scratch.keep(pairs.groupBy("a").agg(F.max_by("b", F.struct("m", "b")).alias("b")), "led")
+    links = scratch.keep(linked(led, sets, percent, scratch), "links", free=True)
+    groups = scratch.keep(components(near, links, scratch), "groups")
+
+    # Token-group matrix, over nodes of lists with several components.
+    labelled = lists.select("key", "node").join(small(groups), "node")
+    mixed = labelled.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("key")
+    labelled = scratch.keep(labelled.join(small(scratch.keep(mixed, "mixed-lists")), "key", "left_semi"), "open-lists")
+    apart = labelled.select("node", "group").distinct().join(small(led).withColumnsRenamed({"a": "node", "b": "lead"}), "node", "left")
+    apart = sets.select("node", "size").join(small(scratch.keep(apart, "apart")), "node").select("node", "group", "size", F.coalesce("lead", "node").alias("lead"), F.floor(F.log2("size") * 2).alias("band"))
+    apart = scratch.keep(apart, "apart")
+    parts = apart.groupBy("lead", "band").agg(F.ceil(F.greatest(F.count("*") / GROUP, F.sum("size") / GROUP_TOKENS)).alias("parts"))
+    member = apart.join(parts, ["lead", "band"]).select("node", "group", F.xxhash64("lead", "band", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("block"))
+    member = small(scratch.keep(member, "members"))
+    held = labelled.drop("group").join(member, "node").groupBy("key", "block").agg(F.min("group").alias("low"), F.max("group").alias("high"))
+    held = scratch.keep(held, "lists-of-groups")
+    other = held.select(F.col("key").alias("k"), F.col("block").alias("q"), F.col("low").alias("l"), F.col("high").alias("h"))
+    meet = held.join(other, (F.col("key") == F.col("k")) & (F.col("block") <= F.col("q")) & (F.least("low", "l") < F.greatest("high", "h"))).select(F.col("block").alias("p"), "q").distinct()
+    meet = scratch.keep(meet, "met-groups")
+
+    def groups_of(column: str, pairs: DataFrame) -> DataFrame:
+        """block and its members, with a column of sets, for the groups of pairs."""
+        asked = small(scratch.keep(pairs.select("p").union(pairs.select("q")).distinct().withColumnRenamed("p", "block"), "asked"))
+        own = sets.select("node", "size", column).join(small(scratch.keep(member.join(asked, "block", "left_semi"), "asked-members")), "node")
+        return scratch.keep(own.groupBy("block").agg(F.collect_list(F.struct("node", "group", "size", column)).alias("members")), "token-groups")
+
+    def paired(pairs: DataFrame, held: DataFrame) -> DataFrame:
+        left = held.select(F.col("block").alias("p"), F.col("members").alias("x")).join(small(pairs), "p")
+        return left.hint("merge").join(held.select(F.col("block").alias("q"), F.col("members").alias("y")), "q").select("p", "q", "x", "y")
+
+    opened = scratch.keep(paired(meet, groups_of("bits", meet)).mapInArrow(qualify(percent), "p long, q long"), "opened-groups")
+    more = scratch.keep(paired(opened, groups_of("tokens", opened)).mapInArrow(open_groups(percent), "a long, b long"), "links", free=True)
+    groups = scratch.keep(components(near, links.union(more), scratch), "groups")
+    scratch.drop("token-groups", "token-sets", "distinct-token-sets", "open-lists", "posting-lists", "lists-of-groups")
 
     named = nodes.join(groups, "node", "left").withColumn("group", F.coalesce("group", "node"))
-    least = named.groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    least = named.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("node").alias("node"))).alias("least"))
     # Only nodes of several rows or several members need a look-up; a hot node's rows are dealt by document.
-    known = named.join(least, "group").where("n_copies > 1 or component_id <> doc_id or doc_id is null").select("node", "component_id", "n_copies")
+    known = named.join(least, "group").select("node", "doc_id", F.col("least.id").alias("component_id"), "n_copies", (F.col("node") == F.col("least.node")).alias("stands"))
+    known = known.where("n_copies > 1 or not stands").drop("doc_id")
     salts = 16
     known = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<long>")))
-    out = rows.select("doc_id", "n_shingles", "node").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
-    out = out.join(known, ["node", "salt"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_copies", F.when(F.col("n_shingles") > 0, 1).otherwise(0)).cast("long").alias("n_copies"))
-    out = materialize(out, "components")
-    scratch.clear(out.sparkSession)
-    return out
+    out = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts))).join(known, ["node", "salt"], "left")
+    found = F.col("n_copies").isNotNull()
+    return out.select("doc_id", "n_shingles", "node", F.when(found, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(found, F.col("n_copies")).when(F.col("n_shingles") > 0, 1).otherwise(0).cast("long").alias("n_copies"), F.when(found, F.col("stands")).otherwise(True).alias("stands"))
+
+
+def jaccard_join(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id of the component) and n_copies (rows of the same set), one row a row of docs."""
+    with Scratch(docs.sparkSession) as scratch:
+        x = joined(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), n, percent, scratch)
+        return materialize(x.select("doc_id", "n_shingles", "component_id", "n_copies"), "components")
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, whose id is the smallest of their component; repeated rows stay once. An id is taken to stand for one text."""
-    x = jaccard_join(docs, n, percent, id_col, text_col)
-    stay = x.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__rows"))
-    stay = materialize(stay, "representatives")
-    kept = docs.join(stay, docs[id_col].cast("long").eqNullSafe(F.col("__id")))
-    once = kept.where("__rows = 1").select(*docs.columns)
-    if not stay.where("__rows > 1").limit(1).count():
+    """The rows of docs, with all their columns, that stand for their component: those of the smallest id, null last. Of rows alike in id and set one stays; of rows without a set, one of each id and text."""
+    own, rows, node, many = unused(docs, "id", "rows", "node", "many")
+    with Scratch(docs.sparkSession) as scratch:
+        x = scratch.keep(joined(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), n, percent, scratch), "components")
+        stay = x.where(F.col("stands") & (F.col("node").isNull() | F.col("doc_id").eqNullSafe(F.col("component_id"))))
+        stay = stay.groupBy("doc_id").agg(F.collect_set("node").alias(node))
+        stay = stay.join(x.groupBy("doc_id").agg(F.count("*").alias(rows)).withColumnRenamed("doc_id", own), F.col("doc_id").eqNullSafe(F.col(own))).select(own, rows, node)
+        stay = materialize(stay, "representatives")
+    few = small(stay)
+    kept = docs.join(few, docs[id_col].cast("long").eqNullSafe(F.col(own)))
+    once = kept.where(F.col(rows) == 1).select(*docs.columns)
+    if not stay.where(F.col(rows) > 1).limit(1).count():
         return once
-    return once.unionByName(kept.where("__rows > 1").select(*docs.columns).dropDuplicates([id_col, text_col]))
+    # Rows that share an id: their sets tell which of them stay.
+    text = docs.columns.index(text_col)
+
+    def run(batches):
+        for b in batches:
+            texts, found = text_bytes(b.column(text)), []
+            for i, j in chunked(texts):
+                tokens, sizes = sets_of(texts[i:j], n)
+                x = np.zeros(len(sizes), np.int64)
+                x[sizes > 0] = nodes_of(tokens, sizes[sizes > 0]) if len(tokens) else 0
+                found.append(pa.array(x, mask=sizes == 0))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.chunked_array(found, pa.int64()).combine_chunks()], names=[*b.schema.names, many])
+
+    several = kept.where(F.col(rows) > 1).drop(own, rows)
+    several = several.mapInArrow(run, several.withColumn(many, F.lit(None).cast("long")).schema)
+    sets = several.where(F.array_contains(node, F.col(many))).dropDuplicates([id_col, many])
+    blank = several.where(F.col(many).isNull()).dropDuplicates([id_col, text_col])
+    return once.unionByName(sets.select(*docs.columns)).unionByName(blank.select(*docs.columns))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import materialize, mix
+from fieldloom.llm.common import materialize, mix, weights
 
 LENGTH = 2048
 #: Tokens by which lengths are classed for the plan.
@@ -93,10 +93,6 @@ def cuts(codes: np.ndarray, texts: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begin)
 
 
-_POWERS = np.empty(4096, np.uint64)
-_POWERS[0] = 1
-for _i in range(1, 4096):  # wraps around
-    _POWERS[_i] = int(_POWERS[_i - 1]) * 0x9E3779B97F4A7C15 % 2**64
 _CODES = mix(np.arange(1, 0x110001, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
@@ -118,7 +114,7 @@ class Encoder:
             visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
             letters = {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in visible)}
             ranks = {bytes(letters[c] for c in t): i for t, i in x["model"]["vocab"].items() if t not in self.special}
-            self.pieces = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
+            self.pieces = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.known = np.empty(0, np.uint64)
         self.first = np.zeros(1, np.int64)
         self.ids = np.empty(0, np.uint32)
@@ -150,7 +146,7 @@ class Encoder:
         begin = cuts(codes, starts)
         lengths = np.diff(np.append(begin, len(codes)))
         place = np.arange(len(codes)) - np.repeat(begin, lengths)
-        keys = mix(np.add.reduceat(_CODES[codes] * _POWERS[place & 4095], begin))
+        keys = mix(np.add.reduceat(_CODES[codes] * weights(place), begin))
         distinct, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
         place = np.minimum(np.searchsorted(self.known, distinct), max(0, len(self.known) - 1))
         hit = self.known[place] == distinct if len(self.known) else np.zeros(len(distinct), bool)

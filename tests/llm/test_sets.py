@@ -7,12 +7,14 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from llm.helpers import DDL, corpus, words
 from tokenizers import Tokenizer
 
 from fieldloom.llm import ann, brown_lm, line_dedup, mixing, ngram_join, packing, url_filter
+from fieldloom.llm.common import Words
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -57,6 +59,7 @@ def test_components(spark, n, percent):
 
 def test_links_have_a_common_key():
     rng = np.random.default_rng(3)
+    firsts = lambda x, percent: set(np.sort(x)[: ngram_join.first_tokens(len(x), percent)].tolist())
     for percent in (80, 90):
         for size in (1, 2, 5, 9, 10, 40, 57, 300):
             x = np.unique(rng.integers(0, 2**64, size, dtype=np.uint64))
@@ -64,7 +67,50 @@ def test_links_have_a_common_key():
                 y = np.unique(np.concatenate([x[cut:], rng.integers(0, 2**64, rng.integers(0, cut + 1), dtype=np.uint64)]))
                 both = len(np.intersect1d(x, y))
                 if 100 * both >= percent * (len(x) + len(y) - both):
-                    assert set(ngram_join.keys_of(x, percent).tolist()) & set(ngram_join.keys_of(y, percent).tolist())
+                    assert firsts(x, percent) & firsts(y, percent)
+
+
+def test_long_words_stay_apart(spark):
+    for n in (4095, 4096, 9000):
+        one, two = f"x{'a' * n}y", f"y{'a' * n}x"
+        rows = [(0, f"{one} b c"), (1, f"{two} b c"), (2, f"{one} b c"), (None, two)]
+        if n == 4095:
+            got = sorted(tuple(r)[:3] for r in ngram_join.jaccard_join(spark.createDataFrame(rows[:3], "doc_id long, text string")).collect())
+            assert got == [(0, 1, 0), (1, 1, 1), (2, 1, 0)]
+        assert len({*Words([one.encode(), two.encode()], lower=True).hashes.tolist()}) == 2
+        whole, own = Tokenizer.from_file(TOKENIZER), packing.Encoder(TOKENIZER)
+        assert [x.tolist() for x in own.encode([one, two])] == [whole.encode(t, add_special_tokens=False).ids for t in (one, two)]
+
+
+def test_links_between_groups_join_components():
+    rng = np.random.default_rng(8)
+    base = np.unique(rng.integers(0, 2**64, 60, dtype=np.uint64))
+    sets = [np.sort(np.concatenate([np.delete(base, rng.choice(60, k, replace=False)), rng.integers(0, 2**64, k, dtype=np.uint64)])) for k in [0, 1, 2, 3, 4, 6, 9, 20] * 2]
+    group = lambda at: (np.array(at), np.array(at), np.array([len(sets[i]) for i in at]), pa.array([sets[i].view(np.int64) for i in at]))
+    for left, right in (([*range(8)], [*range(8, 16)]), ([*range(16)], [*range(16)])):
+        got = ngram_join.links_between(group(left), group(right), 90)
+        want = {(i, j) for i in left for j in right if i != j and 100 * len(np.intersect1d(sets[i], sets[j])) >= 90 * len(np.union1d(sets[i], sets[j]))}
+        assert set(got) <= want
+
+        def parts(pairs):
+            label = list(range(16))
+            for _ in range(16):
+                for a, b in pairs:
+                    label[a] = label[b] = min(label[a], label[b])
+            return label
+
+        assert parts(got) == parts(want)
+
+
+def test_one_of_each_with_repeated_and_null_ids(spark):
+    text = "a b c d e f g h i j k l m n o p q r s t u v w x y z "
+    rows = [(1, text), (1, "other words " * 9), (1, text), (2, text + "end"), (None, text), (None, "alone in the world of ids"), (3, None), (3, ""), (3, ""), (4, " ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "doc_id AS id", "1 AS rows", "2 AS Node")
+    got = ngram_join.one_of_each(df)
+    assert got.columns == df.columns
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    want = [(1, text), (1, "other words " * 9), (None, "alone in the world of ids"), (3, None), (3, ""), (4, " ")]
+    assert sorted([(r.doc_id, r.text) for r in got.collect()], key=key) == sorted(want, key=key)
 
 
 def test_empty_join(spark):
