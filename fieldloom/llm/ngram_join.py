@@ -1,8 +1,9 @@
 """N-gram Jaccard join with a token-group matrix: components of documents whose word n-gram sets overlap enough.
 
-Documents of one n-gram set are one node. With all tokens in one order, rare ones first, two nodes that link share one of their
-first tokens, so each node has keys: as many first tokens as its size asks for. Nodes without a shared key link with nothing.
-The order comes from counts of token hashes in a table of fixed size; any order finds all links.
+Documents of one n-gram set are one node. Two sets of a link differ in at most d tokens, a bound that follows from their sizes,
+so if the range of token hashes is cut into more than d parts, at most d of them differ. Each node has a key for each part (and
+for the parts of the next smaller size band where a link reaches there), and must share as many of them as it has above d.
+Nodes that share fewer, with whatever other nodes, link with nothing.
 
 1. Leaders: each node is compared with one leader of its keys' posting lists, the one it shares most keys with. Links give
    components, so that lists which hold one component need nothing more. Nodes of one leader are a cluster.
@@ -23,6 +24,8 @@ null. Only the id and the text are read. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,10 +33,10 @@ from pyspark.sql import functions as F
 
 from fieldloom.llm.common import Scratch, Words, as_signed, batch, chunked, materialize, mix, text_bytes, unused
 
+#: Ratio between the bounds of size bands.
+BAND = 1.5
 #: Rows of two numbers up to which a table is broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 1_000_000
-#: Counters of token hashes, by which tokens are ordered, and how many of them make a row.
-COUNTERS, SLICE = 1 << 20, 1 << 14
 #: Bits of a node's row: four a token, between these bounds.
 OWN_BITS = (1024, 1 << 16)
 #: Nodes and tokens of a group of the matrix, about.
@@ -51,43 +54,45 @@ def sets_of(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
     return keys[new], np.bincount(owner[new], minlength=len(many))
 
 
-def counter_of(tokens: np.ndarray) -> np.ndarray:
-    return (mix(tokens + np.uint64(0x9FB21C651E98DF25)) % np.uint64(COUNTERS)).astype(np.int64)
-
-
-def token_counts(docs: DataFrame, n: int) -> np.ndarray:
-    """How often the n-grams of each counter stand in docs (id, text); COUNTERS numbers, whatever the input."""
-    schema = pa.schema([("slice", pa.int32()), ("counts", pa.binary())])
-
-    def rows(total: dict[int, np.ndarray]):
-        return pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([np.minimum(x, 2**32 - 1).astype("<u4").tobytes() for x in total.values()], pa.binary())], schema=schema)
-
-    def count(batches):
-        total = np.zeros(COUNTERS, np.int64)
-        for b in batches:
-            texts = text_bytes(b.column(0))
-            for i, j in chunked(texts):
-                total += np.bincount(counter_of(Words(texts[i:j], lower=True).shingles(n)[0]), minlength=COUNTERS)
-        yield rows({i: x for i, x in enumerate(total.reshape(-1, SLICE)) if x.any()})
-
-    def add(batches):
-        total: dict[int, np.ndarray] = {}
-        for b in batches:
-            for i, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                total[i] = total.get(i, 0) + np.frombuffer(x.as_buffer(), "<u4").astype(np.int64)
-        yield rows(total)
-
-    ddl = "slice int, counts binary"
-    found = docs.select("text").mapInArrow(count, ddl).repartition("slice").mapInArrow(add, ddl).collect()  # COUNTERS / SLICE rows
-    out = np.zeros((COUNTERS // SLICE, SLICE), np.uint32)
-    for r in found:
-        out[r["slice"]] = np.frombuffer(r["counts"], "<u4")
-    return out.ravel()
-
-
-def first_tokens(size: np.ndarray | int, percent: int):
-    """How many first tokens of a set one must look at to meet every set that links with it."""
-    return size - -(-percent * size // 100) + 1
+def band_of(size: int) -> int:
+    b = int(math.log(size) / math.log(BAND))
+    while math.ceil(BAND ** (b + 1)) <= size:
+        b += 1
+    while math.ceil(BAND**b) > size:
+        b -= 1
+    return b
+
+
+def parts_of(band: int, percent: int) -> tuple[int, int, int]:
+    """Tokens by which a set of this band and one that links with it differ at most, parts into which such sets are cut, and the largest size that can link."""
+    largest = math.ceil(BAND ** (band + 1)) - 1
+    reach = 100 * largest // percent
+    apart = (100 - percent) * (largest + reach) // (100 + percent)
+    return apart, apart + 3 + apart // 5, reach
+
+
+def keys_of(tokens: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """The node's keys, hashes of band, part and the tokens in the part, and how many of them it shares at least with a node that links.
+
+    Of its filled parts, at most `apart` differ in the other set. Empty parts count only where no more than `apart` are filled.
+    """
+    if not len(tokens):
+        return np.empty(0, np.uint64), 0
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(tokens))])
+    own, out, least = band_of(len(tokens)), [], []
+    for band in (own, own - 1):
+        if band < 0:
+            continue
+        apart, parts, reach = parts_of(band, percent)
+        if len(tokens) > reach:
+            continue
+        edges = np.concatenate([[0], np.searchsorted(tokens, (np.arange(1, parts) * (2.0**64 / parts)).astype(np.uint64)), [len(tokens)]])
+        keys = mix(sums[edges[1:]] - sums[edges[:-1]] + mix(np.arange(parts, dtype=np.uint64) + np.uint64((band + 1) << 32)))
+        filled = edges[1:] > edges[:-1]
+        keys = keys[filled] if filled.sum() > apart else keys
+        out.append(keys)
+        least.append(len(keys) - apart)
+    return np.concatenate(out), min(least)
 
 
 def nodes_of(tokens: np.ndarray, many: np.ndarray) -> np.ndarray:
@@ -97,27 +102,22 @@ def nodes_of(tokens: np.ndarray, many: np.ndarray) -> np.ndarray:
     return as_signed(mix(both + many.astype(np.uint64)))
 
 
-def node_table(docs: DataFrame, n: int, percent: int, counts) -> DataFrame:
-    """doc_id, n_shingles, node (null for an empty set) and keys (its first tokens) of each document. counts: a broadcast of counters."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("keys", pa.list_(pa.int64()))])
+def node_table(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles, node (null for an empty set), keys, and least (keys that it shares with any that links) of each document."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("keys", pa.list_(pa.int64())), ("least", pa.int64())])
 
     def run(batches):
-        seen = counts.value
         for b in batches:
             texts = text_bytes(b.column(1))
             for i, j in chunked(texts):
                 tokens, many = sets_of(texts[i:j], n)
                 node = np.zeros(len(many), np.int64)
                 node[many > 0] = nodes_of(tokens, many[many > 0]) if len(tokens) else 0
-                owner = np.repeat(np.arange(len(many)), many)
-                order = np.lexsort((tokens, seen[counter_of(tokens)], owner))
-                place = np.arange(len(tokens)) - np.repeat(np.cumsum(many) - many, many)
-                wanted = np.where(many > 0, first_tokens(many, percent), 0)
-                keys = as_signed(tokens[order][place < wanted[owner]])
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(wanted)]).astype(np.int32)), pa.array(keys))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(many), pa.array(node, mask=many == 0), lists], schema=schema)
+                keys = [keys_of(tokens[e - m : e], percent) for e, m in zip(np.cumsum(many), many, strict=True)]
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(k) for k, _ in keys)]).astype(np.int32)), pa.array(as_signed(np.concatenate([k for k, _ in keys]))))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(many), pa.array(node, mask=many == 0), lists, pa.array([x for _, x in keys], pa.int64())], schema=schema)
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, keys array<long>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, keys array<long>, least long")
 
 
 def own_bits(tokens: np.ndarray) -> np.ndarray:
@@ -291,10 +291,9 @@ def components(nodes: DataFrame, links: DataFrame, scratch: Scratch) -> DataFram
 
 def joined(docs: DataFrame, n: int, percent: int, scratch: Scratch) -> DataFrame:
     """doc_id, n_shingles, node, component_id, n_copies and stands (whether the node is the one that stands for its component) of each row of docs (doc_id, text)."""
-    counts = docs.sparkSession.sparkContext.broadcast(token_counts(docs, n))
-    keyed = scratch.keep(node_table(docs, n, percent, counts), "keyed-nodes")
+    keyed = scratch.keep(node_table(docs, n, percent), "keyed-nodes")
     rows = scratch.keep(keyed.drop("keys"), "nodes")
-    nodes = scratch.keep(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_copies")), "distinct-nodes")
+    nodes = scratch.keep(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_copies"), F.min("least").alias("least")), "distinct-nodes")
     # A node's keys from the row of its smallest id; rows of other ids are copies.
     least = nodes.where("n_copies > 1").select("node", F.col("doc_id").alias("at"))
     copies = rows.select("node", "doc_id").join(least, "node").where(~F.col("doc_id").eqNullSafe(F.col("at"))).select(F.col("node").alias("n"), F.col("doc_id").alias("d")).distinct()
@@ -302,10 +301,15 @@ def joined(docs: DataFrame, n: int, percent: int, scratch: Scratch) -> DataFrame
     first = keyed.where("node is not null").join(copies, (F.col("node") == F.col("n")) & F.col("doc_id").eqNullSafe(F.col("d")), "left_anti")
     # Both the lists' ends and the lists come from one shuffle.
     posted = first.select("node", F.explode("keys").alias("key")).repartition("key")
-    shared = posted.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key", F.col("low").alias("lead"))
-    lists = scratch.keep(posted.join(shared, "key").select("key", "node", "lead").distinct(), "posting-lists", free=True)
+    shared = posted.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
+    met = scratch.keep(posted.join(shared, "key").select("key", "node").distinct(), "met-keys", free=True)
     scratch.drop("keyed-nodes", "copies")
-    near = scratch.keep(lists.select("node").distinct(), "near-nodes")
+    near = met.groupBy("node").agg(F.count("*").alias("met")).join(nodes.select("node", "least"), "node").where("met >= least").select("node")
+    near = scratch.keep(near, "near-nodes")
+    lists = met.join(small(near), "node", "left_semi")
+    lists = lists.join(lists.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("high")).where("lead < high").drop("high"), "key")
+    lists = scratch.keep(lists, "posting-lists", free=True)
+    scratch.drop("met-keys")
     wanted = small(scratch.keep(nodes.join(near, "node", "left_semi").select(F.col("doc_id").alias("at"), "node"), "wanted"))
     sets = scratch.keep(token_sets(docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("at"))).select("text", "node"), n), "token-sets")
     if sets.count() > near.count():  # repeated rows of one id
@@ -348,7 +352,7 @@ def joined(docs: DataFrame, n: int, percent: int, scratch: Scratch) -> DataFrame
     groups = scratch.keep(components(near, links.union(more), scratch), "groups")
     scratch.drop("token-groups", "token-sets", "distinct-token-sets", "open-lists", "posting-lists", "lists-of-groups")
 
-    named = nodes.join(groups, "node", "left").withColumn("group", F.coalesce("group", "node"))
+    named = nodes.drop("least").join(groups, "node", "left").withColumn("group", F.coalesce("group", "node"))
     least = named.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("node").alias("node"))).alias("least"))
     # Only nodes of several rows or several members need a look-up; a hot node's rows are dealt by document.
     known = named.join(least, "group").select("node", "doc_id", F.col("least.id").alias("component_id"), "n_copies", (F.col("node") == F.col("least.node")).alias("stands"))
