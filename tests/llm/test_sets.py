@@ -108,7 +108,7 @@ def test_one_of_each_with_repeated_and_null_ids(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "doc_id AS id", "1 AS rows", "2 AS Node")
     got = ngram_join.one_of_each(df)
     assert got.columns == df.columns
-    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "", r[1] is None)
     want = [(1, text), (1, "other words " * 9), (None, "alone in the world of ids"), (3, None), (3, ""), (4, " ")]
     assert sorted([(r.doc_id, r.text) for r in got.collect()], key=key) == sorted(want, key=key)
 
