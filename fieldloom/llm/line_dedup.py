@@ -3,7 +3,7 @@
 A line goes if an earlier line (smaller document id, then smaller line number) is within one edit of it: equal, or one
 character put in, left out or replaced. Equal lines meet first, so that a line that stands in a third of all documents is
 one row afterwards. A distinct line can have a neighbour only if it shares its first or its last half with another
-one; lines that do emit the hashed keys of all their variants with at most one character deleted. Lines with an equal
+one; lines that do emit the hashed keys of their variants with at most one character deleted. Lines with an equal
 variant are compared by their edit distance: first each with the earliest line of the variant, then those that are still
 without a neighbour with the others. The hash of a variant is a sum over its characters, so that deleting equal characters
 gives one key, and a line emits as many keys as it has different characters.
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import Scratch, materialize
+from fieldloom.llm.common import Scratch, materialize, unused
 
 MIN_CHARS = 24
 #: A character of a word.
@@ -45,13 +45,22 @@ def _place(*prefix: str) -> F.Column:
 
 
 def _variants() -> F.Column:
-    """Hashed keys of the line and of every variant with one character less: the length, and a sum of 32-bit character hashes."""
-    low = lambda c: F.xxhash64(c).bitwiseAND(F.lit(0xFFFFFFFF))
-    hashes = F.transform(F.split("line", ""), low)
-    total = F.aggregate(hashes, F.lit(0).cast("long"), lambda a, x: a + x)
+    """Hashed keys of the line and of every variant with one character less outside the shared half: the half, the length, and a sum over pairs of neighbouring characters.
+
+    c: the line's characters between two empty ones; pairs: hashes of neighbours there; total: their sum; half: struct of the half's key, whether it is the last one, and its length.
+    """
     n = F.length("line")
-    less = F.transform(F.array_distinct(hashes), lambda h: F.xxhash64(n - 1, total - h))
-    return F.concat(F.array(F.xxhash64(n, total)), less)
+    low = lambda x, y: F.xxhash64(x, y).bitwiseAND(F.lit(0xFFFFFFFF))
+    at = F.when(F.col("half.last"), F.sequence(F.lit(1), n - F.col("half.size"))).otherwise(F.sequence(F.col("half.size") + 1, n))
+    less = F.transform(at, lambda i: F.xxhash64("half.key", n - 1, F.col("total") - F.get("pairs", i - 1) - F.get("pairs", i) + low(F.get("c", i - 1), F.get("c", i + 1))))
+    return F.concat(F.array(F.xxhash64("half.key", n, F.col("total"))), F.array_distinct(less))
+
+
+def _with_pairs(texts: DataFrame) -> DataFrame:
+    end = F.array(F.lit(""))
+    x = texts.withColumn("c", F.concat(end, F.split("line", ""), end))
+    x = x.withColumn("pairs", F.zip_with(F.slice("c", 1, F.size("c") - 1), F.slice("c", 2, F.size("c") - 1), lambda a, b: F.xxhash64(a, b).bitwiseAND(F.lit(0xFFFFFFFF))))
+    return x.withColumn("total", F.aggregate("pairs", F.lit(0).cast("long"), lambda a, v: a + v))
 
 
 def line_drops(docs: DataFrame, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
@@ -63,16 +72,19 @@ def line_drops(docs: DataFrame, min_chars: int = MIN_CHARS, short: bool = False)
     lines = scratch.keep(lines.select("doc_id", "pos", h1.alias("h1"), h2.alias("h2"), *[F.when(F.length("line") >= min_chars, k).alias(f"k{i}") for i, k in enumerate(_halves())]), "lines")
     line = ["h1", "h2"]
     distinct = scratch.keep(lines.groupBy(*line, "k0", "k1", "k2", "k3").agg(F.min(_place()).alias("first"), F.count("*").alias("n")), "distinct-lines")
-    keys = distinct.select(*line, "first", F.explode(F.array_compact(F.array("k0", "k1", "k2", "k3"))).alias("key"))
+    keys = distinct.select(*line, "first", F.posexplode(F.array("k0", "k1", "k2", "k3")).alias("which", "key")).where("key is not null")
     shared = keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
-    near = keys.join(shared, "key", "left_semi").select(*line, "first").distinct()
+    near = keys.join(shared, "key", "left_semi").groupBy(*line, "first").agg(F.collect_set(F.struct("which", "key")).alias("halves"))
     # The texts of those lines, from their first places.
-    wanted = near.groupBy(F.col("first.doc_id").alias("at")).agg(F.collect_list(F.struct(F.col("first.pos").alias("pos"), "h1", "h2")).alias("wanted"))
+    wanted = near.groupBy(F.col("first.doc_id").alias("at")).agg(F.collect_list(F.struct(F.col("first.pos").alias("pos"), "h1", "h2", "halves")).alias("wanted"))
     found = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("at"))).select("doc_id", F.split("text", "\n").alias("all"), F.explode("wanted").alias("w"))
-    found = found.select("w.h1", "w.h2", F.struct("doc_id", "w.pos").alias("first"), F.get("all", "w.pos").alias("line"))
+    found = found.select("w.h1", "w.h2", F.struct("doc_id", "w.pos").alias("first"), F.get("all", "w.pos").alias("line"), "w.halves")
     found = found.where((F.xxhash64("line") == F.col("h1")) & (F.xxhash64(F.lit("second"), F.col("line")) == F.col("h2")))
     texts = scratch.keep(found.dropDuplicates(["h1", "h2"]), "near-lines")
-    variants = texts.select(*line, "first", F.explode(_variants()).alias("key"))
+    band = F.floor(F.length("line") / BAND) - F.floor(F.col("half.which") / 2)
+    halves = _with_pairs(texts).select(*line, "first", "line", "c", "pairs", "total", F.explode("halves").alias("half"))
+    halves = halves.withColumn("half", F.struct("half.key", (F.col("half.which") % 2 == 1).alias("last"), (band * BAND / 2).cast("int").alias("size")))
+    variants = halves.select(*line, "first", F.explode(_variants()).alias("key"))
     lead = variants.groupBy("key").agg(F.min(F.struct("first", "h1", "h2")).alias("lead"), F.count("*").alias("m")).where("m > 1")
     groups = scratch.keep(variants.join(lead.select("key", "lead"), "key"), "variant-groups")
 
@@ -96,15 +108,16 @@ def line_drops(docs: DataFrame, min_chars: int = MIN_CHARS, short: bool = False)
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
-    """docs without the lines that go; columns as before, and __lines, __dropped (counts of lines before and dropped)."""
-    drops = line_drops(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), min_chars, short).select(F.col("doc_id").alias("__id"), F.col("drops").alias("__drops"))
+    """docs without the lines that go; columns as before, and two more at the end: counts of lines before and dropped, named n_lines and n_dropped or, where docs has these, with underscores before."""
+    at, gone, kept_, before, dropped = unused(docs, "at", "drops", "kept", "n_lines", "n_dropped")
+    drops = line_drops(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), min_chars, short).select(F.col("doc_id").alias(at), F.col("drops").alias(gone))
     lines = F.split(F.col(text_col), "\n")
-    kept = F.filter(lines, lambda x, i: ~F.array_contains("__drops", F.struct(i.alias("pos"), F.xxhash64(x).alias("h1"))))
-    joined = docs.join(drops, docs[id_col].eqNullSafe(drops["__id"]), "left")
-    joined = joined.withColumn("__kept", F.when(F.col("__drops").isNotNull(), kept))
+    kept = F.filter(lines, lambda x, i: ~F.array_contains(gone, F.struct(i.alias("pos"), F.xxhash64(x).alias("h1"))))
+    joined = docs.join(drops, docs[id_col].eqNullSafe(drops[at]), "left")
+    joined = joined.withColumn(kept_, F.when(F.col(gone).isNotNull(), kept))
     size = F.coalesce(F.size(lines), F.lit(0)).cast("long")
     return joined.withColumns({
-        "__lines": F.when(F.col(text_col).isNull(), 0).otherwise(size).cast("long"),
-        "__dropped": F.when(F.col("__kept").isNull(), 0).otherwise(size - F.size("__kept")).cast("long"),
-        text_col: F.coalesce(F.array_join("__kept", "\n"), F.col(text_col)),
-    }).select(*docs.columns, "__lines", "__dropped")
+        before: F.when(F.col(text_col).isNull(), 0).otherwise(size).cast("long"),
+        dropped: F.when(F.col(kept_).isNull(), 0).otherwise(size - F.size(kept_)).cast("long"),
+        text_col: F.coalesce(F.array_join(kept_, "\n"), F.col(text_col)),
+    }).select(*docs.columns, before, dropped)

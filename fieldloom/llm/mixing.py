@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import materialize
+from fieldloom.llm.common import materialize, unused
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -85,9 +85,15 @@ def mix_plan(docs: DataFrame, weights: list[float], id_col: str = "doc_id", text
 
 
 def mix(docs: DataFrame, weights: list[float], id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **settings) -> DataFrame:
-    """The rows of docs, with all their columns, each as often as the mix takes it. Rows with equal id, source and size share the most copies any of them gets."""
-    plan = mix_plan(docs, weights, id_col, text_col, source_col, **settings)
-    plan = plan.groupBy("doc_id", "source", "size").agg(F.max("copies").alias("__copies")).where("__copies > 0")
-    plan = plan.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "__copies")
-    joined = docs.join(plan, docs[id_col].eqNullSafe(F.col("__id")) & docs[source_col].eqNullSafe(F.col("__source")) & (words(docs[text_col]) == F.col("__size")))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
+    """The rows of docs, with all their columns, each as often as the mix takes it. Rows with equal id, source and size share their copies out among them, the first by text taking the most."""
+    at, source, size, copies, place = unused(docs, "at", "its_source", "size", "copies", "place")
+    plan = mix_plan(docs, weights, id_col, text_col, source_col, **settings).groupBy("doc_id", "source", "size").agg(F.sort_array(F.collect_list("copies"), asc=False).alias(copies))
+    plan = materialize(plan.where(F.get(copies, F.lit(0)) > 0).select(F.col("doc_id").alias(at), F.col("source").alias(source), F.col("size").alias(size), copies), "copies")
+    same = docs[id_col].eqNullSafe(F.col(at)) & docs[source_col].eqNullSafe(F.col(source)) & (words(docs[text_col]) == F.col(size))
+    times = lambda x, k: x.withColumn(place, F.explode(F.sequence(F.lit(1).cast("long"), F.get(copies, k)))).select(*docs.columns)
+    out = times(docs.join(plan.where(F.size(copies) == 1), same), F.lit(0))
+    if not plan.where(F.size(copies) > 1).limit(1).count():
+        return out
+    order = W.partitionBy(at, source, size).orderBy(text_col)
+    several = docs.join(plan.where(F.size(copies) > 1), same).withColumn(place, F.row_number().over(order) - 1)
+    return out.unionByName(times(several.where(F.get(copies, F.col(place)) > 0), F.col(place)))

@@ -224,7 +224,7 @@ def qualify(percent: int):
 
 
 def links_between(left: tuple, right: tuple, percent: int) -> list[tuple[int, int]]:
-    """Links between nodes of two groups, of which only those that join components that are still apart. A group: nodes, components, sizes, lists of sorted tokens."""
+    """Pairs of components that links between nodes of two groups join, no more than it takes to join them. A group: nodes, components, sizes, lists of sorted tokens."""
     sides = []
     for (node, of, size, tokens), (_, _, _, other) in ((left, right), (right, left)):
         flat, union = tokens.flatten().to_numpy().view(np.uint64), np.unique(other.flatten().to_numpy().view(np.uint64))
@@ -241,7 +241,7 @@ def links_between(left: tuple, right: tuple, percent: int) -> list[tuple[int, in
         grid = np.zeros((len(size), len(common)), np.float32)
         grid[owner[hit], at[hit]] = 1
         grids.append(grid[open_])
-    (a, of_a, n_a), (b, of_b, n_b) = ((node[o], of[o], size[o]) for node, of, size, _, _, o in sides)
+    (of_a, n_a), (of_b, n_b) = ((of[o], size[o]) for _, of, size, _, _, o in sides)
     both = (grids[0] @ grids[1].T).astype(np.int64)
     hits = np.argwhere((100 * both >= percent * (n_a[:, None] + n_b[None] - both)) & (of_a[:, None] != of_b[None]))
     out, root = [], {}
@@ -255,7 +255,7 @@ def links_between(left: tuple, right: tuple, percent: int) -> list[tuple[int, in
         x, y = find(int(of_a[i])), find(int(of_b[j]))
         if x != y:
             root[max(x, y)] = min(x, y)
-            out.append((int(a[i]), int(b[j])))
+            out.append((int(of_a[i]), int(of_b[j])))
     return out
 
 
@@ -348,8 +348,10 @@ def joined(docs: DataFrame, n: int, percent: int, scratch: Scratch) -> DataFrame
         return left.hint("merge").join(held.select(F.col("block").alias("q"), F.col("members").alias("y")), "q").select("p", "q", "x", "y")
 
     opened = scratch.keep(paired(meet, groups_of("bits", meet)).mapInArrow(qualify(percent), "p long, q long"), "opened-groups")
-    more = scratch.keep(paired(opened, groups_of("tokens", opened)).mapInArrow(open_groups(percent), "a long, b long"), "links", free=True)
-    groups = scratch.keep(components(near, links.union(more), scratch), "groups")
+    more = scratch.keep(paired(opened, groups_of("tokens", opened)).mapInArrow(open_groups(percent), "a long, b long").distinct(), "links", free=True)
+    over = scratch.keep(components(more.select(F.col("a").alias("node")).union(more.select("b")).distinct(), more, scratch), "over")
+    groups = groups.join(small(over.select(F.col("node").alias("group"), F.col("group").alias("over"))), "group", "left").select("node", F.coalesce("over", "group").alias("group"))
+    groups = scratch.keep(groups, "groups")
     scratch.drop("token-groups", "token-sets", "distinct-token-sets", "open-lists", "posting-lists", "lists-of-groups")
 
     named = nodes.drop("least").join(groups, "node", "left").withColumn("group", F.coalesce("group", "node"))

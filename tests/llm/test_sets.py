@@ -132,7 +132,7 @@ def test_line_dedup(spark):
         k = rng.randrange(len(x))
         pool += [x[:k] + "Z" + x[k + rng.choice([0, 1]) :], x[:k] + x[k + 1 :]]
     rows = [(i, "\n".join(rng.choice([*pool, "short", ""]) for _ in range(rng.randint(1, 6)))) for i in range(60)] + [(100, None), (101, ""), (102, "\n\n")]
-    df = spark.createDataFrame([(i, t, 1, "k") for i, t in rows], "doc_id long, text string, pos int, line string")
+    df = spark.createDataFrame([(i, t, 1, "k", "d") for i, t in rows], "doc_id long, text string, pos int, line string, drops string")
     got = {r.doc_id: r for r in line_dedup.line_dedup(df).collect()}
     before = []
     for i, t in rows:
@@ -143,7 +143,7 @@ def test_line_dedup(spark):
             if len(x) >= line_dedup.MIN_CHARS:
                 before.append(x)
         assert got[i].text == (None if t is None else "\n".join(kept)), i
-        assert got[i]["__dropped"] == (0 if t is None else t.count("\n") + 1 - len(kept))
+        assert got[i]["n_dropped"] == (0 if t is None else t.count("\n") + 1 - len(kept))
     assert line_dedup.line_dedup(df.limit(0)).count() == 0
 
 

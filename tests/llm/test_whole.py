@@ -40,6 +40,6 @@ def test_equal_short_lines_go(spark):
         want[i] = None if t is None else "\n".join(kept)
     got = {r.doc_id: r for r in line_dedup.line_dedup(df, short=True).collect()}
     assert {i: r.text for i, r in got.items()} == want
-    assert {i: r["__dropped"] for i, r in got.items()} == {0: 0, 1: 3, 2: 1, 3: 1, 4: 2, 5: 1, 6: 0, 7: 0, 8: 0}
+    assert {i: r["n_dropped"] for i, r in got.items()} == {0: 0, 1: 3, 2: 1, 3: 1, 4: 2, 5: 1, 6: 0, 7: 0, 8: 0}
     docs = df.selectExpr("*", "'en' AS lang", "'a' AS source", "0L AS n_chars")
     assert sorted(r.doc_id for r in corpus_pipeline.lines(spark, docs, "").collect()) == [0, 1, 2, 3, 8]
