@@ -1,13 +1,14 @@
-"""Secret scans: fixed patterns, and a character convolutional network over every other candidate with its context.
+"""Secret scans: fixed patterns, and a character convolutional network over every candidate with its context.
 
-Three patterns give the base findings. Every further run of 16 or more key-like characters with a letter and a digit is a
-candidate; a convolutional network in numpy reads it with the characters around it and gives a calibrated probability. It is
-trained on labelled findings (a seeded generator's by default; any list of text, start, end and label will do): one part
-trains it, the other calibrates it by Platt scaling and sets the highest threshold that still finds `recall` of the labelled
-secrets. Findings of the base always stay; the network's are added where they overlap none of them.
+Three patterns give the base findings. Every run of LEAST_RUN or more key-like characters is a candidate, inside base findings or
+not, whatever it is made of; a convolutional network in numpy reads it with the characters around it and gives a calibrated
+probability. It is trained on labelled findings (a seeded generator's by default; any list of text, start, end and label will
+do): one part trains it, the other calibrates it by Platt scaling and sets the highest threshold that still finds `recall` of the
+labelled secrets. Findings of the base always stay; of a candidate, what lies outside of them is read on its own and can be added.
 
-Cases: a null or empty text has no findings. Texts are scanned whole, whatever their length; an overlong candidate shows the
-network its beginning and its context. Repeated rows give repeated rows. Only the id and the text are read. Offsets count code points.
+Cases: a null or empty text has no findings. Texts are scanned whole, whatever their length; a candidate longer than the window is read
+in overlapping windows, of which the highest counts. Repeated rows give repeated rows. Only the id and the text are read. Offsets count
+code points. An empty table gives no rows; a null id stays null.
 """
 
 from __future__ import annotations
@@ -31,11 +32,12 @@ HEX = re.compile(r"[0-9a-f]+")
 KINDS = ("assign", "access", "hex", "network")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
+#: Least characters of a candidate.
+LEAST_RUN = 12
+CANDIDATE = re.compile(rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{LEAST_RUN},}}")
 
 _KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _HEX_MAP = bytes(104 if x in b"0123456789abcdef" else 32 for x in range(256))
-_DIGITS = b"0123456789"
 
 
 def base_findings(raw: bytes, text: str | None = None) -> list[tuple[int, int, str]]:
@@ -56,23 +58,39 @@ def base_findings(raw: bytes, text: str | None = None) -> list[tuple[int, int, s
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
-def candidates(raw: bytes, taken: list[tuple[int, int, str]]) -> tuple[str, list[tuple[int, int]]]:
-    """Runs of key-like characters with a letter and a digit that overlap no finding."""
-    if len(raw) < 16 or len(raw.translate(None, _DIGITS)) == len(raw):
-        return "", []
-    text, out, k = raw.decode(), [], 0
-    taken = sorted(taken)
+def candidates(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, bool]]:
+    """(start, end, whether it can be added) of all runs of key-like characters, and of what findings leave of those that they overlap."""
+    out, k, taken = [], 0, merged(taken)
     for m in CANDIDATE.finditer(text):
-        x = m[0]
-        if any(c.isdigit() for c in x) and any(c.isalpha() for c in x):
-            while k < len(taken) and taken[k][1] <= m.start():
-                k += 1
-            if not any(a < m.end() and b > m.start() for a, b, _ in taken[k : k + 8]):
-                out.append((m.start(), m.end()))
-    return text, out
+        a, e = m.span()
+        while k < len(taken) and taken[k][1] <= a:
+            k += 1
+        if k == len(taken) or taken[k][0] >= e:
+            out.append((a, e, True))
+            continue
+        out.append((a, e, False))
+        at, i = a, k
+        while i < len(taken) and taken[i][0] < e:
+            if taken[i][0] - at >= LEAST_RUN:
+                out.append((at, taken[i][0], True))
+            at = taken[i][1]
+            i += 1
+        if e - at >= LEAST_RUN:
+            out.append((at, e, True))
+    return out
+
 
+def merged(spans: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, e, _ in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((a, e))
+    return out
 
-BEFORE, INSIDE, AFTER = 24, 48, 8
+
+BEFORE, INSIDE, AFTER = 24, 48, 24
 WIDTH = BEFORE + INSIDE + AFTER
 _GROUPS = [string.digits, "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ", " \t", "\n\r", "\"'`", "=:", "+/", "-", "_", "."]
 CHANNELS = len(_GROUPS) + 3
@@ -159,6 +177,15 @@ class Network:
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.scale * self.logits(x) + self.shift)))
 
+    def read(self, items: list[tuple[str, int, int]]) -> np.ndarray:
+        """The probability of each candidate (text, start, end): the highest of its windows, which overlap by half."""
+        out = np.zeros(len(items))
+        parts = [(i, (t, a, min(e, a + INSIDE))) for i, (t, s, e) in enumerate(items) for a in range(s, max(s + 1, e - INSIDE // 2), INSIDE // 2)]
+        for k in range(0, len(parts), 512):
+            own = parts[k : k + 512]
+            np.maximum.at(out, [i for i, _ in own], self.probabilities(windows([w for _, w in own])))
+        return out
+
 
 def labelled_findings(n: int = 4000, seed: int = 42) -> list[tuple[str, int, int, int]]:
     """A seeded list of n (text, start, end, label): made-up keys as secrets, and names, dates, numbers and paths as others."""
@@ -166,6 +193,8 @@ def labelled_findings(n: int = 4000, seed: int = 42) -> list[tuple[str, int, int
     some = lambda letters, a, b: "".join(rng.choice(letters) for _ in range(rng.randint(a, b)))
     alnum, base64, lower, upper = string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_lowercase, string.ascii_uppercase
     word = lambda: some(lower, 2, 9)
+    long = lambda: "".join(rng.choice(["th", "an", "er", "en", "ich", "tion", "re", "sch", "ed", "ou", "os", "ble", "in", "ado", "que", "lich", "pa", "le", "ver"]) for _ in range(rng.randint(4, 9)))
+    spoken = lambda: "".join(rng.choice("bcdfghlmnpqrstvz") + rng.choice(["a", "e", "i", "o", "u", "ou", "ea", "ui"]) + rng.choice(["", "", "n", "r", "s", "l"]) for _ in range(rng.randint(4, 8)))
     day = lambda sep: f"{rng.randint(1990, 2030)}{sep}{rng.randint(1, 12):02}{sep}{rng.randint(1, 28):02}"
     secret = [
         lambda: some(base64, 32, 48),
@@ -174,6 +203,7 @@ def labelled_findings(n: int = 4000, seed: int = 42) -> list[tuple[str, int, int
         lambda: some(lower, 2, 2) + "_live_" + some(alnum, 20, 32),
         lambda: some(lower, 4, 4) + "-" + some(string.digits, 10, 12) + "-" + some(alnum, 20, 28),
         lambda: some("0123456789ABCDEF", 24, 64),
+        lambda: some("0123456789abcdef", 32, 64),
         lambda: some(base64, 20, 60) + "=" * rng.randint(1, 2),
     ]
     other = [
@@ -187,8 +217,16 @@ def labelled_findings(n: int = 4000, seed: int = 42) -> list[tuple[str, int, int
         lambda: word().capitalize() + word().capitalize() + word().capitalize() + str(rng.randint(1, 2030)),
         lambda: "--" + word() + "-" + word() + "=" + some(string.digits, 1, 5),
         lambda: some(lower, 16, 30) + rng.choice(string.digits),
+        lambda: long(),
+        lambda: long().capitalize(),
+        lambda: long().upper(),
+        lambda: spoken().upper(),
+        lambda: (word() + word() + word()).upper(),
+        lambda: spoken(),
+        lambda: long() + "-" + long(),
+        lambda: some(string.digits, 12, 19),
     ]
-    lead = ["key: ", "Authorization: Bearer ", "credentials = '", "access ", "export KEY=\"", "value: "]
+    lead = ["key: ", "Authorization: Bearer ", "credentials = '", "token = \"", "access ", "export KEY=\"", "value: "]
     out = []
     while len(out) < n:
         label = rng.random() < 0.4
@@ -197,7 +235,7 @@ def labelled_findings(n: int = 4000, seed: int = 42) -> list[tuple[str, int, int
         if rng.random() < (0.5 if label else 0.1):
             before += rng.choice(lead)
         after = rng.choice(["", " ", "\n", ".", "' ", "\" "]) + " ".join(word() for _ in range(rng.randint(0, 4)))
-        if len(body) >= 16 and any(c.isdigit() for c in body) and any(c.isalpha() for c in body):
+        if len(body) >= LEAST_RUN:
             out.append((before + body + after, len(before), len(before) + len(body), int(label)))
     return out
 
@@ -216,12 +254,12 @@ def spelled(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{kind}:{a}:{b}" for a, b, kind in sorted(spans, key=lambda x: (x[0], KINDS.index(x[2]))))
 
 
-_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_candidates", pa.int64())])
-DDL = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_candidates long"
+_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_candidates", pa.int64()), ("n_confirmed", pa.int64())])
+DDL = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_candidates long, n_confirmed long"
 
 
 def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", findings: list[tuple[str, int, int, int]] | None = None, recall: float = 0.98, seed: int = 42) -> DataFrame:
-    """One row a row of docs: counts of the base's findings, the SHA-256 of their spelling, all spans, and how many candidates the network read."""
+    """One row a row of docs: counts of the base's findings, the SHA-256 of their spelling, all spans, how many candidates the network read, and how many of those inside base findings it holds to be secrets too."""
     network = train(labelled_findings(seed=seed) if findings is None else findings, recall, seed)
 
     def run(batches):
@@ -229,19 +267,22 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             texts = text_bytes(b.column(1))
             for i, j in chunked(texts):
                 base = [base_findings(x) for x in texts[i:j]]
-                items, owner = [], []
+                items, owner, free = [], [], []
                 for d, (raw, own) in enumerate(zip(texts[i:j], base, strict=True)):
-                    text, found = candidates(raw, own)
-                    items += [(text, a, e) for a, e in found]
-                    owner += [d] * len(found)
+                    text = raw.decode()
+                    for a, e, f in candidates(text, own):
+                        items.append((text, a, e))
+                        owner.append(d)
+                        free.append(f)
                 added: list[list] = [[] for _ in base]
-                read = np.bincount(np.array(owner, int), minlength=len(base))
-                for k in range(0, len(items), 512):
-                    p = network.probabilities(windows(items[k : k + 512]))
-                    for d, (_, a, e), q in zip(owner[k : k + 512], items[k : k + 512], p, strict=True):
-                        if q >= network.threshold:
+                read, confirmed = np.bincount(np.array(owner, int), minlength=len(base)), np.zeros(len(base), np.int64)
+                for d, (_, a, e), f, p in zip(owner, items, free, network.read(items), strict=True):
+                    if p >= network.threshold:
+                        if f:
                             added[d].append((a, e, "network"))
+                        else:
+                            confirmed[d] += 1
                 count = lambda kind: [sum(s[2] == kind for s in x) for x in base]  # noqa: B023, E731
-                yield batch(_SCHEMA, b.column(0).slice(i, j - i), count("assign"), count("access"), count("hex"), [hashlib.sha256(spelled(x).encode()).hexdigest() for x in base], [spelled(x + y) for x, y in zip(base, added, strict=True)], read)
+                yield batch(_SCHEMA, b.column(0).slice(i, j - i), count("assign"), count("access"), count("hex"), [hashlib.sha256(spelled(x).encode()).hexdigest() for x in base], [spelled(x + y) for x, y in zip(base, added, strict=True)], read, confirmed)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, DDL)

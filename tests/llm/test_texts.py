@@ -80,6 +80,26 @@ def test_secrets(spark):
         assert r.base_sha256 == hashlib.sha256(text.encode()).hexdigest() and set(text.split(",")) <= set(r.spans.split(",")) | {""}
 
 
+def test_network_reads_every_candidate_of_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = secrets.secret_scan(docs).toPandas().set_index("doc_id")
+    run = re.compile(f"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{secrets.LEAST_RUN},}}")
+    want = {r.doc_id: len(run.findall(r.text or "")) for r in docs.collect()}
+    assert sum(want.values()) > 0 and all(got.n_candidates[d] >= n for d, n in want.items())
+    assert sum("network" in x for x in got.spans) <= 0.01 * len(got)  # prose stays alone
+    assert secrets.secret_scan(docs.limit(0)).count() == 0
+
+
+def test_candidates_are_cut_around_findings_and_read_in_windows():
+    glued = "x" * 14 + "/" + "AKIA" + "Q7" * 9 + "/Zk9" + "mQ2wE4rT6" * 3
+    base = secrets.base_findings(glued.encode())
+    assert [x[2] for x in base] == ["access"] and secrets.candidates(glued, base) == [(0, len(glued), False), (0, 15, True), (37, len(glued), True)]
+    network = secrets.train(secrets.labelled_findings(1500))
+    key = "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fdaQz"
+    p = network.read([("token " + key, 6, 6 + len(key)), ("/path" * 30 + "/" + key, 0, 151 + len(key))])
+    assert (p >= network.threshold).all()
+
+
 def test_network_on_held_out_findings():
     network = secrets.train(secrets.labelled_findings(2500))
     other = secrets.labelled_findings(1500, seed=7)
