@@ -54,16 +54,14 @@ def basal_area(dbh: Column) -> Column:
 
 def exclusion(dbh: Column, dead: Column) -> Column:
     """Why a tree isn't counted; null if it is."""
-    return F.when(dead, "dead").when(dbh.isNull(), "no diameter").when(dbh < LEAST_DBH, "small")
+    return F.when(dead, "dead").when(dbh.isNull(), "no diameter").when(dbh < LEAST_DBH, "small").when(dbh > LARGEST_DBH, "large")
 
 
 def root_ratio(df: DataFrame, zone: str, biomass: str) -> DataFrame:
-    """Adds the root-to-shoot ratio by zone and biomass (tonnes a hectare); a range join with a table of 13 rows."""
-    rules = df.sparkSession.createDataFrame(list(ROOTS), "zone string, low double, high double, closed boolean, ratio double")
-    x = df.join(F.broadcast(rules).alias("rule"), (df[zone] == F.col("rule.zone")) & (F.col(biomass) >= F.col("low")) & ((F.col(biomass) < F.col("high")) | (F.col("closed") & (F.col(biomass) == F.col("high")))), "left")
-    # A closed bound and the next row's lower bound both take the bound itself: the closed one, which is lower, counts.
-    keys = [c for c in df.columns]
-    return x.groupBy(*[df[c] for c in keys]).agg(F.min_by("ratio", "low").alias("ratio"))
+    """Adds the root-to-shoot ratio by zone and biomass (tonnes a hectare); null outside all ranges. The 13 ranges are a projection, so rows stay where and as often as they are."""
+    found = [F.when((df[zone] == z) & (df[biomass] >= low) & ((df[biomass] < high) | (F.lit(closed) & (df[biomass] == high))), ratio) for z, low, high, closed, ratio in ROOTS]
+    # A closed bound and the next range's lower bound both take the bound itself: the closed one, which comes first, counts.
+    return df.withColumn("ratio", F.coalesce(*found).cast("double"))
 
 
 def emissions(area: Column, before: Column, after: Column, ratio: Column) -> Column:

@@ -96,7 +96,7 @@ def rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT 'both' AS side, count(*) AS n FROM (SELECT c_nationkey FROM customer INTERSECT SELECT s_nationkey FROM supplier) UNION ALL SELECT 'customers', count(*) FROM (SELECT c_nationkey FROM customer EXCEPT SELECT s_nationkey FROM supplier)")
 def set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, s = table(spark, sf_dir, "customer").select("c_nationkey"), table(spark, sf_dir, "supplier").select("s_nationkey")
-    both, only = c.intersect(s), c.exceptAll(c.intersectAll(s)).subtract(s)
+    both, only = c.intersect(s), c.subtract(s)
     return both.agg(F.count("*").alias("n")).select(F.lit("both").alias("side"), "n").unionByName(only.agg(F.count("*").alias("n")).select(F.lit("customers").alias("side"), "n"))
 
 

@@ -29,7 +29,7 @@ def test_histogram_of_constant_data(spark):
 
 
 def test_dates(spark):
-    cases = [("2020-02-29", "2020-02-29"), ("2015-02-29", None), ("2020/3/1 10:00", "2020-03-01"), ("13/02/2020", "2020-02-13"), ("2020-060", "2020-02-29"), ("2020.366", "2020-12-31"), ("2019-366", None), ("2020-5", "2020-05-01"), ("1999", "1999-01-01"), ("0999", None), ("x", None), (None, None)]
+    cases = [("2020-02-29", "2020-02-29"), ("2015-02-29", None), ("2020/3/1 10:00", "2020-03-01"), ("13/02/2020", "2020-02-13"), ("2020-060", "2020-02-29"), ("2020.366", "2020-12-31"), ("2019-366", None), ("2020-5", "2020-05-01"), ("1999", "1999-01-01"), ("0999", None), ("2024075", "2024-03-15"), ("2024/03", "2024-03-01"), ("2024.03", "2024-03-01"), ("2024/075", None), ("2020-05 10:00", None), ("x", None), (None, None)]
     x = spark.createDataFrame(cases, "cell string, want string")
     for r in x.select("cell", "want", dates.parse_date(F.col("cell")).cast("string").alias("got")).collect():
         assert r.got == r.want, r
@@ -134,8 +134,26 @@ def test_areas_and_biomass(spark):
     assert math.isclose(agb, 0.0673 * (0.57 * 900 * 20) ** 0.976)
 
 
-def test_edit_distance_with_swaps():
-    assert [text.aligned_distance(a, b, 3) for a, b in (("ab", "ba"), ("ca", "abc"), ("", "xy"), ("same", "same"))] == [1, 3, 2, 0]
+def test_words_match_by_beginnings_and_spelling(spark):
+    assert [next(k for k in range(4) if text.within(a, b, k)) for a, b in (("ab", "ba"), ("ca", "abc"), ("", "xy"), ("same", "same"), ("elevation", "elevatoin"))] == [1, 3, 2, 0, 1]
+    pairs = spark.createDataFrame([("rain", "rains", 0.0), ("elevation", "elevatoin", 0.8), ("fores", "foers", 0.8), ("forest", "forestry", 0.9), ("file", "fire", 0.0), ("slope", "slope", 1.0)], "a string, b string, want double")
+    assert all(r.want == r.got for r in pairs.withColumn("got", text.match(F.col("a"), F.col("b"))).collect())
+    stems = {"computing": "comput", "computes": "comput", "cities": "city", "rains": "rain", "rain": "rain", "nations": "nation"}
+    x = spark.createDataFrame(list(stems), "string").withColumn("got", text.stem(F.col("value")))
+    assert {r.value: r.got for r in x.collect()} == stems
+
+
+def test_root_ratio_keeps_equal_rows(spark):
+    x = spark.createDataFrame([("broadleaf", 75.0), ("broadleaf", 75.0), ("broadleaf", 150.0), ("conifer", 49.9), ("nowhere", 1.0)], "zone string, agb double")
+    got = sorted((r.zone, r.agb, r.ratio) for r in carbon.root_ratio(x, "zone", "agb").where("ratio is not null").collect())
+    assert got == [("broadleaf", 75.0, 0.23), ("broadleaf", 75.0, 0.23), ("broadleaf", 150.0, 0.23), ("conifer", 49.9, 0.4)]
+    assert carbon.root_ratio(x, "zone", "agb").count() == 5
+
+
+def test_interval_text(spark):
+    cases = [(None, None, "irregular or unknown"), (1.05, 1.0, "daily"), (1.4, 1.0, "daily, with gaps between some records"), (6.6, None, "weekly"), (28.0, None, "monthly"), (27.0, None, "every 27 days"), (365.5, None, "yearly"), (16.5, None, "every 16.5 days")]
+    x = spark.createDataFrame(cases, "d double, least double, want string").withColumn("got", dates.interval_text(F.col("d"), F.col("least")))
+    assert all(r.got == r.want for r in x.collect())
 
 
 def test_largest_remainder_sums(spark):
