@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -77,12 +79,13 @@ def block_means(cells: DataFrame, value: str, size: int, rows: int) -> DataFrame
 
 
 def neighbourhood(cells: DataFrame, value: str) -> DataFrame:
-    """The nine values around each cell of a dense grid as columns a to i, row by row. Two windows instead of nine joins."""
-    across = W.partitionBy("row").orderBy("col")
-    x = cells.withColumns({"l": F.lag(value).over(across), "e": F.col(value), "r": F.lead(value).over(across)})
-    down = W.partitionBy("col").orderBy("row")
-    up = {k: F.lag(s).over(down) for k, s in (("a", "l"), ("b", "e"), ("c", "r"))}
-    low = {k: F.lead(s).over(down) for k, s in (("g", "l"), ("h", "e"), ("i", "r"))}
+    """The nine values around each cell as columns a to i, row by row; null where there is no such cell or the one between is absent. Two windows instead of nine joins."""
+    across, down = W.partitionBy("row").orderBy("col"), W.partitionBy("col").orderBy("row")
+    before = lambda c, w, k: F.when(F.lag(k).over(w) == F.col(k) - 1, F.lag(c).over(w))
+    after = lambda c, w, k: F.when(F.lead(k).over(w) == F.col(k) + 1, F.lead(c).over(w))
+    x = cells.withColumns({"l": before(value, across, "col"), "e": F.col(value), "r": after(value, across, "col")})
+    up = {k: before(s, down, "row") for k, s in (("a", "l"), ("b", "e"), ("c", "r"))}
+    low = {k: after(s, down, "row") for k, s in (("g", "l"), ("h", "e"), ("i", "r"))}
     return x.withColumns(up | low).withColumnsRenamed({"l": "d", "r": "f"})
 
 
@@ -105,15 +108,40 @@ def horn(n: DataFrame, dx: float = 1.0, dy: float = 1.0) -> DataFrame:
     return x.withColumns({"aspect": F.when(F.col("slope") >= 2, F.col("compass")), "shade": F.when(F.col("slope").isNotNull(), shade)})
 
 
+def mirrored(cells: DataFrame, margin: int) -> DataFrame:
+    """The cells and, beyond each edge, copies of the margin's rows and columns, mirrored; grids have at least so many of both. Adds ghost, true for copies."""
+    ends = cells.agg(F.max("row").alias("last_row"), F.max("col").alias("last_col"))  # one row
+    x = cells.crossJoin(F.broadcast(ends)).withColumn("ghost", F.lit(False))
+    for c, last in (("row", "last_row"), ("col", "last_col")):
+        low, high = F.col(c) < margin, F.col(c) > F.col(last) - margin
+        places = F.array_compact(F.array(F.col(c), F.when(low, -1 - F.col(c)), F.when(high, 2 * F.col(last) + 1 - F.col(c))))
+        x = x.withColumn("place", F.explode(places)).withColumns({"ghost": F.col("ghost") | (F.col("place") != F.col(c)), c: F.col("place")}).drop("place")
+    return x.drop("last_row", "last_col")
+
+
 def local_mean_variance(cells: DataFrame, value: str, size: int = 5) -> DataFrame:
-    """Mean and population variance over size x size cells, cut at the grid's edge; missing cells don't count."""
+    """Mean and population variance over size x size cells, mirrored at the grid's edge; missing cells don't count."""
     k = size // 2
     v = F.col(value)
     across = W.partitionBy("row").orderBy("col").rangeBetween(-k, k)
-    x = cells.withColumns({"s1": F.sum(v).over(across), "s2": F.sum(v * v).over(across), "s0": F.count(v).over(across)})
+    x = mirrored(cells, k).withColumns({"s1": F.sum(v).over(across), "s2": F.sum(v * v).over(across), "s0": F.count(v).over(across)})
     down = W.partitionBy("col").orderBy("row").rangeBetween(-k, k)
     n, s, q = F.sum("s0").over(down), F.sum("s1").over(down), F.sum("s2").over(down)
-    return x.withColumns({"mean": F.when(n > 0, s / n), "variance": F.when(n > 0, F.greatest(F.lit(0.0), q / n - (s / n) * (s / n)))}).drop("s0", "s1", "s2")
+    x = x.withColumns({"mean": F.when(n > 0, s / n), "variance": F.when(n > 0, F.greatest(F.lit(0.0), q / n - (s / n) * (s / n)))})
+    return x.where(~F.col("ghost")).drop("s0", "s1", "s2", "ghost")
+
+
+def gaussian(cells: DataFrame, value: str, sigma: float = 0.67) -> DataFrame:
+    """Adds smooth, a separable Gaussian over int(4 sigma + 0.5) cells each way, mirrored at the edge. Missing cells weigh in as zeros and stay missing."""
+    k = int(4 * sigma + 0.5)
+    raw = [math.exp(-0.5 * (i / sigma) ** 2) for i in range(k + 1)]
+    weights = F.array(*[F.lit(w / (raw[0] + 2 * sum(raw[1:]))) for w in raw])
+    x = mirrored(cells, k).withColumn("filled", F.coalesce(F.col(value), F.lit(0.0)))
+    for along, other in (("col", "row"), ("row", "col")):
+        near = F.collect_list(F.struct(F.col(along).alias("at"), "filled")).over(W.partitionBy(other).orderBy(along).rangeBetween(-k, k))
+        here = F.col(along)
+        x = x.withColumn("near", near).withColumn("filled", F.aggregate("near", F.lit(0.0), lambda t, n: t + F.get(weights, F.abs(n["at"] - here)) * n["filled"]))  # noqa: B023  used at once
+    return x.where(~F.col("ghost")).withColumn("smooth", F.when(F.col(value).isNotNull(), F.col("filled"))).drop("near", "filled", "ghost")
 
 
 def lee(x: DataFrame, value: str, looks: float = 4.4) -> DataFrame:

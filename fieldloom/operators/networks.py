@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import heapq
-import tempfile
 
 import numpy as np
 import pandas as pd
@@ -11,18 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from fieldloom.session import cut
+
 # Neighbours in the order of flow directions, NW, N, NE, W, E, SW, S, SE.
 NEIGHBOURS = ((-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint, in the session's folder; a temporary one only where none is set."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="fieldloom-"))
-    return df.checkpoint()
-
-
 def around(cells: DataFrame, *columns: str) -> DataFrame:
     """Each cell's row and col with those of its 8 neighbours (r2, c2) and the neighbour's number."""
     near = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(i).alias("i"), F.lit(j).alias("j")) for k, (i, j) in enumerate(NEIGHBOURS)])
@@ -158,4 +151,5 @@ def dilate(cells: DataFrame, radius: int) -> DataFrame:
 
 
 def ranked_largest(df: DataFrame, by: str, order: list[str], most: int) -> DataFrame:
-    return df.withColumn("rank", F.row_number().over(W.orderBy(F.desc(by), *order))).where(F.col("rank") <= most)
+    """The first `most` rows, a report, by falling values with their rank; only they meet in one place."""
+    return df.orderBy(F.desc(by), *order).limit(most).withColumn("rank", F.row_number().over(W.orderBy(F.desc(by), *order)))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from fieldloom.session import cut
+
 
 def finite(c: str) -> Column:
     """The value as a double; NaN and infinities are missing."""
@@ -13,14 +15,47 @@ def finite(c: str) -> Column:
     return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
 
 
+def with_keyed(x: DataFrame, small: DataFrame, *keys: str) -> DataFrame:
+    """Rows of x with the row of small that has the same keys, nulls equal; without keys, with its only row."""
+    if not keys:
+        return x.crossJoin(F.broadcast(small))
+    renamed = small.withColumnsRenamed({k: f"keyed_{k}" for k in keys})
+    return x.join(renamed, [x[k].eqNullSafe(renamed[f"keyed_{k}"]) for k in keys], "left").drop(*[f"keyed_{k}" for k in keys])
+
+
+def quantiles(df: DataFrame, value: str, shares: list[float], *keys: str, accuracy: int = 10_000) -> DataFrame:
+    """keys and q, the exact type-7 quantiles at the given shares, without a map of all distinct values in one task.
+
+    A first pass sketches bounds that are sure to hold each quantile's two ranks; the second counts equal values inside the bounds and only sums up those
+    outside, so the last, sorted step sees some 4 n / accuracy values of each key and share."""
+    v = df.select(*keys, finite(value).alias("v")).where("v is not null")
+    slack = 2 / accuracy
+    ends = [min(max(p + d, 0.0), 1.0) for p in shares for d in (-slack, slack)]
+    bounds = v.groupBy(*keys).agg(F.count("*").alias("rows"), F.percentile_approx("v", ends, accuracy).alias("b"))
+    goals = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("share"), F.col("b")[2 * i].alias("low"), F.col("b")[2 * i + 1].alias("high")) for i, p in enumerate(shares)])
+    joined = with_keyed(v, bounds, *keys)
+    x = joined.select(*keys, "rows", "v", F.explode(goals).alias("g")).select(*keys, "rows", "v", "g.*")
+    zone = F.when(F.col("v") < F.col("low"), -1).when(F.col("v") > F.col("high"), 1).otherwise(0)
+    x = x.withColumn("zone", zone).groupBy(*keys, "i", "share", "rows", "zone", F.when(F.col("zone") == 0, F.col("v")).alias("inside"))
+    x = x.agg(F.count("*").alias("c"), F.min("v").alias("least"), F.max("v").alias("most")).withColumn("at", F.when(F.col("zone") < 0, F.col("most")).otherwise(F.col("least")))
+    x = x.withColumn("upto", F.sum("c").over(W.partitionBy(*keys, "i").orderBy("zone", "at")))
+    place = F.col("share") * (F.col("rows") - 1)
+    # Below the bounds only the last rank is known, above them only the first: both may still be one of the two ranks.
+    known = lambda r: F.when(F.col("zone") < 0, F.col("upto") == r + 1).when(F.col("zone") > 0, F.col("upto") - F.col("c") == r).otherwise((F.col("upto") > r) & (F.col("upto") - F.col("c") <= r))
+    lower, upper = F.floor(place), F.least(F.floor(place) + 1, F.col("rows") - 1)
+    two = x.groupBy(*keys, "i", "share", "rows").agg(F.min(F.when(known(lower), F.col("at"))).alias("a"), F.min(F.when(known(upper), F.col("at"))).alias("z"))
+    one = two.select(*keys, "i", (F.col("a") + (F.col("z") - F.col("a")) * (place - F.floor(place))).alias("quantile"))
+    listed = one.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("i", "quantile"))).alias("all"))
+    q = listed.select(*keys, F.transform("all", lambda s: s["quantile"]).alias("q"))
+    return q if keys else q.agg(F.any_value("q").alias("q"))
+
+
 def summary(df: DataFrame, value: str, *keys: str) -> DataFrame:
     """n, mean, sample standard deviation (0 for one value), extremes and exact type-7 quartiles."""
     v = finite(value)
-    q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return df.groupBy(*keys).agg(
-        F.count(v).alias("n"), F.avg(v).alias("mean"), F.when(F.count(v) > 0, F.coalesce(F.stddev_samp(v), F.lit(0.0))).alias("sd"),
-        F.min(v).alias("min"), F.max(v).alias("max"), q.alias("q"),
-    ).select(*keys, "n", "mean", "sd", "min", "max", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
+    moments = df.groupBy(*keys).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.when(F.count(v) > 0, F.coalesce(F.stddev_samp(v), F.lit(0.0))).alias("sd"), F.min(v).alias("min"), F.max(v).alias("max"))
+    x = with_keyed(moments, quantiles(df, value, [0.25, 0.5, 0.75], *keys), *keys)
+    return x.select(*keys, "n", "mean", "sd", "min", "max", F.get("q", F.lit(0)).alias("q1"), F.get("q", F.lit(1)).alias("median"), F.get("q", F.lit(2)).alias("q3"))
 
 
 def histogram(df: DataFrame, value: str, bins: int = 30) -> DataFrame:
@@ -71,15 +106,26 @@ def trend(df: DataFrame, time: str, value: str, *keys: str) -> DataFrame:
 def robust_scale(df: DataFrame, value: str, *keys: str) -> DataFrame:
     """Median and 1.4826 times the median absolute deviation."""
     v = df.select(*keys, finite(value).alias("v")).where("v is not null")
-    middle = v.groupBy(*keys).agg(F.median("v").alias("median"))
-    joined = v.join(middle, list(keys)) if keys else v.crossJoin(F.broadcast(middle))
-    return joined.groupBy(*keys, "median").agg((1.4826 * F.median(F.abs(F.col("v") - F.col("median")))).alias("scale"))
+    middle = quantiles(v, "v", [0.5], *keys).select(*keys, F.col("q")[0].alias("median"))
+    joined = with_keyed(v, middle, *keys)
+    apart = quantiles(joined.select(*keys, F.abs(F.col("v") - F.col("median")).alias("apart")), "apart", [0.5], *keys)
+    return with_keyed(middle, apart, *keys).select(*keys, "median", (1.4826 * F.col("q")[0]).alias("scale"))
+
+
+def positions(df: DataFrame, order: list[str]) -> DataFrame:
+    """Adds position (from 0) in the given order and the number of rows. Rows are numbered inside ranges of the order, which a checkpoint holds still; only
+    the ranges' counts are added up in one place."""
+    x = cut(df.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    counts = x.groupBy("part").agg(F.count("*").alias("c"))
+    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    starts = counts.select("part", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("start"), F.sum("c").over(W.partitionBy()).alias("rows"))
+    inside = F.row_number().over(W.partitionBy("part").orderBy(*order)) - 1
+    return x.join(F.broadcast(starts), "part").withColumn("position", (F.col("start") + inside).cast("long")).drop("part", "start")
 
 
 def display_sample(df: DataFrame, order: list[str], most: int = 1500) -> DataFrame:
     """At most `most` rows at evenly spread positions, the first and the last among them."""
-    at = W.orderBy(*order)
-    x = df.withColumns({"position": F.row_number().over(at) - 1, "rows": F.count("*").over(W.partitionBy())})
+    x = positions(df, order)
     k = F.col("position") * (most - 1) / (F.col("rows") - 1)
     near = F.rint(F.rint(k) * (F.col("rows") - 1) / (most - 1))
     return x.where((F.col("rows") <= most) | (near == F.col("position"))).drop("rows")

@@ -116,19 +116,35 @@ def terrain_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.groupBy(ladder(F.col("slope"), SLOPE).alias("slope_class"), sector.alias("sector")).agg(F.count("*").alias("n"))
 
 
-LOCAL = f"""WITH {standins.GRID}, p AS (SELECT row, col, z + 1 AS z FROM grid),
-a AS (SELECT *, sum(z) OVER w AS s1, sum(z * z) OVER w AS s2, count(z) OVER w AS s0 FROM p WINDOW w AS (PARTITION BY row ORDER BY col RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING)),
-m AS (SELECT row, col, z, sum(s1) OVER w / sum(s0) OVER w AS mean, greatest(0, sum(s2) OVER w / sum(s0) OVER w - (sum(s1) OVER w / sum(s0) OVER w) ** 2) AS variance FROM a WINDOW w AS (PARTITION BY col ORDER BY row RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING))"""
+MIRRORED = """e AS (SELECT max(row) AS lr, max(col) AS lc FROM p),
+v AS (SELECT row, col, z, false AS ghost FROM p UNION ALL SELECT -1 - row, col, z, true FROM p WHERE row < {k} UNION ALL SELECT 2 * lr + 1 - row, col, z, true FROM p, e WHERE row > lr - {k}),
+g AS (SELECT row, col, z, ghost FROM v UNION ALL SELECT row, -1 - col, z, true FROM v WHERE col < {k} UNION ALL SELECT row, 2 * lc + 1 - col, z, true FROM v, e WHERE col > lc - {k})"""
+LOCAL = f"""WITH {standins.GRID}, p AS (SELECT row, col, z + 1 AS z FROM grid), {MIRRORED.format(k=2)},
+a AS (SELECT *, sum(z) OVER w AS s1, sum(z * z) OVER w AS s2, count(z) OVER w AS s0 FROM g WINDOW w AS (PARTITION BY row ORDER BY col RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING)),
+b AS (SELECT row, col, z, ghost, sum(s1) OVER w / sum(s0) OVER w AS mean, greatest(0, sum(s2) OVER w / sum(s0) OVER w - (sum(s1) OVER w / sum(s0) OVER w) ** 2) AS variance FROM a WINDOW w AS (PARTITION BY col ORDER BY row RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING)),
+m AS (SELECT * FROM b WHERE NOT ghost)"""
 
 
 @query(LOCAL + " SELECT row, col, round(mean, 6) AS mean, round(variance, 6) AS variance, round(mean + CASE WHEN variance > 0 THEN greatest((variance - mean * mean / 100) / (1 + 1 / 100.0), 0) / variance ELSE 0 END * (z - mean), 6) AS filtered FROM m")
 def local_mean_var_lee(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Local mean and variance over 5 x 5 cells and the speckle filter."""
+    """Local mean and variance over 5 x 5 cells, mirrored at the edge, and the speckle filter."""
     g = standins.grid(spark, sf_dir).withColumn("z", F.col("z") + 1)
     x = cells.lee(cells.local_mean_variance(g, "z", 5), "z", looks=100.0)
     return x.select("row", "col", *[F.round(k, 6).alias(k) for k in ("mean", "variance", "filtered")])
 
 
+KERNEL = "(VALUES (0, exp(0.0)), (1, exp(-0.5 / 0.4489)), (2, exp(-2 / 0.4489)), (3, exp(-4.5 / 0.4489))) t(d, w)"
+
+
+@query(f"""
+WITH {standins.GRID}, p AS (SELECT row, col, z FROM grid), {MIRRORED.format(k=3)}, k AS (SELECT d, w / (SELECT sum(CASE WHEN d = 0 THEN w ELSE 2 * w END) FROM {KERNEL}) AS w FROM {KERNEL}),
+a AS (SELECT x.row, x.col, any_value(x.ghost) AS ghost, sum(k.w * y.z) AS z FROM g x JOIN g y ON y.row = x.row AND y.col BETWEEN x.col - 3 AND x.col + 3 JOIN k ON k.d = abs(y.col - x.col) GROUP BY ALL)
+SELECT x.row, x.col, round(sum(k.w * y.z), 6) AS smooth FROM a x JOIN a y ON y.col = x.col AND y.row BETWEEN x.row - 3 AND x.row + 3 JOIN k ON k.d = abs(y.row - x.row) WHERE NOT x.ghost GROUP BY x.row, x.col""")
+def gaussian_smoothing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells smoothed by a Gaussian of 0.67 cells, mirrored at the edge."""
+    return cells.gaussian(standins.grid(spark, sf_dir), "z", 0.67).select("row", "col", F.round("smooth", 6).alias("smooth"))
+
+
 @query(f"""
 WITH {standins.GRID}, t AS (SELECT * FROM grid WHERE z > 0.2)
 SELECT row, col, round(z, 6) AS z FROM t WHERE NOT EXISTS (SELECT 1 FROM t u WHERE (u.row - t.row) ** 2 + (u.col - t.col) ** 2 <= 9 AND abs(u.row - t.row) <= 3 AND (u.z > t.z OR (u.z = t.z AND (u.row < t.row OR (u.row = t.row AND u.col < t.col)))))""")

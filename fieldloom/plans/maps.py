@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fieldloom.functions import classes, solar
-from fieldloom.operators import regrid
+from fieldloom.operators import regrid, stats
 from fieldloom.plans.registry import query, table
 from fieldloom.sources import standins
 
@@ -41,7 +41,7 @@ def relabel_by_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stretched_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values of each channel stretched between its 2nd and 98th percentiles to bytes."""
     g = standins.grid(spark, sf_dir)
-    s = g.groupBy("col").agg(F.percentile("z", F.array(F.lit(0.02), F.lit(0.98))).alias("p"))
+    s = stats.quantiles(g, "z", [0.02, 0.98], "col").withColumnRenamed("q", "p")
     part = (F.col("z") - F.col("p")[0]) / (F.col("p")[1] - F.col("p")[0])
     return g.join(s, "col").select("row", "col", F.rint(F.greatest(F.lit(0.0), F.least(F.lit(1.0), part)) * 255).cast("int").alias("shade"))
 

@@ -1,4 +1,4 @@
-"""Queries over graphs on grids. Grids are the first rows of the stand-in, as elevation models of a limited size."""
+"""Queries over graphs on grids, which are the whole stand-in; depression filling cuts it into elevation models of 50 rows."""
 
 from __future__ import annotations
 

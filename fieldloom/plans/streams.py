@@ -8,17 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.plans.registry import query, table
+from fieldloom.session import shared_folder
 from fieldloom.streaming import confirm
 
 
-def replay(spark: SparkSession, source: DataFrame, transform, mode: str = "append") -> DataFrame:
-    """Writes a batch as files in the shared folder, streams them through transform, and reads what came out."""
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="fieldloom-")
-    at = f"{base.rstrip('/')}/replay-{uuid.uuid4().hex}"
+def replay(spark: SparkSession, source: DataFrame, transform, mode: str = "append", files: int = 8) -> DataFrame:
+    """Writes a batch as files in the shared folder, streams at most `files` a trigger (0: all) through transform, and reads what came out."""
+    at = f"{shared_folder(spark).rstrip('/')}/replay-{uuid.uuid4().hex}"
     source.write.parquet(f"{at}/in")
-    stream = transform(spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 8).parquet(f"{at}/in"))
+    reader = spark.readStream.schema(source.schema)
+    stream = transform((reader.option("maxFilesPerTrigger", files) if files else reader).parquet(f"{at}/in"))
     job = stream.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", f"{at}/checkpoint").option("path", f"{at}/out").trigger(availableNow=True).start()
     job.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{at}/out")
@@ -34,9 +33,8 @@ def confirmed_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells whose value fell by 0.2 or more below a reference of 0.6 at two consecutive clear observations, from a stream."""
     e = table(spark, sf_dir, "events")
     x = e.select(F.col("user_id").alias("cell"), F.col("ts").cast("timestamp").alias("at"), F.when(F.col("event_type") != "error", F.col("value") / 100).alias("value"), F.lit(0.6).alias("reference"))
-    # One file holds all: a cell's scenes reach its state in time order, as scenes arrive one after the other.
-    out = replay(spark, x.coalesce(1), lambda s: confirm.confirm(s, drop=0.2))
-    return out.select("cell", F.col("since").cast("timestamp_ntz").alias("since"), F.col("confirmed").cast("timestamp_ntz").alias("confirmed"))
+    # One trigger takes all files, so each cell's state sorts all of its scenes; state is dealt by cell.
+    return replay(spark, x, lambda s: confirm.confirm(s, drop=0.2), files=0).select("cell", F.col("since").cast("timestamp_ntz").alias("since"), F.col("confirmed").cast("timestamp_ntz").alias("confirmed"))
 
 
 @query("SELECT event_type, date_trunc('hour', ts) AS began, count(*) AS n FROM events GROUP BY ALL")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "fieldloom", **settings: str) -> SparkSession:
@@ -15,3 +17,19 @@ def session(name: str = "fieldloom", **settings: str) -> SparkSession:
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     } | settings
     return SparkSession.builder.appName(name).config(map=conf).getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Without that setting, local sessions take a temporary folder and clusters fail, as executors would not see it."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return folder or "file://" + tempfile.mkdtemp(prefix="fieldloom-")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the shared folder."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
