@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fieldloom.plans import climate, domain, grids, learning, maps, networks, relational, series, streams, tables, words  # noqa: F401  they register their queries
+from fieldloom.plans import checks, climate, domain, forests, grids, learning, maps, networks, relational, series, stacks, streams, tables, words  # noqa: F401  they register their queries
 from fieldloom.plans.registry import ORACLES, QUERIES
 
 FLAGSHIP = "monthly_order_trend"
