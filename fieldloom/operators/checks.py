@@ -71,3 +71,12 @@ def retained(rows: DataFrame, at: str, now: Column, kind: str, days: dict[str, i
     for k, d in days.items():
         limit = F.when(F.col(kind) == k, F.lit(d)).otherwise(limit)
     return rows.where(limit.isNull() | (F.col(at) >= now - F.make_dt_interval(limit)))
+
+
+def answers(df: DataFrame, value: str, position: str, *keys: str) -> DataFrame:
+    """n, mean, the highest and the lowest value and their positions, the first of equals; missing values don't count."""
+    x = df.where(F.col(value).isNotNull()).groupBy(*keys)
+    return x.agg(
+        F.count("*").alias("n"), F.round(F.avg(value), 6).alias("mean"), F.max(value).alias("highest"), F.max_by(position, F.struct(value, -F.col(position))).alias("highest_at"),
+        F.min(value).alias("lowest"), F.min_by(position, F.struct(value, position)).alias("lowest_at"),
+    )

@@ -153,3 +153,19 @@ def dilate(cells: DataFrame, radius: int) -> DataFrame:
 def ranked_largest(df: DataFrame, by: str, order: list[str], most: int) -> DataFrame:
     """The first `most` rows, a report, by falling values with their rank; only they meet in one place."""
     return df.orderBy(F.desc(by), *order).limit(most).withColumn("rank", F.row_number().over(W.orderBy(F.desc(by), *order)))
+
+
+def wetness(total: Column, tangent: Column) -> Column:
+    """Topographic wetness: the logarithm of the upslope area over the slope's tangent, which counts as 0.001 at least."""
+    return F.log(total / F.greatest(tangent, F.lit(0.001)))
+
+
+def emit_alerts(cells: DataFrame, width: int, area: Column, least: float) -> tuple[DataFrame, DataFrame]:
+    """Alerts, a row for each patch of confirmed cells not yet reported that reaches the least area (patch, cells, area, row, col: its centre), and the cells with
+    reported brought up to date. Smaller patches wait and may grow. cells: row, col, confirmed, reported."""
+    waiting = cells.where("confirmed and not reported")
+    labelled = patches(waiting, width)
+    p = labelled.withColumn("a", area).groupBy("patch").agg(F.count("*").alias("cells"), F.sum("a").alias("area"), F.avg("row").alias("row"), F.avg("col").alias("col")).where(F.col("area") >= least)
+    told = labelled.join(p.select("patch"), "patch", "left_semi").select("row", "col", F.lit(True).alias("told"))
+    after = cells.join(told, ["row", "col"], "left").withColumn("reported", F.col("reported") | F.coalesce("told", F.lit(False))).drop("told")
+    return p, after

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fieldloom.functions import metrics
 from fieldloom.operators import checks, stats
 from fieldloom.plans.registry import query, table
+from fieldloom.sinks import files
 from fieldloom.sources import standins
 
 
@@ -105,3 +106,19 @@ def columns_in_class_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     medians = stats.quantiles(x, "v", [0.5], "metric").select("metric", F.col("q")[0].alias("median"))
     x = stats.with_keyed(x, medians, "metric").withColumn("v", metrics.in_class_units(F.col("metric"), F.col("v"), F.col("median"), F.lit(8.0)))
     return x.groupBy("metric").agg(F.count("*").alias("n"), F.round(F.avg("v"), 6).alias("mean"))
+
+
+@query("""
+WITH x AS (SELECT event_type, value, ts, event_id FROM events WHERE value IS NOT NULL)
+SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, max(value) AS highest, arg_max(event_id, (value, -event_id)) AS highest_at, min(value) AS lowest, arg_min(event_id, (value, event_id)) AS lowest_at FROM x GROUP BY event_type""")
+def column_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers over a column: how many, the mean, and where the highest and the lowest value stand, the first of equals."""
+    return checks.answers(table(spark, sf_dir, "events"), "value", "event_id", "event_type")
+
+
+@query("""
+SELECT '{"type":"Feature","geometry":{"type":"Point","coordinates":[' || (user_id % 180) || ',' || (event_id % 90) || ']},"properties":{"event_id":' || event_id || ',"event_type":"' || event_type || '"}}' AS value FROM events""")
+def geojson_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Point features as GeoJSON, one a row."""
+    e = table(spark, sf_dir, "events").select((F.col("user_id") % 180).alias("lon"), (F.col("event_id") % 90).alias("lat"), "event_id", "event_type")
+    return files.geojson_features(e, "lon", "lat", "event_id", "event_type")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.operators import networks
+from fieldloom.operators import cells, networks
+from fieldloom.plans.grids import NINE
 from fieldloom.plans.registry import query
 from fieldloom.sources import standins
 
@@ -85,3 +86,25 @@ def depression_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dilation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells within one cell of the highest ones."""
     return networks.dilate(standins.grid(spark, sf_dir).where("z > 0.3"), 1)
+
+
+FRESH = HIGH.replace("WHERE z > 0.08)", "WHERE z > 0.08 AND row % 11 <> 0)")
+
+
+@query(FRESH + ", p AS (SELECT patch, count(*) AS cells, CAST(sum(1 + row * 0.001) AS DOUBLE) AS area, avg(row) AS row, avg(col) AS col FROM label JOIN x ON x.id = label.id GROUP BY patch) SELECT patch, cells, round(area, 6) AS area, round(row, 6) AS row, round(col, 6) AS col FROM p WHERE area >= 4")
+def emitted_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patches of confirmed cells that were not reported before and reach the least area."""
+    g = standins.grid(spark, sf_dir).select("row", "col", (F.col("z") > 0.08).alias("confirmed"), (F.col("row") % 11 == 0).alias("reported"))
+    alerts, _ = networks.emit_alerts(g, WIDTH, 1 + F.col("row") * 0.001, 4.0)
+    return alerts.select("patch", "cells", *[F.round(c, 6).alias(c) for c in ("area", "row", "col")])
+
+
+@query(DIRECTED + """, path AS (SELECT CAST(row AS BIGINT) * 64 + col AS start, CAST(row AS BIGINT) * 64 + col AS id FROM grid UNION ALL SELECT p.start, e.to_ FROM path p JOIN edges e ON e.id = p.id), acc AS (SELECT id, count(*) AS total FROM path GROUP BY id), """ + NINE.split(standins.GRID + ", ", 1)[1] + """
+SELECT row, col, round(ln(total / greatest(sqrt(gx * gx + gy * gy), 0.001)), 6) AS wetness FROM grad JOIN acc ON acc.id = CAST(row AS BIGINT) * 64 + col""")
+def wetness_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wetness of the inner cells from eight-way flow and the slope of the surface."""
+    g = standins.grid(spark, sf_dir)
+    at = F.col("row").cast("long") * WIDTH + F.col("col")
+    total = networks.flow_accumulation(g.select(at.alias("id"), F.lit(1.0).alias("one")), _edges(spark, sf_dir), "one").select("id", "total")
+    slopes = cells.horn(cells.neighbourhood(g, "z")).where("slope is not null").select("row", "col", F.hypot("gx", "gy").alias("tangent"), at.alias("id"))
+    return slopes.join(total, "id").select("row", "col", F.round(networks.wetness(F.col("total"), F.col("tangent")), 6).alias("wetness"))
