@@ -44,10 +44,15 @@ class Scratch:
         self.spark = spark
         self.paths: dict[str, list[str]] = {}
 
-    def keep(self, df: DataFrame, name: str, free: bool = False) -> DataFrame:
-        """df, written and read back. free: let Spark drop the shuffle files of what was written now, not when the driver next collects garbage."""
+    def path(self, name: str) -> str:
+        """A new path that is deleted with the tables of that name."""
         path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
         self.paths.setdefault(name, []).append(path)
+        return path
+
+    def keep(self, df: DataFrame, name: str, free: bool = False) -> DataFrame:
+        """df, written and read back. free: let Spark drop the shuffle files of what was written now, not when the driver next collects garbage."""
+        path = self.path(name)
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         if free:
