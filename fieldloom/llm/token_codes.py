@@ -25,6 +25,7 @@ Only the id and the text are read. An empty table gives no documents.
 
 from __future__ import annotations
 
+import functools
 import os
 import struct
 import zlib
@@ -45,7 +46,7 @@ SEGMENT_IDS, FILE_SEGMENTS = 1 << 18, 64
 #: Bits of the bitmap for each count of the directory.
 BLOCK = 512
 #: Distinct words whose ids a worker remembers.
-CACHED = 400_000
+CACHED = 1_000_000
 HEAD = struct.Struct("<QQqQQQQ")
 
 
@@ -93,6 +94,12 @@ class WordEncoder:
         return out, np.diff(upto)
 
 
+@functools.cache
+def encoder_of(path: str, whole: bool = False) -> WordEncoder:
+    """The encoder of this worker, which later tasks go on with."""
+    return WordEncoder(path, whole)
+
+
 def bit_lengths(ids: np.ndarray) -> np.ndarray:
     return np.frexp(ids.astype(np.float64))[1].astype(np.int64)
 
@@ -214,7 +221,7 @@ def write_codes(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, who
     """Writes the ids of all documents, each followed by end_id, to files below path."""
 
     def run(batches):
-        encoder = WordEncoder(tokenizer, whole)
+        encoder = encoder_of(tokenizer, whole)
         part, before = TaskContext.get().partitionId(), 0
         doc_ids, counts, held, many = [], [], [], 0
 
