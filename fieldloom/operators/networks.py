@@ -1,11 +1,7 @@
-"""Graph-shaped operators on grids: patches, minimum units, flow, streams and watersheds. Loops cut their lineage in the checkpoint folder."""
+"""Graph-shaped operators on grids: patches, minimum units, flow and stream orders. Loops cut their lineage in the checkpoint folder."""
 
 from __future__ import annotations
 
-import heapq
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -72,59 +68,8 @@ def flow_accumulation(ids: DataFrame, edges: DataFrame, weight: str) -> DataFram
     return total.select("id", "total")
 
 
-def watershed(edges: DataFrame, outlet: int) -> DataFrame:
-    """Ids from which the flow reaches the outlet, the outlet included; breadth first against the flow."""
-    spark = edges.sparkSession
-    seen = cut(spark.createDataFrame([(outlet,)], "id long"))
-    edge = seen
-    while True:
-        edge = cut(edges.join(edge.withColumnRenamed("id", "to"), "to").select("id").distinct().join(seen, "id", "left_anti"))
-        if not edge.limit(1).count():
-            return seen
-        seen = cut(seen.union(edge))
-
-
-def fill_depressions(z: np.ndarray, slope: float = 1e-6) -> np.ndarray:
-    """Levels from which water can leave: a flood that rises from the edge, and from cells next to missing ones."""
-    rows, cols = z.shape
-    out, done, heap = z.copy(), np.isnan(z), []
-    for r in range(rows):
-        for c in range(cols):
-            if done[r, c]:
-                continue
-            near = [(r + i, c + j) for i, j in NEIGHBOURS]
-            if any(not (0 <= a < rows and 0 <= b < cols) or np.isnan(z[a, b]) for a, b in near):
-                heap.append((z[r, c], r, c))
-    for _, r, c in heap:
-        done[r, c] = True
-    heapq.heapify(heap)
-    while heap:
-        level, r, c = heapq.heappop(heap)
-        for i, j in NEIGHBOURS:
-            a, b = r + i, c + j
-            if 0 <= a < rows and 0 <= b < cols and not done[a, b]:
-                done[a, b] = True
-                out[a, b] = max(z[a, b], level + max(slope, abs(level) * 1e-12))
-                heapq.heappush(heap, (out[a, b], a, b))
-    return out
-
-
-def filled(cells: DataFrame, key: str, value: str) -> DataFrame:
-    """key, row, col, value and level of each grid; one grid (an elevation model of limited size) is one group."""
-    kind = cells.schema[key].dataType.simpleString()
-
-    def run(x: pd.DataFrame) -> pd.DataFrame:
-        r, c = x["row"] - x["row"].min(), x["col"] - x["col"].min()
-        z = np.full((r.max() + 1, c.max() + 1), np.nan)
-        z[r, c] = x["v"]
-        return x.assign(level=fill_depressions(z)[r, c])[["key", "row", "col", "v", "level"]]
-
-    x = cells.select(F.col(key).alias("key"), F.col("row").cast("int"), F.col("col").cast("int"), F.col(value).cast("double").alias("v"))
-    return x.groupBy("key").applyInPandas(run, f"key {kind}, row int, col int, v double, level double").withColumnsRenamed({"key": key, "v": value})
-
-
 def strahler(cells: DataFrame, edges: DataFrame) -> DataFrame:
-    """id and stream order of the cells: 1 at sources, one more where two of the highest order meet. Cells are peeled from the sources down."""
+    """id and stream order of the cells: 1 at sources, one more where two of the highest order meet. Cells are peeled from the sources down, a round for each step; chains.stream_orders contracts what lies between junctions first."""
     inflow = edges.groupBy(F.col("to").alias("id")).agg(F.count("*").alias("inflows"))
     ready = cut(cells.select("id").join(inflow, "id", "left_anti").withColumn("order", F.lit(1)))
     known = ready

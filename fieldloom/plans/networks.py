@@ -1,11 +1,11 @@
-"""Queries over graphs on grids, which are the whole stand-in; depression filling cuts it into elevation models of 50 rows."""
+"""Queries over graphs on grids, which are the whole stand-in."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.operators import cells, networks
+from fieldloom.operators import cells, chains, networks
 from fieldloom.plans.grids import NINE
 from fieldloom.plans.registry import query
 from fieldloom.sources import standins
@@ -50,6 +50,10 @@ def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return networks.downstream(networks.flow_direction(standins.grid(spark, sf_dir), "z"), WIDTH)
 
 
+def _ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return standins.grid(spark, sf_dir).select((F.col("row").cast("long") * WIDTH + F.col("col")).alias("id"))
+
+
 @query(DIRECTED + " SELECT g.row, g.col, CAST(coalesce(b.k, -1) AS INT) AS direction FROM grid g LEFT JOIN b ON b.row = g.row AND b.col = g.col")
 def flow_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return networks.flow_direction(standins.grid(spark, sf_dir), "z").select("row", "col", "direction")
@@ -65,21 +69,7 @@ def flow_accumulation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(DIRECTED + ", up AS (SELECT CAST(100 * 64 + 20 AS BIGINT) AS id UNION SELECT e.id FROM edges e JOIN up ON e.to_ = up.id) SELECT id FROM up")
 def watershed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells from which the flow reaches one outlet."""
-    return networks.watershed(_edges(spark, sf_dir), 100 * WIDTH + 20)
-
-
-@query()
-def stream_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Strahler's order of the flow graph; peeling in order has no compact SQL form."""
-    ids = standins.grid(spark, sf_dir).select((F.col("row").cast("long") * WIDTH + F.col("col")).alias("id"))
-    return networks.strahler(ids, _edges(spark, sf_dir))
-
-
-@query()
-def depression_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Levels after filling, for blocks of 50 rows as separate elevation models; a priority flood is sequential."""
-    g = standins.grid(spark, sf_dir).withColumn("model", F.floor(F.col("row") / 50).cast("int"))
-    return networks.filled(g, "model", "z").select("model", "row", "col", F.round("z", 6).alias("z"), F.round("level", 6).alias("level"))
+    return chains.watershed(_edges(spark, sf_dir), _ids(spark, sf_dir), 100 * WIDTH + 20)
 
 
 @query(f"WITH {standins.GRID}, t AS (SELECT row, col FROM grid WHERE z > 0.3), k AS (SELECT unnest(range(-1, 2)) AS i) SELECT DISTINCT CAST(row + a.i AS INT) AS row, CAST(col + b.i AS INT) AS col FROM t, k a, k b")

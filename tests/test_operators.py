@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldloom.functions import classes, dates, dist, text
-from fieldloom.operators import carbon, cells, climate, networks, series, stats, vector
+from fieldloom.operators import carbon, cells, chains, climate, networks, series, stats, vector
 
 
 def test_trend_of_ten_rising_points(spark):
@@ -82,7 +82,7 @@ def test_patches_and_flow(spark):
     e = networks.downstream(d, 10)
     acc = {r.id: r.total for r in networks.flow_accumulation(g.select(F.col("col").cast("long").alias("id"), F.lit(1.0).alias("w")), e, "w").collect()}
     assert acc == {i: float(i + 1) for i in range(10)}
-    assert networks.watershed(e, 4).count() == 5
+    assert chains.watershed(e, spark.range(10), 4).count() == 5
 
 
 def test_stream_order_of_a_confluence(spark):
@@ -90,13 +90,6 @@ def test_stream_order_of_a_confluence(spark):
     assert {r.id: r.order for r in networks.strahler(spark.range(1, 6), e).collect()} == {1: 1, 2: 1, 3: 2, 4: 1, 5: 2}
 
 
-def test_filling_raises_a_pit_to_its_rim():
-    z = np.full((5, 5), 10.0)
-    z[1:4, 1:4] = 5.0
-    z[0, 2] = 7.0
-    assert np.allclose(networks.fill_depressions(z)[1:4, 1:4], 7.0, atol=1e-4)
-
-
 def test_single_break(spark):
     rng = np.random.default_rng(2)
     y = np.concatenate([0.8 + rng.normal(0, 0.01, 20), 0.4 + rng.normal(0, 0.01, 15)])
