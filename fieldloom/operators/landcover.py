@@ -12,28 +12,41 @@ from pyspark.sql import functions as F
 from fieldloom.operators.carbon import CARBON, CO2
 
 
+def _free(taken: list[str], *names: str) -> list[str]:
+    """The names, with underscores before them until no column has them."""
+    low, out = {c.lower() for c in taken}, []
+    for n in names:
+        while n.lower() in low:
+            n = f"_{n}"
+        out.append(n)
+    return out
+
+
 def clusters(cells: DataFrame, bands: list[str], k: int, rank_by: str, keys: list[str], most: int = 20_000, seed: int = 7) -> DataFrame:
     """Classes 1 to k of all cells whose bands are all there, ranked by the mean of a band. The model is fitted on at most `most` cells, those with the least seeded hash."""
     whole = cells.dropna(subset=bands)
-    vec = VectorAssembler(inputCols=bands, outputCol="__raw").transform(whole)
+    raw, x, c, m = _free([*cells.columns, "class"], "raw", "x", "c", "m")
+    vec = VectorAssembler(inputCols=bands, outputCol=raw).transform(whole)
     train = vec.orderBy(F.xxhash64(F.lit(seed), *keys), *keys).limit(most)
-    scaler = StandardScaler(inputCol="__raw", outputCol="__x", withMean=True).fit(train)
-    model = KMeans(k=k, seed=seed, featuresCol="__x", predictionCol="__c").fit(scaler.transform(train))
+    scaler = StandardScaler(inputCol=raw, outputCol=x, withMean=True).fit(train)
+    model = KMeans(k=k, seed=seed, featuresCol=x, predictionCol=c).fit(scaler.transform(train))
     labelled = model.transform(scaler.transform(vec))
-    order = labelled.groupBy("__c").agg(F.avg(rank_by).alias("m")).select("__c", F.row_number().over(W.orderBy("m", "__c")).alias("class"))  # k rows
-    return labelled.join(F.broadcast(order), "__c").drop("__raw", "__x", "__c")
+    order = labelled.groupBy(c).agg(F.avg(rank_by).alias(m)).select(c, F.row_number().over(W.orderBy(m, c)).alias("class"))  # k rows
+    return labelled.join(F.broadcast(order), c).drop(raw, x, c)
 
 
-def forest(train: DataFrame, cells: DataFrame, bands: list[str], label: str, trees: int = 100, per_class: int = 5000, seed: int = 7) -> DataFrame:
+def forest(train: DataFrame, cells: DataFrame, bands: list[str], label: str, trees: int = 100, per_class: int = 5000, seed: int = 7, depth: int = 10) -> DataFrame:
     """Predicted class of all cells from training cells, at most per_class of each class by seeded hash."""
     rank = F.row_number().over(W.partitionBy(label).orderBy(F.xxhash64(F.lit(seed), *bands), *bands))
-    own = train.dropna(subset=[*bands, label]).withColumn("__k", rank).where(F.col("__k") <= per_class)
+    x, y, k, p, raw, prob = _free([*train.columns, *cells.columns], "x", "y", "k", "p", "raw", "prob")
+    own = train.dropna(subset=[*bands, label]).withColumn(k, rank).where(F.col(k) <= per_class)
     names = [r[0] for r in own.select(label).distinct().orderBy(label).collect()]  # classes
-    codes = F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (n, float(i))])
-    vec = VectorAssembler(inputCols=bands, outputCol="__x")
-    model = RandomForestClassifier(numTrees=trees, maxDepth=10, seed=seed, featuresCol="__x", labelCol="__y", predictionCol="__p").fit(vec.transform(own.withColumn("__y", codes[F.col(label)])))
+    codes = F.create_map(*[F.lit(v) for i, n in enumerate(names) for v in (n, float(i))])
+    vec = VectorAssembler(inputCols=bands, outputCol=x)
+    learner = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featuresCol=x, labelCol=y, predictionCol=p, rawPredictionCol=raw, probabilityCol=prob)
+    model = learner.fit(vec.transform(own.withColumn(y, codes[F.col(label)])))
     out = model.transform(vec.transform(cells.dropna(subset=bands)))
-    return out.withColumn("predicted", F.get(F.array(*[F.lit(n) for n in names]), F.col("__p").cast("int"))).drop("__x", "rawPrediction", "probability", "__p")
+    return out.withColumn("predicted", F.get(F.array(*[F.lit(n) for n in names]), F.col(p).cast("int"))).drop(x, raw, prob, p)
 
 
 def folds(shapes: DataFrame, label: str, shape: str, most: int = 5, seed: int = 7) -> DataFrame:
@@ -46,7 +59,7 @@ def folds(shapes: DataFrame, label: str, shape: str, most: int = 5, seed: int =
 
 def emission_draws(df: DataFrame, draws: int = 20_000, seed: int = 7) -> DataFrame:
     """zone, low, median and high (2.5, 50, 97.5 %) of emissions. df: zone, area, agb, ratio and their standard deviations (area_sd, agb_sd, ratio_sd), a row a zone; negative draws count as 0."""
-    d = df.join(df.sparkSession.range(draws).select(F.col("id").alias("draw")))
+    d = df.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     n = lambda c, s: F.greatest(F.lit(0.0), F.col(c) + F.randn(seed + s) * F.col(f"{c}_sd"))
     e = n("area", 0) * n("agb", 1) * (1 + n("ratio", 2)) * CARBON * CO2
     q = F.percentile("e", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))

@@ -60,56 +60,77 @@ def ascent(df: DataFrame, key: str, order: str, height: str, least: float) -> Da
     return x.select(key, F.aggregate("points", zero, step).alias("s")).select(key, F.col("s.up").alias("ascent"), F.col("s.down").alias("descent"))
 
 
-def harmonic_breaks(t: np.ndarray, y: np.ndarray, k: float = 3.0, drop: float = 0.1, run: int = 3, window: int = 8, most: int = 8) -> list[tuple[float, float, float]]:
-    """(time, magnitude, recovery) of breaks in one series: a yearly harmonic fitted to a stable window, then runs of observations below it.
-
-    A window is stable if its trend and its first and last residuals are within the larger of k deviations and the drop; anomalies
-    are left out of the fit, which is renewed after each normal observation.
+class Harmonic:
+    """A line and a yearly harmonic through observations that come in one after the other; only their sums are kept, so one more costs the same however many there were."""
+
+    def __init__(self, origin: float) -> None:
+        self.origin, self.n, self.squares = origin, 0, 0.0
+        self.products, self.against = np.zeros((4, 4)), np.zeros(4)
+
+    def terms(self, t: np.ndarray | float) -> np.ndarray:
+        s = np.asarray(t, float) - self.origin
+        return np.stack([np.ones_like(s), s, np.cos(2 * np.pi * s), np.sin(2 * np.pi * s)], axis=-1)
+
+    def add(self, t: np.ndarray, y: np.ndarray) -> None:
+        x = self.terms(t)
+        self.products += x.T @ x
+        self.against += y @ x
+        self.squares += float(y @ y)
+        self.n += len(y)
+        self.weights = np.linalg.solve(self.products + 1e-9 * np.eye(4), self.against)
+
+    def above(self, t: np.ndarray | float, y: np.ndarray | float) -> np.ndarray | float:
+        return y - self.terms(t) @ self.weights
+
+    def limit(self, k: float, drop: float) -> float:
+        rest = self.squares - 2 * self.weights @ self.against + self.weights @ self.products @ self.weights
+        return max(k * math.sqrt(max(rest, 0.0) / max(self.n - 4, 1)), drop)
+
+    def change(self, years: float) -> float:
+        return float(self.weights[1] * years)
+
+
+def settled(t: np.ndarray, y: np.ndarray, first: int, k: float, drop: float, window: int) -> tuple[Harmonic, int, int] | None:
+    """The model of the first stable window from `first` on, with where the window begins and ends: at least a year and `window` observations; trend, first and last residual within the limit."""
+    ends = np.maximum(np.searchsorted(t, t + 1) + 1, np.arange(len(t)) + window)
+    for begin in range(first, len(t)):
+        if ends[begin] > len(t):
+            return None
+        own = slice(begin, ends[begin])
+        model = Harmonic(t[begin])
+        model.add(t[own], y[own])
+        most = model.limit(k, drop)
+        if abs(model.change(t[own][-1] - t[begin])) < most and np.abs(model.above(t[own][[0, -1]], y[own][[0, -1]])).max() < most:
+            return model, begin, int(ends[begin])
+    return None
+
+
+def harmonic_breaks(t: np.ndarray, y: np.ndarray, k: float = 3.0, drop: float = 0.1, run: int = 3, window: int = 8) -> list[tuple[float, float, float | None]]:
+    """(time, magnitude, recovery) of every break in one series: `run` observations in a row that fall short of the model by more than the limit.
+
+    Other observations join the model. What follows a break is modelled anew; recovery, the trend over the last stretch as a share of the last
+    drop, is known only for the last break, and only if its stretch has a stable model.
     """
-    basis = lambda s: np.column_stack([np.ones(len(s)), s, np.cos(2 * np.pi * s), np.sin(2 * np.pi * s)])
-
-    def fit(s: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, float]:
-        b = basis(s)
-        c = np.linalg.solve(b.T @ b + 1e-9 * np.eye(4), b.T @ v)
-        return c, math.sqrt(float(((v - b @ c) ** 2).sum()) / max(len(v) - 4, 1))
-
-    out: list[tuple[float, float, float]] = []
-    start = 0
-    since: tuple[float, float] | None = None
-    while start + window <= len(t) and len(out) < most:
-        end = start + window
-        while end <= len(t) and t[end - 1] - t[start] < 1:
-            end += 1
-        if end > len(t):
-            break
-        origin = t[start]
-        c, sd = fit(t[start:end] - origin, y[start:end])
-        limit = max(k * sd, drop)
-        rest = y[start:end] - basis(t[start:end] - origin) @ c
-        if abs(c[1]) * (t[end - 1] - origin) >= limit or abs(rest[0]) >= limit or abs(rest[-1]) >= limit:
-            start += 1
-            continue
-        used, low = list(range(start, end)), []
-        broken = False
+    found: list[tuple[float, float, float | None]] = []
+    at = 0
+    while (fitted := settled(t, y, at, k, drop, window)) is not None:
+        model, begin, end = fitted
+        short: list[int] = []
         for i in range(end, len(t)):
-            r = float(y[i] - (basis(t[i : i + 1] - origin) @ c)[0])
-            if r <= -max(k * sd, drop):
-                low.append((i, r))
-                if len(low) == run:
-                    if since and out:
-                        out[-1] = (*out[-1][:2], float(c[1] * (t[used[-1]] - since[0]) / -since[1]))
-                    out.append((float(t[low[0][0]]), float(np.mean([v for _, v in low])), 0.0))
-                    since, start, broken = (float(t[low[0][0]]), out[-1][1]), low[0][0], True
-                    break
+            if model.above(t[i], y[i]) > -model.limit(k, drop):
+                short.clear()
+                model.add(t[i : i + 1], y[i : i + 1])
             else:
-                low = []
-                used.append(i)
-                c, sd = fit(t[used] - origin, y[used])
-        if not broken:
-            if since and out:
-                out[-1] = (*out[-1][:2], float(c[1] * (t[used[-1]] - since[0]) / -since[1]))
+                short.append(i)
+            if len(short) == run:
+                break
+        if len(short) < run:
+            if found:
+                found[-1] = (*found[-1][:2], model.change(t[-1] - t[begin]) / -found[-1][1])
             break
-    return out
+        at = short[0]
+        found.append((float(t[at]), float(np.mean(model.above(t[short], y[short]))), None))
+    return found
 
 
 def seasonal_monitor(df: DataFrame, key: str, time: str, value: str, **settings) -> DataFrame:

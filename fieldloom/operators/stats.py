@@ -132,8 +132,8 @@ def display_sample(df: DataFrame, order: list[str], most: int = 1500) -> DataFra
 
 
 def largest_remainder(df: DataFrame, weight: str, total: int, order: list[str], least: int = 0) -> DataFrame:
-    """Whole numbers proportional to weights that sum to total: shares are cut off, and the largest remainders get one more; then each gets `least` at least, which can raise the sum."""
-    share = total * F.col(weight) / F.sum(weight).over(W.partitionBy())
+    """Whole numbers proportional to weights that sum to total: shares are cut off, and the largest remainders get one more; then each gets `least` at least, which can raise the sum. Where all weights are 0, shares are 0 and the first `total` rows get one. For tables of classes, which one task takes."""
+    share = F.coalesce(F.try_divide(total * F.col(weight), F.sum(weight).over(W.partitionBy())), F.lit(0.0))
     x = df.withColumns({"whole": F.floor(share), "rest": share - F.floor(share)})
     left = F.lit(total) - F.sum("whole").over(W.partitionBy())
     rank = F.row_number().over(W.orderBy(F.desc("rest"), *order))

@@ -35,7 +35,7 @@ def test_dates(spark):
         assert r.got == r.want, r
     order = dates.month_first(spark.createDataFrame([("02/13/2020",), ("01/02/2020",)], "c string"), "c").first()
     assert tuple(order) == (True, False)
-    names = spark.createDataFrame([("S2_20200229_x.tif", "2020-02-29"), ("a-2020-03-01.tif", "2020-03-01"), ("L2020060.tif", "2020-02-29"), ("none.tif", None)], "n string, want string")
+    names = spark.createDataFrame([("S2_20200229_x.tif", "2020-02-29"), ("a-2020-03-01.tif", "2020-03-01"), ("L2020060.tif", "2020-02-29"), ("none.tif", None), ("x20240315.20250101", "2024-03-15"), ("a1234-2024_075b.tif", "2024-03-15"), ("2024.0315.tif", "2024-03-15"), ("202403-15_x.tif", "2024-03-15"), ("120240315.tif", None), ("2024-13-40_2023-366.tif", "2024-01-01"), ("2024--03--15.tif", None), (None, None)], "n string, want string")
     for r in names.select("want", dates.date_from_name(F.col("n")).cast("string").alias("got")).collect():
         assert r.got == r.want
 
@@ -104,7 +104,22 @@ def test_seasonal_break_and_quiet_series():
     assert series.harmonic_breaks(t, y) == []
     y[40:] -= 0.35
     (b,) = series.harmonic_breaks(t, y)
-    assert abs(b[0] - t[40]) < 1e-9 and abs(b[1] + 0.35) < 0.02
+    assert abs(b[0] - t[40]) < 1e-9 and abs(b[1] + 0.35) < 0.02 and abs(b[2]) < 0.05
+
+
+def test_every_break_is_told_and_recovery_is_that_after_the_last():
+    t = np.arange(0, 30, 1 / 12)
+    y = 0.6 + 0.15 * np.cos(2 * np.pi * t)
+    for n, at in enumerate(range(36, 350, 36), 1):
+        y[at:] -= 0.3 if n < 9 else 0.0
+    y[324:] = 0.1 + 0.15 * np.cos(2 * np.pi * t[324:]) + 0.05 * (t[324:] - t[324]) + y[323]
+    found = series.harmonic_breaks(t, y - 0.4 * (t >= t[324]))
+    assert len(found) == 9 and all(b[2] is None for b in found[:-1]) and found[-1][2] > 0
+    assert series.harmonic_breaks(t[:7], y[:7]) == [] and series.harmonic_breaks(t[:0], y[:0]) == []
+    # A last stretch too short for a model has no recovery.
+    y = 0.6 + 0.15 * np.cos(2 * np.pi * t)
+    y[-4:] -= 0.5
+    assert [b[2] for b in series.harmonic_breaks(t, y)] == [None]
 
 
 def test_hysteresis(spark):
@@ -155,6 +170,11 @@ def test_largest_remainder_sums(spark):
     assert got == {"a": 34, "b": 33, "c": 33}
 
 
+def test_largest_remainder_without_weights(spark):
+    x = spark.createDataFrame([("a", 0), ("b", 0)], "k string, w int")
+    assert {r.k: r.allotted for r in stats.largest_remainder(x, "w", 1, ["k"]).collect()} == {"a": 1, "b": 0}
+
+
 @pytest.mark.parametrize("name", sorted(cells.INDICES))
 def test_indices_have_no_infinities(spark, name):
     bands = {k: F.lit(0.0) for k in ("nir", "red", "blue", "green", "swir1", "swir2")}
