@@ -74,7 +74,8 @@ def parts_of(band: int, percent: int) -> tuple[int, int, int]:
 def keys_of(tokens: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
     """The node's keys, hashes of band, part and the tokens in the part, and how many of them it shares at least with a node that links.
 
-    Of its filled parts, at most `apart` differ in the other set. Empty parts count only where no more than `apart` are filled.
+    Of the filled parts of the set that fills more, at most `apart` differ in the other one. Empty parts have keys only where no more than
+    `apart` are filled; such a set shares those with another of its kind, and one filled part at least with any other.
     """
     if not len(tokens):
         return np.empty(0, np.uint64), 0
@@ -89,9 +90,9 @@ def keys_of(tokens: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
         edges = np.concatenate([[0], np.searchsorted(tokens, (np.arange(1, parts) * (2.0**64 / parts)).astype(np.uint64)), [len(tokens)]])
         keys = mix(sums[edges[1:]] - sums[edges[:-1]] + mix(np.arange(parts, dtype=np.uint64) + np.uint64((band + 1) << 32)))
         filled = edges[1:] > edges[:-1]
-        keys = keys[filled] if filled.sum() > apart else keys
-        out.append(keys)
-        least.append(len(keys) - apart)
+        many = int(filled.sum())
+        out.append(keys[filled] if many > apart else keys)
+        least.append(max(many - apart, 1))
     return np.concatenate(out), min(least)
 
 
