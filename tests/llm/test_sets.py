@@ -1,8 +1,10 @@
 """Joins, line dedup, mixing, packing, URL rules, language model and neighbours against plain versions."""
 
+import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -57,17 +59,90 @@ def test_components(spark, n, percent):
         assert one.columns == df.columns and sorted(r.doc_id for r in one.collect()) == sorted({d for d, _, c in got if d == c})
 
 
+def linked_pairs(seed, n):
+    """Pairs of sets that link, of many sizes, tokens in all of the hash range or crowded in a part of it, and what they need to be alike in percent."""
+    rng = np.random.default_rng(seed)
+    for k in range(n):
+        percent, size = (80, 90)[k % 2], int(rng.integers(1, 13) if k % 3 else rng.integers(1, 300 if k % 7 == 0 else 60))
+        low = rng.random() * 0.9
+        crowd = lambda m, low=low, high=low + rng.random() * (1 - low): (rng.uniform(low, high, m) * 2.0**64 * 0.999999).astype(np.uint64)
+        x = np.unique(crowd(size) if k % 5 else rng.integers(0, 2**64, size, dtype=np.uint64))
+        apart = int(len(x) * (100 - percent) / 100 + 2)
+        rest = rng.permutation(x)[min(int(rng.integers(0, apart)), len(x) - 1) :]
+        y = np.unique(np.concatenate([rest, (crowd if k % 2 else lambda m: rng.integers(0, 2**64, m, dtype=np.uint64))(int(rng.integers(0, apart)))]))
+        both = len(np.intersect1d(x, y))
+        if 100 * both >= percent * (len(x) + len(y) - both):
+            yield percent, x, y
+
+
 def test_links_have_a_common_key():
-    rng = np.random.default_rng(3)
+    found = 0
+    for percent, x, y in linked_pairs(3, 40_000):
+        (a, least), (b, other) = ngram_join.keys_of(x, percent), ngram_join.keys_of(y, percent)
+        assert len(set(a.tolist()) & set(b.tolist())) >= max(1, least, other)
+        found += 1
+    assert found > 10_000
+
+
+def test_links_of_all_fillings_of_parts():
+    """Small sets by how many tokens fall into each part: every way to fill them, and every token that may be missing."""
     for percent in (80, 90):
-        for size in (1, 2, 5, 9, 10, 40, 57, 300):
-            x = np.unique(rng.integers(0, 2**64, size, dtype=np.uint64))
-            for cut in range(size):
-                y = np.unique(np.concatenate([x[cut:], rng.integers(0, 2**64, rng.integers(0, cut + 1), dtype=np.uint64)]))
-                both = len(np.intersect1d(x, y))
-                if 100 * both >= percent * (len(x) + len(y) - both):
-                    (a, least), (b, other) = ngram_join.keys_of(x, percent), ngram_join.keys_of(y, percent)
-                    assert len(set(a.tolist()) & set(b.tolist())) >= max(1, least, other)
+        for size in range(1, 13):
+            apart, parts, _ = ngram_join.parts_of(ngram_join.band_of(size), percent)
+            for filling in itertools.islice(itertools.combinations_with_replacement(range(parts), size), 3000):
+                many = Counter(filling)
+                x = np.sort(np.array([int((p + (k + 0.5) / 16) * 2**64 / parts) for p, m in many.items() for k in range(m)], np.uint64))
+                a, least = ngram_join.keys_of(x, percent)
+                own = set(a.tolist())
+                for lost in range(len(x)) if 100 * (size - 1) >= percent * size else ():
+                    b, other = ngram_join.keys_of(np.delete(x, lost), percent)
+                    assert len(own & set(b.tolist())) >= max(1, least, other)
+
+
+def test_short_documents_keep_their_links(spark):
+    rng = random.Random(9)
+    rows = [(1, "cfhma bnbjg mmfdm ggemo enaio gichn noggk ibgfl"), (2, "cfhma bnbjg mmfdm ggemo enaio gichn noggk ibgfl dnlej")]
+    for k in range(1000):
+        w = [f"{rng.choice('abcdefgh')}{rng.randint(0, 400)}" for _ in range(rng.randint(3, 14))]
+        rows += [(10 + 2 * k, " ".join(w)), (11 + 2 * k, " ".join(w[rng.randint(0, 1) :] + [f"x{k}"] * rng.randint(0, 1)))]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect())
+    assert got[1] == (2, 5, 1) and got == plain_components(rows, 5, 80)
+
+
+def test_long_lines_take_linear_time(spark):
+    took = {}
+    for n in (10_000, 10_000, 100_000, 1_000_000):
+        x = "".join(f"{i:x} " for i in range(n // 4))[:n]
+        rows = [(1, x + "a"), (2, "other line that is long enough\n" + x + "b"), (3, x[:-3] + "x" + x[-2:] + "b"), (4, x[1:] + "a"), (5, x + "bcd")]
+        began = time.time()
+        got = {r.doc_id: r["n_dropped"] for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), short=True).collect()}
+        took[n] = time.time() - began
+        assert got == {1: 0, 2: 1, 3: 1, 4: 1, 5: 0}
+    assert took[1_000_000] < 12 * (took[100_000] + 2)
+
+
+def test_texts_of_many_lines_take_linear_time(spark):
+    x = "\n".join(f"a line with a number of its own {i}x{i * 7919}" for i in range(20_000))
+    began = time.time()
+    got = {r.doc_id: r.n_dropped for r in line_dedup.line_dedup(spark.createDataFrame([(1, x), (2, x)], "doc_id long, text string"), short=True).collect()}
+    assert got == {1: got[1], 2: 20_000} and time.time() - began < 60
+
+
+def test_one_edit_of_long_lines(spark):
+    rng, rows = random.Random(4), []
+    for _ in range(300):
+        a = "".join(rng.choice("abü漢") for _ in range(rng.randint(0, 8))) * rng.choice([1, 60])
+        b = list(a)
+        for _ in range(rng.randint(0, 2)):
+            k = rng.randint(0, len(b))
+            b[k : k + rng.randint(0, 1)] = rng.choice([[], ["x"], ["a"]])
+        rows.append((a, "".join(b)))
+    got = spark.createDataFrame(rows, "a string, b string").select("a", "b", line_dedup.within_one_edit("a", "b").alias("near")).collect()
+
+    def plain(a, b):
+        return a == b or any(a[:k] + a[k + 1 :] == b for k in range(len(a))) or any(b[:k] + b[k + 1 :] == a for k in range(len(b))) or (len(a) == len(b) and sum(x != y for x, y in zip(a, b, strict=True)) == 1)
+
+    assert all(r.near == plain(r.a, r.b) for r in got) and {r.near for r in got} == {True, False}
 
 
 def test_long_words_stay_apart(spark):
