@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.functions import classes
 from fieldloom.operators import stats
+from fieldloom.operators.cells import neighbourhood
 
 # Fixed value: the height from which a cell is forest by the international definition, in metres.
 FOREST_HEIGHT = 5.0
@@ -48,3 +49,30 @@ def with_density(trees: DataFrame, species: str, densities: DataFrame, default:
     known = densities.select(F.col("species").alias("known_species"), F.col("density").cast("double").alias("known_density"))
     x = trees.join(known, F.col(species) == F.col("known_species"), "left")
     return x.withColumn("density", F.coalesce("known_density", F.lit(default))).drop("known_species", "known_density")
+
+
+def crown_width(height: Column) -> Column:
+    """Expected width of a crown (m) by the tree's height (m). 3.75105, -0.17919 and 0.01241."""
+    return 3.75105 - 0.17919 * height + 0.01241 * height * height
+
+
+def tree_tops(cells: DataFrame, height: str, least: float, cell: float) -> DataFrame:
+    """row, col, height and radius of the cells of the least height or more that no cell within their own expected crown exceeds; of equals, the first in scan order stays.
+
+    The crown's radius counts in whole cells, one at least. Cells that a direct neighbour beats are out before the others look
+    around, each as far as its own radius.
+    """
+    x = cells.select("row", "col", F.col(height).cast("double").alias("v")).where("v is not null and not isnan(v)")
+    around = neighbourhood(x, "v")
+    before, after = [F.coalesce(F.col(k) >= F.col("e"), F.lit(False)) for k in "abcd"], [F.coalesce(F.col(k) > F.col("e"), F.lit(False)) for k in "fghi"]
+    # A diagonal neighbour is farther than a radius of one.
+    radius = F.greatest(F.lit(1), F.floor(crown_width(F.col("e")) / 2 / cell + 0.5).cast("int"))
+    far = F.col("radius") > 1
+    beaten = before[1] | before[3] | after[0] | after[2] | (far & (before[0] | before[2] | after[1] | after[3]))
+    tops = around.where(F.col("e") >= least).withColumn("radius", radius).where(~beaten).select("row", "col", "e", "radius")
+    steps = F.sequence(-F.col("radius"), F.col("radius"))
+    wide = tops.where("radius > 1")
+    looks = wide.withColumn("i", F.explode(steps)).withColumn("j", F.explode(steps)).where("i * i + j * j <= radius * radius and (i <> 0 or j <> 0)")
+    looks = looks.select(F.col("row").alias("r"), F.col("col").alias("c"), "e", (F.col("row") + F.col("i")).alias("row"), (F.col("col") + F.col("j")).alias("col"), ((F.col("i") < 0) | ((F.col("i") == 0) & (F.col("j") < 0))).alias("earlier"))
+    lost = looks.join(x, ["row", "col"]).where((F.col("v") > F.col("e")) | ((F.col("v") == F.col("e")) & F.col("earlier"))).select(F.col("r").alias("row"), F.col("c").alias("col")).distinct()
+    return tops.join(lost, ["row", "col"], "left_anti").select("row", "col", F.col("e").alias(height), "radius")

@@ -83,12 +83,6 @@ def strahler(cells: DataFrame, edges: DataFrame) -> DataFrame:
         known = cut(known.union(new))
 
 
-def chamfer(r: Column, c: Column) -> Column:
-    """Distance of an offset by the 3-4 chamfer, in cells."""
-    a, b = F.abs(r), F.abs(c)
-    return (4 * F.least(a, b) + 3 * (F.greatest(a, b) - F.least(a, b))) / 3
-
-
 def dilate(cells: DataFrame, radius: int) -> DataFrame:
     """All cells within a square of the radius around the given ones."""
     steps = F.sequence(F.lit(-radius), F.lit(radius))

@@ -1,4 +1,4 @@
-"""Whole grids in square tiles with one cell of their neighbours around: filling of depressions, flow to two neighbours by the steepest facet, and what reaches an outlet.
+"""Whole grids in square tiles with one cell of their neighbours around: filling of depressions, distances, flow to two neighbours by the steepest facet, and what reaches an outlet.
 
 A tile is one row with a padded array, so no task holds more than some tiles, however large the grid. What must cross from tile to
 tile travels in rounds, a tile a round at least; only tiles that hear something new work in a round.
@@ -20,7 +20,6 @@ from fieldloom.session import cut
 SIZE = 256
 #: The least gradient of filled levels: so much a cell, or this share of a level.
 LEAST_STEP, LEAST_SHARE = 1e-6, 1e-12
-Arrays = Callable[[pd.Series, np.ndarray], Iterator[pd.DataFrame]]
 
 
 def tiles(cells: DataFrame, value: str, size: int = SIZE) -> DataFrame:
@@ -83,11 +82,11 @@ def _part(i: int, n: int, margin: bool) -> slice:
     return (slice(0, 1) if i < 0 else slice(n - 1, n)) if margin else (slice(1, 2) if i < 0 else slice(n - 2, n - 1))
 
 
-def filled(cells: DataFrame, value: str, size: int = SIZE, rounds: list[int] | None = None) -> DataFrame:
-    """row, col, value and level of a whole grid: depressions are raised to where water can leave, and a least gradient leads there.
+def spread(cells: DataFrame, value: str, within: Callable[[np.ndarray, np.ndarray], np.ndarray], size: int = SIZE, rounds: list[int] | None = None) -> DataFrame:
+    """row, col, value and level of a whole grid, where within(z, around) gives a tile's padded levels for its values and those of its margin, and levels can only fall.
 
     Between rounds only levels along the tiles' sides are kept; a tile that hears of lower ones works out its levels again. So rounds are
-    as many as tiles follow each other on the way out. rounds, if given, gets how many tiles worked in each.
+    as many as tiles follow each other along the way that levels take. rounds, if given, gets how many tiles worked in each.
     """
     grid = tiles(cells, value, size)
     to = ["tr", "tc", "di", "dj"]
@@ -104,7 +103,7 @@ def filled(cells: DataFrame, value: str, size: int = SIZE, rounds: list[int] | N
             for tr, tc, z, held in zip(b.tr, b.tc, b.z, b.held, strict=True):
                 z = padded(z)
                 n = len(z)
-                x = relaxed(z, margins(held, n))
+                x = within(z, margins(held, n))
                 for i, j in NEIGHBOURS:
                     v = x[_part(i, n, False), _part(j, n, False)]
                     if np.isfinite(v).any():
@@ -116,7 +115,7 @@ def filled(cells: DataFrame, value: str, size: int = SIZE, rounds: list[int] | N
             for tr, tc, z, held in zip(b.tr, b.tc, b.z, b.held, strict=True):
                 z = padded(z)
                 own = z[1:-1, 1:-1]
-                yield _cells((tr, tc), size, ~np.isnan(own), v=own, level=relaxed(z, margins(held, len(z)))[1:-1, 1:-1])
+                yield _cells((tr, tc), size, ~np.isnan(own), v=own, level=within(z, margins(held, len(z)))[1:-1, 1:-1])
 
     def with_held(x: DataFrame, told: DataFrame) -> DataFrame:
         held = told.groupBy("tr", "tc").agg(F.collect_list(F.struct("di", "dj", "v")).alias("held"))  # eight at most
@@ -139,6 +138,34 @@ def filled(cells: DataFrame, value: str, size: int = SIZE, rounds: list[int] | N
     return with_held(grid, told).mapInPandas(levels, "row int, col int, v double, level double").withColumnRenamed("v", value)
 
 
+def filled(cells: DataFrame, value: str, size: int = SIZE, rounds: list[int] | None = None) -> DataFrame:
+    """row, col, value and level of a whole grid: depressions are raised to where water can leave, and a least gradient leads there."""
+    return spread(cells, value, relaxed, size, rounds)
+
+
+#: Steps to a neighbour, along a row or column and along a diagonal, in thirds of a cell.
+ALONG, DIAGONAL = 3.0, 4.0
+
+
+def chamfered(z: np.ndarray, around: np.ndarray) -> np.ndarray:
+    """Padded distances, in thirds of a cell, from a tile's cells of value 0 or from its margin, whose distances are given."""
+    x = around.copy()
+    x[1:-1, 1:-1] = np.where(z[1:-1, 1:-1] == 0, 0.0, np.inf)
+    here = ~np.isnan(z[1:-1, 1:-1])
+    while True:
+        best = np.minimum.reduce([shifted(x, i, j) + (DIAGONAL if i and j else ALONG) for i, j in NEIGHBOURS])
+        new = np.where(here, np.minimum(x[1:-1, 1:-1], best), np.inf)
+        if (new == x[1:-1, 1:-1]).all():
+            return x
+        x[1:-1, 1:-1] = new
+
+
+def depth(cells: DataFrame, inside: str, size: int = SIZE, rounds: list[int] | None = None) -> DataFrame:
+    """row, col, inside and depth: how many cells it is, by steps of 1 and 4/3 to neighbours, to the nearest cell that isn't inside; null if no path over cells leads to one."""
+    x = spread(cells.withColumn(inside, F.col(inside).cast("int")), inside, chamfered, size, rounds)
+    return x.select("row", "col", F.col(inside).cast("boolean").alias(inside), F.when(F.col("level") < float("inf"), F.col("level") / 3).alias("depth"))
+
+
 # --- Flow by facets.
 
 # The eight facets counter-clockwise from the east: the side neighbour and the corner neighbour (row, col).
