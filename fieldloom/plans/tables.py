@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.functions import classes
 from fieldloom.operators import stats
+from fieldloom.operators import tables as jobs
 from fieldloom.plans.registry import query, table
 from fieldloom.sources import standins
 
@@ -144,3 +145,33 @@ def date_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fieldloom.functions.dates import spacing
 
     return spacing(table(spark, sf_dir, "events").select("event_type", F.col("ts").cast("date").alias("d")), "d", "event_type").select("event_type", F.round("median_gap", 6).alias("median_gap"), "least_gap")
+
+
+def _file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Months as a file of text: month-first dates, numbers with gaps, a name."""
+    m = standins.monthly(spark, sf_dir)
+    last = F.last_day(F.make_date("y", "m", F.lit(1)))
+    value = F.when(F.col("m") % 5 != 0, F.round(F.col("value") / 1e6, 3).cast("string")).otherwise(F.lit("n/a"))
+    return m.select(F.date_format(last, "MM/dd/yyyy").alias("Month"), value.alias("rain_mm"), F.round(F.col("value") / 1e9, 6).cast("string").alias("NDVI mean"), F.lit("plot").alias("site"))
+
+
+FILE = f"""WITH {standins.MONTHLY}, f AS (SELECT last_day(make_date(y, m, 1)) AS d, CASE WHEN m % 5 <> 0 THEN round(value / 1e6, 3) END AS a, round(value / 1e9, 6) AS b FROM monthly),
+long AS (SELECT 'rain_mm' AS "column", 'precip' AS metric, d, a AS v FROM f WHERE a IS NOT NULL UNION ALL SELECT 'NDVI mean', 'ndvi', d, b FROM f)"""
+
+
+@query(FILE + """, x AS (SELECT *, year(d) + (dayofyear(d) - 1) / dayofyear(make_date(year(d), 12, 31)) AS t, lag(d) OVER (PARTITION BY "column" ORDER BY d) AS before FROM long),
+p AS (SELECT a."column", sum(sign(b.v - a.v)) AS s, median((b.v - a.v) / (b.t - a.t)) AS slope FROM x a JOIN x b ON a."column" = b."column" AND a.d < b.d GROUP BY ALL),
+k AS (SELECT "column", sum(c * (c - 1) * (2 * c + 5)) AS ties FROM (SELECT "column", v, count(*) AS c FROM x GROUP BY ALL) GROUP BY ALL),
+g AS (SELECT "column", any_value(metric) AS metric, count(*) AS n, avg(v) AS mean, min(d) AS first, max(d) AS last, median(date_diff('day', before, d)) AS gap, median(v) AS median FROM x GROUP BY ALL),
+z AS (SELECT g.*, s, slope, (s - sign(s)) / sqrt((n * (n - 1) * (2 * n + 5) - ties) / 18.0) AS z FROM g JOIN p USING ("column") JOIN k USING ("column"))
+SELECT "column", metric, (SELECT count(*) FROM f) - n AS missing, n, round(mean, 6) AS mean, round(median, 6) AS median, first, last, gap AS median_gap, CAST(s AS BIGINT) AS s, round(z, 6) AS z, round(slope, 9) AS slope, CASE WHEN abs(z) > 1.959964 THEN CASE WHEN z > 0 THEN 'rising' ELSE 'falling' END ELSE 'none' END AS direction, date_diff('day', first, last) / 365.25 < 1.9 AS short FROM z""")
+def table_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table job over months as a file of text: kinds, time axis with the month first, statistics and trend of each number."""
+    x = jobs.report(jobs.described(_file(spark, sf_dir)))
+    return x.select("column", "metric", "missing", "n", F.round("mean", 6).alias("mean"), F.round("median", 6).alias("median"), "first", "last", "median_gap", "s", F.round("z", 6).alias("z"), F.round("slope", 9).alias("slope"), "direction", "short")
+
+
+@query(FILE + f""" SELECT "column", CASE WHEN metric = 'ndvi' THEN {classes.ladder_sql('CASE WHEN med > 1.5 AND med <= 10000 THEN v / 10000 ELSE v END', classes.NDVI)} ELSE {classes.ladder_sql('v', classes.RAIN)} END AS class, count(*) AS n FROM (SELECT *, median(v) OVER (PARTITION BY "column") AS med FROM long) GROUP BY ALL""")
+def table_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many values of the file's known metrics each class has."""
+    return jobs.class_counts(jobs.described(_file(spark, sf_dir)))
