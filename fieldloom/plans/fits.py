@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.operators import canopy, fits, tiles
+from fieldloom.operators import canopy, fits, regrid, tiles
 from fieldloom.plans.registry import query, table
 from fieldloom.sources import standins
 
@@ -90,3 +90,13 @@ def water_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The threshold of the grid's values, if they have two clear parts, and why; one row. Tests hold the gate against known mixtures."""
     found, why = fits.gated_threshold(standins.grid(spark, sf_dir), "z", (-0.3, 0.3), 0.0)
     return spark.createDataFrame([(found, why)], "threshold double, why string")
+
+
+@query(f"""WITH {standins.GRID}, h AS (SELECT row, col, CASE WHEN (row * 7 + col * 13) % 11 >= 5 AND NOT (row % 50 BETWEEN 20 AND 27 AND col BETWEEN 20 AND 30) THEN z END AS z FROM grid),
+k AS (SELECT h.row, h.col, o.z, row_number() OVER (PARTITION BY h.row, h.col ORDER BY (o.row - h.row) ** 2 + (o.col - h.col) ** 2, o.row, o.col) AS n, o.row AS source_row, o.col AS source_col FROM h JOIN h o ON o.z IS NOT NULL AND o.row BETWEEN h.row - 7 AND h.row + 7 AND o.col BETWEEN h.col - 7 AND h.col + 7)
+SELECT row, col, round(z, 6) AS z, source_row, source_col FROM k WHERE n = 1""")
+def holes_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grid with holes, each filled from the nearest cell that has a value."""
+    hole = ((F.col("row") * 7 + F.col("col") * 13) % 11 < 5) | ((F.col("row") % 50).between(20, 27) & F.col("col").between(20, 30))
+    x = standins.grid(spark, sf_dir).select("row", "col", F.when(~hole, F.col("z")).alias("z"))
+    return regrid.nearest_filled(x, "z").select("row", "col", F.round("z", 6).alias("z"), "source_row", "source_col")

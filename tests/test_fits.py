@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from fieldloom.operators import canopy, fits, tiles
+from fieldloom.operators import canopy, fits, regrid, tiles
 
 
 def column(spark, v, name="v"):
@@ -122,3 +122,17 @@ def test_depth_is_the_chamfer_distance(spark, size):
         assert np.allclose(got.loc[i].sort_index().depth, want) and (got.loc[i].sort_index().inside == inside[i]).all()
     assert tiles.depth(df.where("inside"), "inside", size).where("depth is not null").count() == 0 and rounds[-1] == 0
     assert df.where(F.col("inside")).count() > 3000
+
+
+@pytest.mark.parametrize("share", [0.5, 0.02, 0.0])
+def test_holes_take_the_nearest_value(spark, share):
+    rng = np.random.default_rng(8)
+    z = np.where(rng.random((45, 37)) < share, np.round(rng.random((45, 37)), 6), np.nan)
+    keep = rng.random(z.shape) < 0.9
+    r, c = np.nonzero(keep)
+    got = regrid.nearest_filled(spark.createDataFrame(pd.DataFrame({"row": r, "col": c, "z": z[r, c]}), "row int, col int, z double"), "z").collect()
+    known = [(int(a), int(b)) for a, b in zip(r, c, strict=True) if not np.isnan(z[a, b])]
+    assert len(got) == len(r)
+    for x in got:
+        want = min(known, key=lambda k: ((k[0] - x.row) ** 2 + (k[1] - x.col) ** 2, k), default=None)
+        assert (x.source_row, x.source_col) == (want or (None, None)) and x.z == (z[want] if want else None)
