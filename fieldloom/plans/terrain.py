@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fieldloom.operators import chains, networks, tiles
 from fieldloom.plans.networks import DIRECTED, HIGH, WIDTH, _edges, _high, _ids
 from fieldloom.plans.registry import query
+from fieldloom.session import cut
 from fieldloom.sources import standins
 
 LEVELS = (0.18, 0.25, 0.32)
@@ -87,7 +88,7 @@ ORDERS = "s1 AS (SELECT id FROM cells), " + ", ".join(_higher(k) for k in range(
 @query(DIRECTED + f', cells AS (SELECT CAST(row AS BIGINT) * 64 + col AS id FROM grid), {ORDERS} SELECT id, "order" FROM orders')
 def stream_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strahler's order of every cell of the flow graph: one more at each meeting of two cells of the highest order that flows in."""
-    return chains.stream_orders(_edges(spark, sf_dir), _ids(spark, sf_dir), networks.strahler).select("id", "order")
+    return chains.stream_orders(cut(_edges(spark, sf_dir)), _ids(spark, sf_dir), networks.strahler).select("id", "order")
 
 
 STREAMS = (
@@ -101,10 +102,10 @@ cells AS MATERIALIZED (SELECT id FROM path GROUP BY id HAVING count(*) >= """
 
 def _streams(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Edges and ordered cells of the streams."""
-    edges = _edges(spark, sf_dir)
+    edges = cut(_edges(spark, sf_dir))
     through = networks.flow_accumulation(_ids(spark, sf_dir).withColumn("one", F.lit(1.0)), edges, "one")
     cells = through.where(F.col("total") >= STREAM).select("id")
-    return edges, chains.stream_orders(edges, cells, networks.strahler)
+    return edges, cut(chains.stream_orders(edges, cells, networks.strahler))
 
 
 @query(STREAMS + """, t AS (SELECT "order", CASE WHEN to_ IS NULL THEN 0.0 ELSE sqrt((id // 64 - to_ // 64) ** 2 + (id % 64 - to_ % 64) ** 2) END AS step FROM orders LEFT JOIN edges USING (id)) SELECT "order", count(*) AS cells, round(sum(step), 6) AS length FROM t GROUP BY "order\"""")
@@ -144,11 +145,11 @@ def upslope_dependence(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def hydrology_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole hydrology job: filled levels, flow, streams from 40 cells, and for each order its cells, lines and length, with how many cells were raised and how far."""
-    level = tiles.filled(standins.grid(spark, sf_dir), "z").withColumn("id", F.col("row").cast("long") * WIDTH + F.col("col"))
+    level = cut(tiles.filled(standins.grid(spark, sf_dir), "z").withColumn("id", F.col("row").cast("long") * WIDTH + F.col("col")))
     raised = level.agg(F.count_if(F.col("level") - F.col("z") > 1e-3).alias("raised"), F.round(F.max(F.col("level") - F.col("z")), 6).alias("most_raised"))  # one row
-    edges = networks.downstream(networks.flow_direction(level, "level"), WIDTH)
+    edges = cut(networks.downstream(networks.flow_direction(level, "level"), WIDTH))
     through = networks.flow_accumulation(level.select("id", F.lit(1.0).alias("one")), edges, "one")
-    ordered = chains.stream_orders(edges, through.where("total >= 40").select("id"), networks.strahler)
+    ordered = cut(chains.stream_orders(edges, cut(through.where("total >= 40").select("id")), networks.strahler))
     lines = chains.stream_points(edges, ordered, WIDTH).groupBy("order").agg(F.count_distinct("line").alias("lines"))
     x = chains.stream_lengths(edges, ordered, WIDTH).join(lines, "order", "left")
     return x.join(F.broadcast(raised)).select("order", "cells", F.coalesce("lines", F.lit(0)).alias("lines"), F.round("length", 6).alias("length"), "raised", "most_raised")
