@@ -53,11 +53,11 @@ def _half(lat: str) -> str:
 
 @query(f"""WITH RECURSIVE {TRACKS}, pairs AS (SELECT *, coalesce(lead(lon) OVER w, first_value(lon) OVER w) AS lon2, coalesce(lead(lat) OVER w, first_value(lat) OVER w) AS lat2 FROM tracks WINDOW w AS (PARTITION BY feature ORDER BY i)), {SOLVED},
 a AS (SELECT *, {_half('lat')} AS t1, {_half('lat2')} AS t2, tan(radians((lon2 - lon + 540) - 360 * floor((lon2 - lon + 540) / 360) - 180) / 2) AS h FROM legs)
-SELECT feature, count(*) AS vertices, round(sum(distance), 3) AS length, round(abs(sum({2 * RADIUS**2!r} * atan2(h * (t1 + t2), 1 + t1 * t2))) / 1e6, 4) AS km2, round(avg(lon), 9) AS lon, round(avg(lat), 9) AS lat, min(elevation) AS low, max(elevation) AS high FROM a GROUP BY feature HAVING count(*) >= 3""")
+SELECT feature, count(*) AS vertices, round(sum(distance), 3) AS length, round(abs(sum({2 * RADIUS**2!r} * atan2(h * (t1 + t2), 1 + t1 * t2))) / 1e6, 2) AS km2, round(avg(lon), 9) AS lon, round(avg(lat), 9) AS lat, min(elevation) AS low, max(elevation) AS high FROM a GROUP BY feature HAVING count(*) >= 3""")
 def geodesic_survey(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Perimeter, area, centre and elevations of the tracks as rings."""
     x = geodesy.survey(_tracks(spark, sf_dir, True), "feature")
-    return x.select("feature", "vertices", F.round("length", 3).alias("length"), F.round(F.col("area") / 1e6, 4).alias("km2"), F.round("lon", 9).alias("lon"), F.round("lat", 9).alias("lat"), "low", "high")
+    return x.select("feature", "vertices", F.round("length", 3).alias("length"), F.round(F.col("area") / 1e6, 2).alias("km2"), F.round("lon", 9).alias("lon"), F.round("lat", 9).alias("lat"), "low", "high")
 
 
 def _zoned() -> str:
