@@ -140,16 +140,3 @@ def facet_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
 def upslope_dependence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The share of each cell's flow that reaches one outlet of the filled grid."""
     return tiles.upslope_share(tiles.filled(standins.grid(spark, sf_dir), "z"), "level", (100, 1)).select("row", "col", F.round("share", 9).alias("share"))
-
-
-@query()
-def hydrology_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole hydrology job: filled levels, flow, streams from 40 cells, and for each order its cells, lines and length, with how many cells were raised and how far."""
-    level = cut(tiles.filled(standins.grid(spark, sf_dir), "z").withColumn("id", F.col("row").cast("long") * WIDTH + F.col("col")))
-    raised = level.agg(F.count_if(F.col("level") - F.col("z") > 1e-3).alias("raised"), F.round(F.max(F.col("level") - F.col("z")), 6).alias("most_raised"))  # one row
-    edges = cut(networks.downstream(networks.flow_direction(level, "level"), WIDTH))
-    through = networks.flow_accumulation(level.select("id", F.lit(1.0).alias("one")), edges, "one")
-    ordered = cut(chains.stream_orders(edges, cut(through.where("total >= 40").select("id")), networks.strahler))
-    lines = chains.stream_points(edges, ordered, WIDTH).groupBy("order").agg(F.count_distinct("line").alias("lines"))
-    x = chains.stream_lengths(edges, ordered, WIDTH).join(lines, "order", "left")
-    return x.join(F.broadcast(raised)).select("order", "cells", F.coalesce("lines", F.lit(0)).alias("lines"), F.round("length", 6).alias("length"), "raised", "most_raised")
