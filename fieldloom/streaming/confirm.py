@@ -15,6 +15,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 # Least reference of forest, and the drop that counts.
 FOREST, DROP = 0.5, 0.2
+#: Differences of decimal values carry errors of rounding: 0.4 - 0.6 is a little more than -0.2. What falls short of a drop by less than this is one.
+ROUNDING = 1e-9
 
 OUT = "cell long, since timestamp, confirmed timestamp, value double"
 STATE = "reference double, pending timestamp, last timestamp, done boolean"
@@ -31,7 +33,7 @@ def advance(state: tuple, rows: pd.DataFrame, forest: float = FOREST, drop: floa
         last = at
         if pd.isna(value) or reference < forest or done:
             continue
-        if value - reference <= -drop:
+        if value - reference <= ROUNDING - drop:
             if pending is not None:
                 found.append((pending, at, value))
                 done = True

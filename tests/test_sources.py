@@ -78,3 +78,9 @@ def test_clusters_and_folds(spark):
     shapes = spark.createDataFrame([("w", i) for i in range(7)] + [("f", 100 + i) for i in range(4)], "label string, shape int")
     f = landcover.folds(shapes, "label", "shape").toPandas()
     assert f.fold.max() == 3 and (f.groupby("label").fold.nunique() == 4).all()
+
+
+def test_a_drop_that_rounding_hides_counts():
+    x = pd.DataFrame({"at": pd.to_datetime(["2024-01-01", "2024-01-02"]), "value": [40.0 / 100, 0.082], "reference": [0.6, 0.6]})
+    _, found = confirm.advance((None, None, None, False), x)
+    assert found == [(pd.Timestamp("2024-01-01"), pd.Timestamp("2024-01-02"), 0.082)]
