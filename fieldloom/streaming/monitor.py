@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from fieldloom.streaming.confirm import ROUNDING
+
 # Least reference of forest, and the drop that counts.
 FOREST, DROP = 0.5, 0.2
 
@@ -58,7 +60,7 @@ class Monitor(StatefulProcessor):
             reference = r.reference if reference is None or pd.isna(reference) else reference
             if pd.isna(r.value) or pd.isna(reference) or reference < self.forest or done:
                 continue
-            if r.value - reference > -self.drop:
+            if r.value - reference > ROUNDING - self.drop:
                 pending = None
             elif pending is None or pd.isna(pending):
                 pending = r.at

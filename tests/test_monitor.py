@@ -67,6 +67,11 @@ def test_late_scenes_and_old_references_are_ignored(spark):
     assert replayed(spark, rows, ddl, monitor.monitored, 3) == [(1, 2, day(5), day(7), 0.4)]
 
 
+def test_a_drop_that_rounding_hides_counts(spark):
+    rows = [(1, START, 40.0 / 100, 0.6, 1), (1, START + datetime.timedelta(days=1), 0.082, 0.6, 1)]
+    assert replayed(spark, rows, "cell long, at timestamp, value double, reference double, version int", monitor.monitored, 1) == [(1, 1, START, START + datetime.timedelta(days=1), 0.082)]
+
+
 @pytest.mark.parametrize("triggers", [1, 4, 20])
 def test_sessions_end_by_silence(spark, triggers):
     rng = random.Random(5)
