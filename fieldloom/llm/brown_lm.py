@@ -9,9 +9,11 @@ clustered words so grow with the corpus. Class bigrams are then counted anew. Th
 the class before, times that of the word in its class, each smoothed; a word without a class of its own shares its shape's part by
 counts.
 
-Counts of the most frequent words, at most `sent_words` of them (8 + 2 + 8 + 2 bytes each), go to every worker, and they alone
-have classes of their own. All other words of a text meet their counts in a join, so nothing that grows with the vocabulary beyond
-that bound is broadcast, and no word is left out. Words are told apart by 64-bit hashes.
+Counts of the most frequent words, at most `sent_words` of them (8 + 2 + 8 + 2 bytes each), go to every worker. All other words of
+a text meet their counts in a join, and so do their classes: where words of `least_count` places or more are left beyond that bound
+(far words), Spark gathers their contexts by word, and class bigrams and steps of a text that touch a word unknown to the workers
+meet the far words' classes in joins. So nothing that grows with the vocabulary beyond the bound is broadcast, no word is left out,
+and the scores don't depend on the bound. Words are told apart by 64-bit hashes.
 
 Cases: a null or empty text is its end token alone. Without training texts every count is 0 and all scores are those of the
 smoothing. A null id trains. Repeated rows count and score as often as they stand there. Only the id and the text are read.
@@ -240,6 +242,18 @@ def contexts(texts: DataFrame, vocabulary, of: np.ndarray) -> DataFrame:
     return texts.select("text").mapInArrow(run, "entry int, contexts array<short>, n array<long>")
 
 
+def best_classes(part: np.ndarray, a: np.ndarray, grid: np.ndarray) -> np.ndarray:
+    """The best class of each word, given the counts of its contexts (classes after, then before) and its class so far."""
+    classes, each = len(grid), np.arange(len(part))
+    row, col = part[:, :classes], part[:, classes:]
+    without = np.repeat(grid[None], len(part), axis=0)
+    without[each, a] -= row
+    without[each, :, a] -= col
+    gain = gains(np.maximum(without, 0), row, col, np.zeros(len(part)))
+    best = gain.argmax(axis=1)
+    return np.where(gain[each, best] > gain[each, a] + 1e-9, best, a)
+
+
 def moves(met: DataFrame, grid: np.ndarray, start: np.ndarray) -> DataFrame:
     """entry and its best class, for each entry of contexts(). grid: class bigrams; start: the class of each entry so far.
 
@@ -263,14 +277,7 @@ def moves(met: DataFrame, grid: np.ndarray, start: np.ndarray) -> DataFrame:
             np.add.at(table.reshape(-1), line * 2 * classes + seen.flatten().to_numpy(), b.column(2).flatten().to_numpy())
         for i in range(0, known, 128):
             entry, part = entries[i : min(i + 128, known)], table[i : min(i + 128, known)]
-            row, col = part[:, :classes], part[:, classes:]
-            each, a = np.arange(len(entry)), start[entry].astype(np.int64)
-            without = np.repeat(grid[None], len(entry), axis=0)
-            without[each, a] -= row
-            without[each, :, a] -= col
-            gain = gains(np.maximum(without, 0), row, col, np.zeros(len(entry)))
-            best = gain.argmax(axis=1)
-            best = np.where(gain[each, best] > gain[each, a] + 1e-9, best, a)
+            best = best_classes(part, start[entry].astype(np.int64), grid)
             yield pa.RecordBatch.from_arrays([pa.array(entry), pa.array(best.astype(np.int16))], names=["entry", "class"])
 
     return met.repartition("entry").mapInArrow(run, "entry int, class short")
@@ -282,8 +289,69 @@ def class_of(vocabulary: Vocabulary, entry: np.ndarray, unit: np.ndarray, of: np
     return np.where(known, classes[np.where(known, entry, 0)], of[unit]) if len(classes) else of[unit]
 
 
-def class_bigrams(texts: DataFrame, vocabulary, of: np.ndarray, classes) -> DataFrame:
-    """pair (class before * number of classes + class) and count over all rows' texts."""
+#: A step of a text to a token from the one before it, where one of the two is a word that workers don't know: words (null: known) and classes (of shapes, for those words), and the shape of the token.
+STEP = "word_before long, before int, word long, class int, shape int"
+
+
+def open_steps(w: Words, entry: np.ndarray, unit: np.ndarray, c: np.ndarray, first: int) -> tuple[np.ndarray, list[pa.Array]]:
+    """Which tokens of texts with their ends are met by an open step, and the columns of STEP. c: classes; first: that of an end."""
+    unknown = with_ends(entry < 0, w.counts, False)
+    was = np.concatenate([[False], unknown[:-1]])
+    open_ = unknown | was
+    word, at = with_ends(as_signed(w.hashes), w.counts, 0), np.flatnonzero(open_)
+    before = np.concatenate([[first], c[:-1]])
+    columns = [pa.array(word[at - 1], mask=~was[at]), pa.array(before[at].astype(np.int32)), pa.array(word[at], mask=~unknown[at]), pa.array(c[at].astype(np.int32)), pa.array(with_ends(unit, w.counts, 0)[at].astype(np.int32))]
+    return open_, columns
+
+
+def far_steps(texts: DataFrame, vocabulary, of: np.ndarray, classes) -> DataFrame:
+    """The open steps of all rows' texts; classes: those of the vocabulary's entries."""
+
+    def run(batches):
+        for b in batches:
+            raw = text_bytes(b.column(0))
+            for i, j in chunked(raw):
+                w = Words(raw[i:j], lower=True)
+                entry, unit, _ = vocabulary.value.look_up(w)
+                c = with_ends(class_of(vocabulary.value, entry, unit, of, classes.value), w.counts, of[END])
+                yield pa.RecordBatch.from_arrays(open_steps(w, entry, unit, c, of[END])[1], names=[x.split()[0] for x in STEP.split(", ")])
+
+    return texts.select("text").mapInArrow(run, STEP)
+
+
+def far_moves(steps: DataFrame, far: DataFrame, grid: np.ndarray, of: np.ndarray) -> DataFrame:
+    """word, class and n of each far word (word, shape, n), by the open steps with classes so far; contexts are added up by Spark, so a word is one row of 2 * classes counts at most."""
+    classes = len(grid)
+    sent = far.sparkSession.sparkContext.broadcast((grid, of))
+    after = steps.where("word_before is not null").select(F.col("word_before").alias("word"), F.col("class").alias("context"))
+    before = steps.where("word is not null").select("word", (F.col("before") + classes).alias("context"))
+    seen = after.unionByName(before).groupBy("word", "context").agg(F.count("*").alias("times"))
+    met = seen.join(far, "word").groupBy("word", "shape", "n").agg(F.collect_list("context").alias("contexts"), F.collect_list("times").alias("times"))
+
+    def run(batches):
+        grid, of = sent.value
+        for b in batches:
+            for i in range(0, b.num_rows, 128):
+                x = b.slice(i, 128)
+                part = np.zeros((x.num_rows, 2 * classes))
+                contexts, times = x.column(3), x.column(4)
+                line = np.repeat(np.arange(x.num_rows), np.diff(contexts.offsets.to_numpy()))
+                part[line, contexts.flatten().to_numpy()] = times.flatten().to_numpy()
+                best = best_classes(part, of[x.column(1).to_numpy()].astype(np.int64), grid)
+                yield pa.RecordBatch.from_arrays([x.column(0), pa.array(best.astype(np.int32)), x.column(2)], names=["word", "far", "n"])
+
+    return met.mapInArrow(run, "word long, far int, n long")
+
+
+def with_far(steps: DataFrame, far: DataFrame) -> DataFrame:
+    """Open steps with the far words' (word, far, n) own classes, and whether the token is one."""
+    here, there = far.select("word", "far"), far.select(F.col("word").alias("word_before"), F.col("far").alias("far_before"))
+    x = steps.join(here, "word", "left").join(there, "word_before", "left").withColumn("own", F.col("far").isNotNull())
+    return x.withColumns({"class": F.coalesce("far", "class"), "before": F.coalesce("far_before", "before")})
+
+
+def class_bigrams(texts: DataFrame, vocabulary, of: np.ndarray, classes, far: bool = False) -> DataFrame:
+    """pair (class before * number of classes + class) and count over all rows' texts; far: without open steps."""
     many = int(of.max()) + 1
 
     def run(batches):
@@ -294,7 +362,8 @@ def class_bigrams(texts: DataFrame, vocabulary, of: np.ndarray, classes) -> Data
                 w = Words(raw[i:j], lower=True)
                 entry, unit, _ = vocabulary.value.look_up(w)
                 c = with_ends(class_of(vocabulary.value, entry, unit, of, classes.value), w.counts, of[END])
-                total += np.bincount(np.concatenate([[of[END]], c[:-1]]) * many + c, minlength=len(total))
+                pair = np.concatenate([[of[END]], c[:-1]]) * many + c
+                total += np.bincount(pair[~open_steps(w, entry, unit, c, of[END])[0]] if far else pair, minlength=len(total))
         pair = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(total[pair])], names=["pair", "n"])
 
@@ -305,10 +374,10 @@ class ClassModel:
     """log10 probabilities: of a class after another, of an entry in its class, and of a shape in its class over the smoothed counts of its words.
 
     grid: class bigrams; of: the class of each unit; classes: that of each entry of the vocabulary; shape_total, shape_words: count of
-    places and of words of each shape, of words without a class of their own; ends: count of ends.
+    places and of words of each shape, of words without a class of their own; ends: count of ends; far: smoothed counts of the far words of each class.
     """
 
-    def __init__(self, grid: np.ndarray, of: np.ndarray, vocabulary: Vocabulary, classes: np.ndarray, shape_total: np.ndarray, shape_words: np.ndarray, ends: int, smooth: float = 2.0) -> None:
+    def __init__(self, grid: np.ndarray, of: np.ndarray, vocabulary: Vocabulary, classes: np.ndarray, shape_total: np.ndarray, shape_words: np.ndarray, ends: int, smooth: float = 2.0, far: np.ndarray | None = None) -> None:
         self.of, self.classes, many = of, classes, len(grid)
         share = (grid.sum(axis=0) + 0.5) / (grid.sum() + 0.5 * many)
         self.after = np.log10((grid + smooth * many * share) / (grid.sum(axis=1, keepdims=True) + smooth * many))
@@ -317,10 +386,17 @@ class ClassModel:
         mass = np.bincount(of[:SHAPES], weights=shape_total + 0.5, minlength=many)
         mass += np.bincount(classes[self.single], weights=n[self.single], minlength=many)
         mass[of[END]] += ends + 0.5
+        if far is not None:
+            mass += far
+        self.mass = np.log10(mass)
         self.entry = np.log10(n / mass[classes]) if len(n) else np.empty(0)
         self.shape = np.log10((shape_total + 0.5) / mass[of[:SHAPES]]) - np.log10(shape_total + 0.5 * (shape_words + 1))
         self.end = np.log10((ends + 0.5) / mass[of[END]])
 
+    def step_part(self, before: np.ndarray, c: np.ndarray, word: np.ndarray, own: np.ndarray, shape: np.ndarray) -> np.ndarray:
+        """What open steps add to known_part: the class after the class before and, where the token is an unknown word, its part of its class without its count."""
+        return self.after[before, c] + np.where(word, np.where(own, -self.mass[c], self.shape[np.minimum(shape, SHAPES - 1)]), 0.0)
+
     def known_part(self, vocabulary: Vocabulary, entry: np.ndarray, unit: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """What is known of each token's log10 probability without its count, for texts that follow each other, with their ends; and the words whose count is still to add."""
         single = (entry >= 0) & self.single[entry] if len(self.single) else np.zeros(len(entry), bool)
@@ -331,6 +407,9 @@ class ClassModel:
 
 _ROWS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("model", pa.float64()), ("words", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))])
 
+_STEP_NAMES = [x.split()[0] for x in STEP.split(", ")]
+_STEPS = pa.field("steps", pa.list_(pa.struct([(x, pa.int64() if x.startswith("word") else pa.int32()) for x in _STEP_NAMES])))
+
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sent_words: int = SENT_WORDS, classes: int = CLASSES, least_count: int = LEAST_COUNT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of docs."""
@@ -353,7 +432,10 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     vocabulary = Vocabulary(*(np.ascontiguousarray(sent.column(c).to_numpy()) for c in ("word", "shape", "n")), least_count)
     spread = spark.sparkContext.broadcast(vocabulary)
     n, w = vocabulary.least
-    shaped = counts.where(F.col("n") < max(least, least_count))
+    # Words that would move but are beyond what is sent.
+    far = counts.where((F.col("n") < least) & (F.col("n") >= least_count))
+    beyond = bool(far.limit(1).count())
+    shaped = counts.where(F.col("n") < least_count)
     if len(vocabulary.top_counts):
         shaped = shaped.where((F.col("n") < n) | ((F.col("n") == n) & (F.col("word") > w)))
     shape_total, shape_words = np.zeros(SHAPES), np.zeros(SHAPES)
@@ -371,10 +453,21 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
         moved = moves(contexts(training, spread, of), member.T @ bigrams @ member, entry_class).toArrow()  # at most sent_words rows
         entry_class = entry_class.copy()
         entry_class[moved.column("entry").to_numpy()] = moved.column("class").to_numpy()
-    grid = np.zeros(member.shape[1] ** 2)
-    pairs = class_bigrams(training, spread, of, spark.sparkContext.broadcast(entry_class)).toArrow()
+    many = member.shape[1]
+    grid, far_mass = np.zeros(many**2), None
+    own_classes = spark.sparkContext.broadcast(entry_class)
+    pairs = class_bigrams(training, spread, of, own_classes, beyond)
+    if beyond:
+        so_far = far_steps(training, spread, of, spark.sparkContext.broadcast(of[vocabulary.unit].astype(np.int16)))
+        far = materialize(far_moves(so_far, far, member.T @ bigrams @ member, of), "far-words")
+        far_mass = np.zeros(many)
+        for r in far.groupBy("far").agg(F.sum(F.col("n") + 0.5).alias("mass")).collect():  # at most a row for a class
+            far_mass[r["far"]] = r["mass"]
+        steps = with_far(far_steps(training, spread, of, own_classes), far).groupBy((F.col("before").cast("long") * many + F.col("class")).alias("pair")).agg(F.count("*").alias("n"))
+        pairs = pairs.unionByName(steps).groupBy("pair").agg(F.sum("n").alias("n"))
+    pairs = pairs.toArrow()
     grid[pairs.column("pair").to_numpy()] = pairs.column("n").to_numpy()
-    model = spark.sparkContext.broadcast(ClassModel(grid.reshape(member.shape[1], -1), of, vocabulary, entry_class, shape_total, shape_words, ends))
+    model = spark.sparkContext.broadcast(ClassModel(grid.reshape(many, -1), of, vocabulary, entry_class, shape_total, shape_words, ends, far=far_mass))
 
     def run(batches):
         log_end = np.log10(ends + 0.5)
@@ -388,6 +481,16 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
                 by_text = lambda x: sums(with_ends(x, w.counts, 0))  # noqa: E731, B023
                 logs = np.where(count >= 0, np.log10(np.maximum(count, 0) + 0.5), 0.0)
                 known, open_ = model.value.known_part(spread.value, entry, unit, w.counts)
+                steps = []
+                if beyond:
+                    # Tokens of open steps get their part when the far words' classes are known.
+                    c = with_ends(class_of(spread.value, entry, unit, of, own_classes.value), w.counts, of[END])
+                    later, columns = open_steps(w, entry, unit, c, of[END])
+                    known = np.where(later, with_ends(np.zeros(len(entry)), w.counts, model.value.end), 0.0) + np.where(later, 0.0, known)
+                    emitted = later & ~with_ends(entry < 0, w.counts, True)
+                    known[emitted] += model.value.entry[with_ends(entry, w.counts, 0)[emitted]]
+                    ends_of = np.concatenate([[0], np.cumsum(later)[np.cumsum(w.counts + 1) - 1]]).astype(np.int32)
+                    steps = [pa.ListArray.from_arrays(pa.array(ends_of), pa.StructArray.from_arrays(columns, names=_STEP_NAMES))]
                 model_sum = sums(known) + by_text(np.where(open_, logs, 0.0))
                 # Words that aren't among the frequent ones, each once for a text.
                 rare = np.flatnonzero(count < 0)
@@ -400,16 +503,26 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
                 times = np.diff(np.append(at, len(word)))
                 offsets = np.concatenate([[0], np.cumsum(np.bincount(owner[at], minlength=len(w.counts)))]).astype(np.int32)
                 lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(x.astype(np.int64))) for x in (word[at], times)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), b.column(2).slice(i, j - i), pa.array(w.counts + 1), pa.array(by_text((count > 0).astype(np.int64)) + int(ends > 0)), pa.array(by_text(logs) + log_end), pa.array(model_sum), *lists], schema=_ROWS)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), b.column(2).slice(i, j - i), pa.array(w.counts + 1), pa.array(by_text((count > 0).astype(np.int64)) + int(ends > 0)), pa.array(by_text(logs) + log_end), pa.array(model_sum), *lists, *steps], schema=_ROWS.append(_STEPS) if beyond else _ROWS)
 
     keyed = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", held_out().alias("held_out"), "text")
-    rows = materialize(keyed.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, model double, words array<long>, times array<long>"), "scores")
+    rows = materialize(keyed.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, model double, words array<long>, times array<long>" + (f", steps array<struct<{STEP.replace(' ', ':').replace(',:', ',')}>>" if beyond else "")), "scores")
     asked = rows.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
     rest = counts.where(F.col("n") < least).select("word", "n")
     met = asked.join(rest, "word", "left").groupBy("row").agg(
         F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more"),
         F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.5))).alias("logs"),
     )
+    if beyond:
+
+        def added(batches):
+            for b in batches:
+                before, c, word, own, shape = (b.column(k).to_numpy(zero_copy_only=False) for k in range(1, 6))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.value.step_part(before, c, word, own, shape))], names=["row", "part"])
+
+        steps = with_far(rows.select("row", F.explode("steps").alias("s")).select("row", "s.*"), far)
+        parts = steps.select("row", "before", "class", F.col("word").isNotNull().alias("word"), "own", "shape").mapInArrow(added, "row long, part double")
+        rows = rows.drop("steps").join(parts.groupBy("row").agg(F.sum("part").alias("part")), "row", "left").withColumn("model", F.col("model") + F.coalesce("part", F.lit(0.0))).drop("part")
     nothing = float(np.log10(tokens + 0.5 * (distinct + 1)))
     logs = F.coalesce("logs", F.lit(0.0))
     return rows.drop("words", "times").join(met, "row", "left").select(

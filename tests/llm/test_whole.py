@@ -88,6 +88,19 @@ def test_words_beyond_the_units_get_classes(spark):
     assert 12 < own < 18.1 and own > shapes + 5
 
 
+def test_scores_do_not_depend_on_how_many_words_are_sent(spark):
+    """Of 1,800 words some 1,000 are sent and the others, all frequent enough for a class, meet theirs in joins; so do words of one place, none of which is."""
+    rng = random.Random(6)
+    kinds = [[f"{k}{i:04d}zz" for i in range(900)] for k in "ab"]
+    texts = [" ".join([rng.choice(kinds[(i + j) % 2]) for j in range(60)] + [f"once{i}"] * (i % 3)) for i in range(700)] + [None, "", "never seen"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    scores = lambda **k: {r.doc_id: (r.n_known, r.base_score, r.score) for r in brown_lm.lm_scores(df, **k).collect()}
+    whole, few = scores(), scores(sent_words=1200)
+    assert whole.keys() == few.keys()
+    for i, x in whole.items():
+        assert few[i] == pytest.approx(x, rel=1e-9), i
+
+
 def test_class_model_is_a_distribution():
     rng = np.random.default_rng(5)
     words = np.arange(1, 1201, dtype=np.int64)
