@@ -48,10 +48,23 @@ def every_step(df: DataFrame, order: list[str], most: int) -> DataFrame:
     return positions(df, order).where(F.col("position") % step == 0).drop("rows")
 
 
+def _last(values: tuple[str, ...]) -> list[Column]:
+    """Aggregates: the values of the row of the greatest number. One value needs no struct, so that Spark can add it up in a hash table."""
+    if len(values) == 1:
+        return [F.max_by(values[0], "number").alias(values[0])]
+    s = F.max_by(F.struct(*values), "number")
+    return [s[v].alias(v) for v in values]
+
+
+def last_of_place(shapes: DataFrame, place: list[str], *values: str) -> DataFrame:
+    """place, number and values of the last of the shapes that cover the same cells, as their equal place tells: no other one of them is seen anywhere."""
+    return shapes.groupBy(*place).agg(F.max("number").alias("number"), *_last(values))
+
+
 def last_shape_wins(cells: DataFrame, shapes: DataFrame, inside: Column, *values: str) -> DataFrame:
     """row, col and the values of the shape of the greatest number among those that cover a cell. `inside` is the condition of the join, with an equality on tiles."""
     hit = cells.join(shapes, inside)
-    return hit.groupBy("row", "col").agg(F.max_by(F.struct(*values), "number").alias("s")).select("row", "col", "s.*")
+    return hit.groupBy("row", "col").agg(*_last(values))
 
 
 def regrid_mean(cells: DataFrame, value: str, factor: int) -> DataFrame:

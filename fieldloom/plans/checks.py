@@ -60,9 +60,10 @@ def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH {standins.GRID}, s AS (SELECT p_partkey AS number, p_partkey % 5 AS label, (p_partkey * 3) % 100 AS r, (p_partkey * 7) % 60 AS c, p_size % 5 + 1 AS reach FROM part)
 SELECT row, col, arg_max(label, number) AS label FROM grid JOIN s ON row BETWEEN r AND r + reach AND col BETWEEN c AND c + reach GROUP BY row, col""")
 def burnt_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels of training shapes burnt into cells, the later shape over the earlier. Shapes meet cells by the tiles of 8 cells that they touch."""
+    """Labels of training shapes burnt into cells, the later shape over the earlier. The last shapes of each place and reach meet cells by the tiles of 8 cells that they touch."""
     k = F.col("p_partkey")
     s = table(spark, sf_dir, "part").select(k.alias("number"), (k % 5).alias("label"), (k * 3 % 100).alias("r"), (k * 7 % 60).alias("c"), (F.col("p_size") % 5 + 1).alias("reach"))
+    s = checks.last_of_place(s, ["r", "c", "reach"], "label")
     tiles = lambda a: F.explode(F.sequence(F.floor(a / 8), F.floor((a + F.col("reach")) / 8)))
     s = s.withColumn("tr", tiles(F.col("r"))).withColumn("tc", tiles(F.col("c")))
     g = standins.grid(spark, sf_dir)

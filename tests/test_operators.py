@@ -180,3 +180,15 @@ def test_indices_have_no_infinities(spark, name):
     bands = {k: F.lit(0.0) for k in ("nir", "red", "blue", "green", "swir1", "swir2")}
     v = spark.range(1).select(cells.index(name, **bands)).first()[0]
     assert v is None or math.isfinite(v)
+
+
+def test_only_the_last_shape_of_a_place_meets_cells(spark):
+    from fieldloom.operators import checks
+
+    shapes = spark.range(6000).select(F.col("id").alias("number"), (F.col("id") % 4).alias("r"), F.when(F.col("id") % 5 > 0, F.col("id") % 7).alias("label"))
+    last = checks.last_of_place(shapes, ["r"], "label")
+    assert sorted(tuple(r) for r in last.select("r", "number", "label").collect()) == [(0, 5996, 4), (1, 5997, 5), (2, 5998, 6), (3, 5999, 0)]
+    cells = spark.range(6).select(F.col("id").alias("row"), F.lit(0).alias("col"))
+    inside = F.col("row").between(F.col("r"), F.col("r") + 1)
+    burnt = lambda s: sorted(tuple(r) for r in checks.last_shape_wins(cells, s, inside, "label").collect())
+    assert burnt(last) == burnt(shapes) == [(0, 0, 4), (1, 0, 5), (2, 0, 6), (3, 0, 0), (4, 0, 0)]
