@@ -12,6 +12,7 @@ from fieldloom.functions.dist import t_quantile
 from fieldloom.operators.carbon import CARBON, CO2
 from fieldloom.operators.cells import otsu
 from fieldloom.operators.stats import finite, quantiles
+from fieldloom.session import kept
 
 #: Bins of the histogram that a mixture is fitted to.
 BINS = 2048
@@ -88,6 +89,7 @@ def residual(fit: dict[str, float], before: Column, after: Column) -> Column:
 
 def change_magnitude(df: DataFrame, bands: list[tuple[str, str]], sensitivity: float = 3.0) -> tuple[DataFrame, float]:
     """df with magnitude, the root mean square of the bands' residuals (0 where one is missing), and changed, whether it exceeds the threshold, which is returned too: the median and `sensitivity` robust deviations (a quarter at least) of all magnitudes, 2.5 at least."""
+    df = kept(df, "bands")  # some forty passes read it
     whole = F.lit(True)
     for a, b in bands:
         whole = whole & F.coalesce(finite(a).isNotNull() & finite(b).isNotNull(), F.lit(False))

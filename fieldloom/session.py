@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +28,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder or "file://" + tempfile.mkdtemp(prefix="fieldloom-")
 
 
+def kept(df: DataFrame, name: str = "kept") -> DataFrame:
+    """Writes df to the shared folder and reads it back: for a table of which passes read some columns again and again."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext

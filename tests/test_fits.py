@@ -136,3 +136,15 @@ def test_holes_take_the_nearest_value(spark, share):
     for x in got:
         want = min(known, key=lambda k: ((k[0] - x.row) ** 2 + (k[1] - x.col) ** 2, k), default=None)
         assert (x.source_row, x.source_col) == (want or (None, None)) and x.z == (z[want] if want else None)
+
+
+def test_images_are_worked_out_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(k):
+        seen.add(1)
+        return float(k * 7919 % 101)
+
+    x = spark.range(200).select("id", F.udf(told, "double")("id").alias("a")).withColumn("b", F.col("a") * 2 + F.col("id") % 3)
+    fits.change_magnitude(x, [("a", "b")])[0].count()
+    assert seen.value == 200
