@@ -79,8 +79,8 @@ WITH x AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) A
 s AS (SELECT *, sum(CASE WHEN before IS NULL OR ts - before > INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM x)
 SELECT user_id AS user, min(ts) AS began, max(ts) AS ended, count(*) AS n FROM s GROUP BY user_id, session HAVING max(ts) + INTERVAL 6 HOUR <= any_value(newest)""")
 def silent_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions that six hours of silence ended, by timers of a stream; those still open aren't there."""
+    """Sessions that six hours of silence ended, by session windows of a stream; those still open aren't there."""
     monitor.stateful(spark)
     x = table(spark, sf_dir, "events").select(F.col("user_id").alias("user"), F.col("ts").cast("timestamp").alias("at"))
-    found = replay_in_order(spark, x, "at", lambda s: monitor.silent_sessions(s))
+    found = replay_in_order(spark, x, "at", lambda s: monitor.ended_sessions(s))
     return found.select("user", F.col("began").cast("timestamp_ntz").alias("began"), F.col("ended").cast("timestamp_ntz").alias("ended"), "n")

@@ -117,6 +117,12 @@ def silent_sessions(stream: DataFrame, silence: str = "6 hours", late: str = "0
     return stream.withWatermark("at", late).groupBy("user").transformWithStateInPandas(Sessions(ms), SESSIONS, "append", "EventTime")
 
 
+def ended_sessions(stream: DataFrame, silence: str = "6 hours", late: str = "0 seconds") -> DataFrame:
+    """The sessions of silent_sessions without the reason: user, began, ended and n, by Spark's own session windows, whose state never leaves the JVM. For streams of many users."""
+    x = stream.withWatermark("at", late).groupBy("user", F.session_window("at", silence))
+    return x.agg(F.min("at").alias("began"), F.max("at").alias("ended"), F.count("*").alias("n")).select("user", "began", "ended", "n")
+
+
 def retained(df: DataFrame, at: str, kept: dict[str, int], kind: str, now) -> DataFrame:  # noqa: ANN001
     """Rows that are no older than the days kept for their kind; kinds without a number of days are kept."""
     days = F.coalesce(*[F.when(F.col(kind) == k, F.lit(d)) for k, d in kept.items()]) if kept else F.lit(None).cast("int")

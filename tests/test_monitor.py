@@ -89,6 +89,18 @@ def test_sessions_end_by_silence(spark, triggers):
     assert [g[:4] for g in got] == sorted(want) and "timer" in {g[4] for g in got}
 
 
+@pytest.mark.parametrize("triggers", [1, 4])
+def test_session_windows_tell_the_same_sessions(spark, triggers):
+    """Six hours to the microsecond are still one session; no Python state is needed for many users."""
+    rng = random.Random(7)
+    rows = [(u, START + datetime.timedelta(minutes=m)) for u in range(8) for m in sorted(rng.sample(range(4000), 12))]
+    rows += [(50, START), (50, START + datetime.timedelta(hours=6)), (50, START + datetime.timedelta(hours=12, microseconds=1)), (99, START + datetime.timedelta(days=30))]
+    ddl = "user long, at timestamp"
+    assert replayed(spark, rows, ddl, monitor.ended_sessions, triggers) == [g[:4] for g in replayed(spark, rows, ddl, monitor.silent_sessions, triggers)]
+    plan = monitor.ended_sessions(spark.readStream.format("rate").load().selectExpr("value AS user", "timestamp AS at"))._jdf.queryExecution().analyzed().toString()
+    assert "Python" not in plan and "TransformWithState" not in plan
+
+
 def test_retention_by_kind(spark):
     now = datetime.datetime(2024, 6, 1)
     x = spark.createDataFrame([(k, now - datetime.timedelta(days=d)) for k in ("counter", "audit", "other") for d in (0, 2, 400)], "kind string, at timestamp")
