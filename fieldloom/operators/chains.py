@@ -14,6 +14,57 @@ from fieldloom.operators.networks import NEIGHBOURS
 from fieldloom.session import cut
 
 
+#: Numbers of cells that are a block: in it chains are followed in one task.
+BLOCK = 1 << 14
+
+
+def followed(ids: np.ndarray, far: np.ndarray, headed: np.ndarray) -> dict[str, np.ndarray]:
+    """For the elements of a block, each with the one before it (far; headed: it has none): part (the first element of its stretch inside the block, or the least of a ring inside), offset (from there), ring, and least and least_at: the stretch's least element and its offset."""
+    order = np.argsort(ids)
+    ids, far, headed, n = ids[order], far[order], headed[order], len(ids)
+    at = np.minimum(np.searchsorted(ids, far), n - 1)
+    first = headed | (ids[at] != far)
+    back = np.where(first, np.arange(n), at)
+    ring, offset, jump = np.zeros(n, bool), (~first).astype(np.int64), back
+    for _ in range(n.bit_length() + 1):
+        offset, jump = offset + offset[jump], jump[jump]
+    for i in np.flatnonzero(~first[jump]):  # from small to large, so a ring is met at its least element first
+        if not ring[i]:
+            around = [i]
+            while (j := back[around[-1]]) != i:
+                around.append(j)
+            # These go backwards from the first one.
+            ring[around], jump[around], offset[around] = True, i, np.append(0, np.arange(len(around) - 1, 0, -1))
+    own = np.lexsort((offset, jump))
+    starts = np.flatnonzero(np.diff(jump[own], prepend=-1))
+    least = np.empty(n, np.int64)
+    least[jump[own][starts]] = np.minimum.reduceat(own, starts)  # elements are sorted, so the least has the least number
+    least = least[jump]
+    return {"id": ids, "far": far, "headed": headed, "first": first, "part": ids[jump], "offset": offset, "ring": ring, "least": ids[least], "least_at": offset[least]}
+
+
+def ranked_by_blocks(links: DataFrame, block: Callable[[Column], Column], rounds: list[int] | None = None) -> DataFrame:
+    """ranked() for links of numbers: stretches of chains inside a block of numbers are followed in one task each, and only stretches that go on in other blocks meet in rounds. A block must hold few enough elements for a task."""
+    back = links.select(F.col("next").cast("long").alias("id"), F.col("id").cast("long").alias("far"))
+    heads = links.select(F.col("id").cast("long").alias("id")).join(back.select("id"), "id", "left_anti").withColumn("far", F.lit(None).cast("long"))
+    every = back.unionByName(heads).select(block(F.col("id")).alias("block"), "id", F.coalesce("far", F.lit(0)).alias("far"), F.col("far").isNull().alias("headed"))
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(followed(p.id.to_numpy(), p.far.to_numpy(), p.headed.to_numpy()))
+
+    x = cut(every.groupBy("block").applyInPandas(run, "id long, far long, headed boolean, first boolean, part long, offset long, ring boolean, least long, least_at long"))
+    before = x.select(F.col("id").alias("far"), F.col("part").alias("part2"), (F.col("offset") + 1).alias("long"), F.col("least").alias("least2"), F.col("least_at").alias("at2"))
+    ends = x.where("first")
+    go_on = ends.where("not headed").select("id", "far").join(before, "far")
+    start = go_on.select("id", F.col("part2").alias("far"), F.col("long").alias("steps"), F.lit(None).cast("long").alias("head"), F.least("id", "least2").alias("least"), F.when(F.col("least2") < F.col("id"), F.col("long") - F.col("at2")).otherwise(0).cast("long").alias("away"))
+    begin = ends.where("headed").select("id", F.lit(None).cast("long").alias("far"), F.lit(0).cast("long").alias("steps"), F.col("id").alias("head"), F.col("id").alias("least"), F.lit(0).cast("long").alias("away"))
+    met = _jumped(cut(begin.unionByName(start)), rounds).select(F.col("id").alias("part"), "chain", "place", F.col("ring").alias("whole"))
+    y = x.where("not ring").join(met, "part")
+    inside = F.col("whole") & (F.col("least") == F.col("chain")) & (F.col("least_at") <= F.col("offset"))
+    y = y.select("id", "chain", F.when(inside, F.col("offset") - F.col("least_at")).otherwise(F.col("place") + F.col("offset")).alias("place"), F.col("whole").alias("ring"))
+    return y.unionByName(x.where("ring").select("id", F.col("part").alias("chain"), F.col("offset").alias("place"), "ring"))
+
+
 def ranked(links: DataFrame, rounds: list[int] | None = None) -> DataFrame:
     """id, chain, place (from 0) and ring of every element of the links (id, next). An open chain is known by its first element, a ring begins at its least one.
 
@@ -24,7 +75,11 @@ def ranked(links: DataFrame, rounds: list[int] | None = None) -> DataFrame:
     back = links.select(F.col("next").alias("id"), F.col("id").alias("far"))
     first = links.select("id").join(back.select("id"), "id", "left_anti").withColumn("far", F.lit(None).cast(links.schema["id"].dataType))
     x = back.unionByName(first).withColumns({"steps": F.when(F.col("far").isNull(), 0).otherwise(1).cast("long"), "head": F.when(F.col("far").isNull(), F.col("id")), "least": F.least("id", "far")})
-    x = cut(x.withColumn("away", F.when(F.col("far") < F.col("id"), 1).otherwise(0).cast("long")))
+    return _jumped(cut(x.withColumn("away", F.when(F.col("far") < F.col("id"), 1).otherwise(0).cast("long"))), rounds)
+
+
+def _jumped(x: DataFrame, rounds: list[int] | None) -> DataFrame:
+    """The rounds of ranked()."""
     while True:
         there = x.select(F.col("id").alias("far"), F.col("far").alias("far2"), F.col("steps").alias("steps2"), F.col("head").alias("head2"), F.col("least").alias("least2"), F.col("away").alias("away2"))
         y = x.where("head is null").join(there, "far")
@@ -85,16 +140,18 @@ def contour_links(cells: DataFrame, value: str, levels: Sequence[float], width:
 def contour_points(cells: DataFrame, value: str, levels: Sequence[float], width: int) -> DataFrame:
     """level, line (its least crossing), place, x, y and ring: the points of all contour lines in order. A ring begins at its least crossing and comes back to it with one more point."""
     links = cut(contour_links(cells, value, levels, width))
-    key = lambda c: F.struct("level", F.col(c).alias("key"))
-    order = ranked(links.select(key("id").alias("id"), key("next").alias("next")))
-    points = links.select(key("id").alias("id"), "x", "y").unionByName(links.select(key("next").alias("id"), F.col("next_x").alias("x"), F.col("next_y").alias("y")))
-    points = points.groupBy("id").agg(F.min("x").alias("x"), F.min("y").alias("y"))
+    # Crossings of all levels as numbers: the level's place, and the crossing.
+    place = F.array_position(F.array(*[F.lit(float(v)) for v in levels]), F.col("level")) - 1
+    number = lambda c: (place * (1 << 48) + F.col(c)).alias("id")
+    order = ranked_by_blocks(links.select(number("id"), number("next").alias("next")), lambda c: F.floor(c / (2 * BLOCK)))
+    points = links.select(number("id"), "level", F.col("id").alias("key"), "x", "y").unionByName(links.select(number("next"), "level", F.col("next").alias("key"), F.col("next_x").alias("x"), F.col("next_y").alias("y")))
+    points = points.groupBy("id", "level", "key").agg(F.min("x").alias("x"), F.min("y").alias("y"))
     x = cut(order.join(points, "id"))
-    lines = x.groupBy("chain", "ring").agg(F.min("id.key").alias("line"), F.count("*").alias("n"))
+    lines = x.groupBy("chain", "ring").agg(F.min("key").alias("line"), F.count("*").alias("n"))
     # The number of rows of one line is no matter here: the join is by point.
     x = x.join(lines, ["chain", "ring"])
     places = F.when(F.col("ring") & (F.col("place") == 0), F.array(F.col("place"), F.col("n"))).otherwise(F.array("place"))
-    return x.select(F.col("id.level").alias("level"), "line", F.explode(places).alias("place"), "x", "y", "ring")
+    return x.select("level", "line", F.explode(places).alias("place"), "x", "y", "ring")
 
 
 def nice_interval(relief: float, lines: int = 10) -> float:
@@ -138,13 +195,38 @@ def simplified(x: np.ndarray, y: np.ndarray, tolerance: float) -> np.ndarray:
 
 
 def simplify(points: DataFrame, tolerance: float, keys: Sequence[str], order: str = "place") -> DataFrame:
-    """The points (x, y and more) of lines known by the keys that stay when each line is simplified. A line is one group."""
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(order)
-        return p[simplified(p.x.to_numpy(), p.y.to_numpy(), tolerance)]
+    """The points (x, y and more) of lines known by the keys that stay when each line is simplified. A task gets its lines one after the other, many in a batch, and holds one longer than a batch whole."""
+    keys = list(keys)
 
-    return points.groupBy(*keys).applyInPandas(run, points.schema)
+    def kept(parts: list[pd.DataFrame]) -> pd.DataFrame:
+        p = pd.concat(parts, ignore_index=True)
+        edge = np.append(np.flatnonzero(starts(p)), len(p))
+        x, y, keep = p.x.to_numpy(), p.y.to_numpy(), np.ones(len(p), bool)
+        for a, b in zip(edge.tolist(), edge[1:].tolist()):
+            if b - a > 2:
+                keep[a:b] = simplified(x[a:b], y[a:b], tolerance)
+        return p[keep]
+
+    def starts(p: pd.DataFrame) -> np.ndarray:
+        """Whether a row begins a line; the first one does."""
+        return np.any([np.append(True, v[1:] != v[:-1]) for v in (p[k].to_numpy() for k in keys)], axis=0)
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for b in batches:
+            if not len(b):
+                continue
+            last = int(np.flatnonzero(starts(b))[-1])
+            same = bool(held) and all(held[-1][k].iloc[-1] == b[k].iloc[0] for k in keys)
+            if last or not same:
+                if held or last:
+                    yield kept([*held, b[:last]])
+                held = []
+            held.append(b[last:])
+        if held:
+            yield kept(held)
+
+    return points.repartition(*keys).sortWithinPartitions(*keys, order).mapInPandas(run, points.schema)
 
 
 # --- Rings around patches.
@@ -182,7 +264,7 @@ def ring_links(cells: DataFrame, key: str, width: int) -> DataFrame:
 def ring_points(cells: DataFrame, key: str, width: int) -> DataFrame:
     """key, ring (its least side), place, x and y of the corners of every ring around and inside the patches, clockwise around them (y downwards) and the other way around holes; sides without a turn between them are one. x and y count from the grid's upper left corner."""
     links = cut(ring_links(cells, key, width))
-    x = ranked(links.select("id", "next")).select("id", F.col("chain").alias("ring"), "place").join(links, "id").where("turns")
+    x = ranked_by_blocks(links.select("id", "next"), lambda c: F.floor(c / (4 * BLOCK))).select("id", F.col("chain").alias("ring"), "place").join(links, "id").where("turns")
     # A ring's corners keep their order; place counts them.
     return x.select(key, "ring", F.row_number().over(W.partitionBy("ring").orderBy("place")).alias("place"), F.col("next_x").alias("x"), F.col("next_y").alias("y"))
 
@@ -204,7 +286,7 @@ def stream_chains(edges: DataFrame, cells: DataFrame, rounds: list[int] | None =
     inside = edges.join(cells.select("id"), "id", "left_semi").join(cells.select(F.col("id").alias("to")), "to", "left_semi")
     inside = cut(inside.select("id", "to"))
     single = inside.groupBy("to").agg(F.count("*").alias("n")).where("n = 1").select("to")
-    order = ranked(inside.join(single, "to", "left_semi").select("id", F.col("to").alias("next")), rounds).select("id", "chain", "place")
+    order = ranked_by_blocks(inside.join(single, "to", "left_semi").select("id", F.col("to").alias("next")), lambda c: F.floor(c / BLOCK), rounds).select("id", "chain", "place")
     alone = cells.select("id").join(order, "id", "left_anti").select("id", F.col("id").alias("chain"), F.lit(0).cast("long").alias("place"))
     return cut(order.unionByName(alone))
 
