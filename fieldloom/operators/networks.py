@@ -70,13 +70,14 @@ def flow_accumulation(ids: DataFrame, edges: DataFrame, weight: str) -> DataFram
 
 def strahler(cells: DataFrame, edges: DataFrame) -> DataFrame:
     """id and stream order of the cells: 1 at sources, one more where two of the highest order meet. Cells are peeled from the sources down, a round for each step; chains.stream_orders contracts what lies between junctions first."""
-    inflow = edges.groupBy(F.col("to").alias("id")).agg(F.count("*").alias("inflows"))
+    inflow = cut(edges.groupBy(F.col("to").alias("id")).agg(F.count("*").alias("inflows")))
     ready = cut(cells.select("id").join(inflow, "id", "left_anti").withColumn("order", F.lit(1)))
     known = ready
     while True:
-        met = edges.join(known, "id").groupBy(F.col("to").alias("id")).agg(F.count("*").alias("n"), F.max("order").alias("most"), F.max_by(F.lit(1), "order").alias("one"))
-        twice = edges.join(known, "id").join(met.select(F.col("id").alias("to"), "most"), "to").where(F.col("order") == F.col("most")).groupBy(F.col("to").alias("id")).agg(F.count("*").alias("tops"))
-        new = met.join(inflow, "id").where("n = inflows").join(known, "id", "left_anti").join(twice, "id").select("id", (F.col("most") + (F.col("tops") >= 2).cast("int")).alias("order"))
+        # How many of each order flow in, then those of the highest one.
+        met = edges.join(known, "id").groupBy(F.col("to").alias("id"), "order").agg(F.count("*").alias("c"))
+        met = met.groupBy("id").agg(F.sum("c").alias("n"), F.max("order").alias("most"), F.max_by("c", "order").alias("tops"))
+        new = met.join(inflow, "id").where("n = inflows").join(known, "id", "left_anti").select("id", (F.col("most") + (F.col("tops") >= 2).cast("int")).alias("order"))
         new = cut(new)
         if not new.limit(1).count():
             return known
