@@ -7,7 +7,7 @@ tile travels in rounds, a tile a round at least; only tiles that hear something
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -47,6 +47,18 @@ def shifted(x: np.ndarray, i: int, j: int) -> np.ndarray:
     return x[1 + i : x.shape[0] - 1 + i, 1 + j : x.shape[1] - 1 + j]
 
 
+def _box(z: np.ndarray) -> tuple[slice, slice]:
+    """Where a padded tile has cells of its own, with one row and column around them."""
+    here = ~np.isnan(z[1:-1, 1:-1])
+    r, c = np.flatnonzero(here.any(axis=1)), np.flatnonzero(here.any(axis=0))
+    return slice(r[0], r[-1] + 3), slice(c[0], c[-1] + 3)
+
+
+def _each(work: DataFrame, run: Callable[[tuple, pd.Series], pd.DataFrame], schema: str) -> DataFrame:
+    """run(key, row) of every tile. Each tile is a group, so a worker holds one at a time; a batch of rows would hold as many as its partition has."""
+    return work.groupBy("tr", "tc").applyInPandas(lambda key, p: run(key, p.iloc[0]), schema)
+
+
 def _cells(key: tuple, size: int, mask: np.ndarray, **columns: np.ndarray) -> pd.DataFrame:
     r, c = np.nonzero(mask)
     return pd.DataFrame({"row": r + key[0] * size, "col": c + key[1] * size} | {k: v[r, c] for k, v in columns.items()})
@@ -97,25 +109,20 @@ def spread(cells: DataFrame, value: str, within: Callable[[np.ndarray, np.ndarra
             around[_part(h["di"], n, True), _part(h["dj"], n, True)] = np.frombuffer(h["v"], np.float64).reshape(1 if h["di"] else n - 2, 1 if h["dj"] else n - 2)
         return around
 
-    def sides(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for tr, tc, z, held in zip(b.tr, b.tc, b.z, b.held, strict=True):
-                z = padded(z)
-                n = len(z)
-                x = within(z, margins(held, n))
-                for i, j in NEIGHBOURS:
-                    v = x[_part(i, n, False), _part(j, n, False)]
-                    if np.isfinite(v).any():
-                        out.append((tr + i, tc + j, -i, -j, v.tobytes()))
-            yield pd.DataFrame(out, columns=[*to, "v"])
-
-    def levels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for tr, tc, z, held in zip(b.tr, b.tc, b.z, b.held, strict=True):
-                z = padded(z)
-                own = z[1:-1, 1:-1]
-                yield _cells((tr, tc), size, ~np.isnan(own), v=own, level=within(z, margins(held, len(z)))[1:-1, 1:-1])
+    def sides(key: tuple, t: pd.Series) -> pd.DataFrame:
+        z, out = padded(t.z), []
+        n = len(z)
+        x = within(z, margins(t.held, n))
+        for i, j in NEIGHBOURS:
+            v = x[_part(i, n, False), _part(j, n, False)]
+            if np.isfinite(v).any():
+                out.append((key[0] + i, key[1] + j, -i, -j, v.tobytes()))
+        return pd.DataFrame(out, columns=[*to, "v"])
+
+    def levels(key: tuple, t: pd.Series) -> pd.DataFrame:
+        z = padded(t.z)
+        own = z[1:-1, 1:-1]
+        return _cells(key, size, ~np.isnan(own), v=own, level=within(z, margins(t.held, len(z)))[1:-1, 1:-1])
 
     def with_held(x: DataFrame, told: DataFrame) -> DataFrame:
         held = told.groupBy("tr", "tc").agg(F.collect_list(F.struct("di", "dj", "v")).alias("held"))  # eight at most
@@ -124,7 +131,7 @@ def spread(cells: DataFrame, value: str, within: Callable[[np.ndarray, np.ndarra
     told = cut(grid.sparkSession.createDataFrame([], "tr int, tc int, di int, dj int, v binary"))
     work = grid
     while True:
-        said = with_held(work, told).mapInPandas(sides, "tr int, tc int, di int, dj int, v binary").join(grid.select("tr", "tc"), ["tr", "tc"], "left_semi")
+        said = _each(with_held(work, told), sides, "tr int, tc int, di int, dj int, v binary").join(grid.select("tr", "tc"), ["tr", "tc"], "left_semi")
         old = told.select(*to, F.col("v").alias("was"))
         news = cut(said.join(old, to, "left").where(~F.col("v").eqNullSafe(F.col("was"))).drop("was"))
         hear = cut(news.select("tr", "tc").distinct())
@@ -135,7 +142,7 @@ def spread(cells: DataFrame, value: str, within: Callable[[np.ndarray, np.ndarra
             break
         told = cut(told.join(news, to, "left_anti").unionByName(news))
         work = grid.join(hear, ["tr", "tc"], "left_semi")
-    return with_held(grid, told).mapInPandas(levels, "row int, col int, v double, level double").withColumnRenamed("v", value)
+    return _each(with_held(grid, told), levels, "row int, col int, v double, level double").withColumnRenamed("v", value)
 
 
 def filled(cells: DataFrame, value: str, size: int = SIZE, rounds: list[int] | None = None) -> DataFrame:
@@ -149,14 +156,15 @@ ALONG, DIAGONAL = 3.0, 4.0
 
 def chamfered(z: np.ndarray, around: np.ndarray) -> np.ndarray:
     """Padded distances, in thirds of a cell, from a tile's cells of value 0 or from its margin, whose distances are given."""
-    x = around.copy()
-    x[1:-1, 1:-1] = np.where(z[1:-1, 1:-1] == 0, 0.0, np.inf)
-    here = ~np.isnan(z[1:-1, 1:-1])
+    whole = around.copy()
+    whole[1:-1, 1:-1] = np.where(z[1:-1, 1:-1] == 0, 0.0, np.inf)
+    box = _box(z)
+    x, here = whole[box], ~np.isnan(z[box][1:-1, 1:-1])
     while True:
         best = np.minimum.reduce([shifted(x, i, j) + (DIAGONAL if i and j else ALONG) for i, j in NEIGHBOURS])
         new = np.where(here, np.minimum(x[1:-1, 1:-1], best), np.inf)
         if (new == x[1:-1, 1:-1]).all():
-            return x
+            return whole
         x[1:-1, 1:-1] = new
 
 
@@ -262,28 +270,22 @@ def two_way_flow(cells: DataFrame, level: str, dx: float = 1.0, dy: float = 1.0,
         row, col = r - 1 + key[0] * size, c - 1 + key[1] * size
         return pd.DataFrame({"tr": row // size, "tc": col // size, "row": row, "col": col, "amount": total[r, c]})
 
-    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for tr, tc, z in zip(b.tr, b.tc, b.z, strict=True):
-                z = padded(z)
-                own = np.pad(np.where(np.isnan(z[1:-1, 1:-1]), 0.0, area), 1)
-                yield out((tr, tc), passed_down(z, own, dx, dy)[0])
-
-    def more(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for tr, tc, z, told in zip(b.tr, b.tc, b.z, b.told, strict=True):
-                z = padded(z)
-                yield out((tr, tc), passed_down(z, _placed(told, (tr, tc), len(z)), dx, dy)[0])
-
-    def last(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for tr, tc, z, told in zip(b.tr, b.tc, b.z, b.told, strict=True):
-                z = padded(z)
-                own = ~np.isnan(z[1:-1, 1:-1])
-                total, f = passed_down(z, np.pad(np.where(own, area, 0.0), 1) + _placed(told, (tr, tc), len(z)), dx, dy)
-                yield _cells((tr, tc), size, own, level=z[1:-1, 1:-1], facet=f["facet"].astype(np.int32), corner=f["corner"], tangent=f["tangent"], upslope=total[1:-1, 1:-1], catchment=total[1:-1, 1:-1] / f["width"])
-
-    news = cut(grid.mapInPandas(first, TOLD).groupBy("tr", "tc", "row", "col").agg(F.sum("amount").alias("amount")))
+    def first(key: tuple, t: pd.Series) -> pd.DataFrame:
+        z = padded(t.z)
+        own = np.pad(np.where(np.isnan(z[1:-1, 1:-1]), 0.0, area), 1)
+        return out(key, passed_down(z, own, dx, dy)[0])
+
+    def more(key: tuple, t: pd.Series) -> pd.DataFrame:
+        z = padded(t.z)
+        return out(key, passed_down(z, _placed(t.told, key, len(z)), dx, dy)[0])
+
+    def last(key: tuple, t: pd.Series) -> pd.DataFrame:
+        z = padded(t.z)
+        own = ~np.isnan(z[1:-1, 1:-1])
+        total, f = passed_down(z, np.pad(np.where(own, area, 0.0), 1) + _placed(t.told, key, len(z)), dx, dy)
+        return _cells(key, size, own, level=z[1:-1, 1:-1], facet=f["facet"].astype(np.int32), corner=f["corner"], tangent=f["tangent"], upslope=total[1:-1, 1:-1], catchment=total[1:-1, 1:-1] / f["width"])
+
+    news = cut(_each(grid, first, TOLD).groupBy("tr", "tc", "row", "col").agg(F.sum("amount").alias("amount")))
     every = news
     while True:
         many = news.select("tr", "tc").distinct().count()
@@ -291,11 +293,11 @@ def two_way_flow(cells: DataFrame, level: str, dx: float = 1.0, dy: float = 1.0,
             rounds.append(many)
         if not many:
             break
-        news = cut(_told(grid, news).mapInPandas(more, TOLD).groupBy("tr", "tc", "row", "col").agg(F.sum("amount").alias("amount")))
+        news = cut(_each(_told(grid, news), more, TOLD).groupBy("tr", "tc", "row", "col").agg(F.sum("amount").alias("amount")))
         every = cut(every.unionByName(news).groupBy("tr", "tc", "row", "col").agg(F.sum("amount").alias("amount")))
     held = every.groupBy("tr", "tc").agg(F.collect_list(F.struct("row", "col", "amount")).alias("told"))
     x = grid.join(held, ["tr", "tc"], "left").withColumn("told", F.coalesce("told", F.array().cast("array<struct<row:bigint,col:bigint,amount:double>>")))
-    x = x.mapInPandas(last, "row int, col int, level double, facet int, corner double, tangent double, upslope double, catchment double")
+    x = _each(x, last, "row int, col int, level double, facet int, corner double, tangent double, upslope double, catchment double")
     return x.withColumn("wetness", F.log(F.col("catchment") / F.greatest("tangent", F.lit(0.001)))).withColumnRenamed("level", level)
 
 
@@ -304,15 +306,13 @@ def upslope_share(cells: DataFrame, level: str, outlet: tuple[int, int], dx: flo
     grid = tiles(cells, level, size)
     row, col = outlet
 
-    def up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for tr, tc, z, told in zip(b.tr, b.tc, b.z, b.told, strict=True):
-                z = padded(z)
-                n = len(z)
-                inside = tr == row // size and tc == col // size
-                at = (row - tr * size + 1) * n + col - tc * size + 1 if inside else -1
-                found = passed_up(z, _placed(told, (tr, tc), n), at, dx, dy)[1:-1, 1:-1]
-                yield _cells((tr, tc), size, found != 0, amount=found).assign(tr=tr, tc=tc)[["tr", "tc", "row", "col", "amount"]]
+    def up(key: tuple, t: pd.Series) -> pd.DataFrame:
+        (tr, tc), z = key, padded(t.z)
+        n = len(z)
+        inside = tr == row // size and tc == col // size
+        at = (row - tr * size + 1) * n + col - tc * size + 1 if inside else -1
+        found = passed_up(z, _placed(t.told, key, n), at, dx, dy)[1:-1, 1:-1]
+        return _cells(key, size, found != 0, amount=found).assign(tr=tr, tc=tc)[["tr", "tc", "row", "col", "amount"]]
 
     def beyond(x: DataFrame) -> DataFrame:
         """What the tiles around hear: cells in their margins."""
@@ -323,7 +323,7 @@ def upslope_share(cells: DataFrame, level: str, outlet: tuple[int, int], dx: flo
     start = grid.sparkSession.createDataFrame([(row // size, col // size, row, col, 1.0)], TOLD)
     every, told = None, start
     while True:
-        found = cut(_told(grid, told).mapInPandas(up, TOLD))
+        found = cut(_each(_told(grid, told), up, TOLD))
         many = found.select("tr", "tc").distinct().count()
         if rounds is not None:
             rounds.append(many)

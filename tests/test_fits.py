@@ -124,6 +124,20 @@ def test_depth_is_the_chamfer_distance(spark, size):
     assert df.where(F.col("inside")).count() > 3000
 
 
+def test_a_worker_holds_one_tile_at_a_time(spark):
+    """700 tiles of one cell each, half a megabyte a tile: what a worker holds doesn't grow with the tiles of its partition."""
+
+    def held(z, around):
+        x = around.copy()
+        with open("/proc/self/statm") as f:
+            x[1:-1, 1:-1] = np.where(np.isnan(z[1:-1, 1:-1]), np.inf, int(f.read().split()[1]) * 4096 / 1e6)
+        return x
+
+    df = spark.range(700).selectExpr("int(id * 256 + 128) AS row", "128 AS col", "1.0D AS v")
+    got = tiles.spread(df, "v", held).toPandas()
+    assert len(got) == 700 and got.level.max() - got.level.min() < 20
+
+
 @pytest.mark.parametrize("share", [0.5, 0.02, 0.0])
 def test_holes_take_the_nearest_value(spark, share):
     rng = np.random.default_rng(8)
