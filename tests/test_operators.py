@@ -122,6 +122,114 @@ def test_every_break_is_told_and_recovery_is_that_after_the_last():
     assert [b[2] for b in series.harmonic_breaks(t, y)] == [None]
 
 
+class Harmonic:
+    """A line and a yearly harmonic through observations that come in one after the other; only their sums are kept, so one more costs the same however many there were."""
+
+    def __init__(self, origin: float) -> None:
+        self.origin, self.n, self.squares = origin, 0, 0.0
+        self.products, self.against = np.zeros((4, 4)), np.zeros(4)
+
+    def terms(self, t: np.ndarray | float) -> np.ndarray:
+        s = np.asarray(t, float) - self.origin
+        return np.stack([np.ones_like(s), s, np.cos(2 * np.pi * s), np.sin(2 * np.pi * s)], axis=-1)
+
+    def add(self, t: np.ndarray, y: np.ndarray) -> None:
+        x = self.terms(t)
+        self.products += x.T @ x
+        self.against += y @ x
+        self.squares += float(y @ y)
+        self.n += len(y)
+        self.weights = np.linalg.solve(self.products + 1e-9 * np.eye(4), self.against)
+
+    def above(self, t: np.ndarray | float, y: np.ndarray | float) -> np.ndarray | float:
+        return y - self.terms(t) @ self.weights
+
+    def limit(self, k: float, drop: float) -> float:
+        rest = self.squares - 2 * self.weights @ self.against + self.weights @ self.products @ self.weights
+        return max(k * math.sqrt(max(rest, 0.0) / max(self.n - 4, 1)), drop)
+
+    def change(self, years: float) -> float:
+        return float(self.weights[1] * years)
+
+
+def settled(t: np.ndarray, y: np.ndarray, first: int, k: float, drop: float, window: int) -> tuple[Harmonic, int, int] | None:
+    """The model of the first stable window from `first` on, with where the window begins and ends: at least a year and `window` observations; trend, first and last residual within the limit."""
+    ends = np.maximum(np.searchsorted(t, t + 1) + 1, np.arange(len(t)) + window)
+    for begin in range(first, len(t)):
+        if ends[begin] > len(t):
+            return None
+        own = slice(begin, ends[begin])
+        model = Harmonic(t[begin])
+        model.add(t[own], y[own])
+        most = model.limit(k, drop)
+        if abs(model.change(t[own][-1] - t[begin])) < most and np.abs(model.above(t[own][[0, -1]], y[own][[0, -1]])).max() < most:
+            return model, begin, int(ends[begin])
+    return None
+
+
+def plain_breaks(t: np.ndarray, y: np.ndarray, k: float = 3.0, drop: float = 0.1, run: int = 3, window: int = 8) -> list[tuple[float, float, float | None]]:
+    """(time, magnitude, recovery) of every break in one series: `run` observations in a row that fall short of the model by more than the limit.
+
+    Other observations join the model. What follows a break is modelled anew; recovery, the trend over the last stretch as a share of the last
+    drop, is known only for the last break, and only if its stretch has a stable model.
+    """
+    found: list[tuple[float, float, float | None]] = []
+    at = 0
+    while (fitted := settled(t, y, at, k, drop, window)) is not None:
+        model, begin, end = fitted
+        short: list[int] = []
+        for i in range(end, len(t)):
+            if model.above(t[i], y[i]) > -model.limit(k, drop):
+                short.clear()
+                model.add(t[i : i + 1], y[i : i + 1])
+            else:
+                short.append(i)
+            if len(short) == run:
+                break
+        if len(short) < run:
+            if found:
+                found[-1] = (*found[-1][:2], model.change(t[-1] - t[begin]) / -found[-1][1])
+            break
+        at = short[0]
+        found.append((float(t[at]), float(np.mean(model.above(t[short], y[short]))), None))
+    return found
+
+
+def uneven_series(seed, many=60):
+    rng = np.random.default_rng(seed)
+    for n in rng.integers(0, 130, many):
+        t = np.sort(rng.uniform(0, n / 12 + 0.1, n)) if rng.random() < 0.3 else np.arange(n) / 12
+        y = 0.6 + 0.15 * np.cos(2 * np.pi * t) + rng.normal(0, rng.choice([0.01, 0.05, 0.2]), n)
+        for at in rng.integers(0, n + 1, rng.integers(0, 4)):
+            y[at:] -= rng.uniform(-0.2, 0.6)
+        yield t, y
+
+
+def test_breaks_of_many_series_are_those_of_each(spark, monkeypatch):
+    found = 0
+    kinds = [list(uneven_series(seed)) for seed in range(4)]
+    for own in kinds:
+        own = [(t, y) for t, y in own if len(t)]
+        first = np.cumsum([0] + [len(t) for t, _ in own[:-1]])
+        got = series.breaks_of_many(np.concatenate([t for t, _ in own]), np.concatenate([y for _, y in own]), first)
+        want = [(i, n, *b[:2], np.nan if b[2] is None else b[2]) for i, (t, y) in enumerate(own) for n, b in enumerate(plain_breaks(t, y), 1)]
+        found += len(want)
+        np.testing.assert_allclose(np.column_stack(list(got.values())), np.array(want), rtol=1e-6)
+    assert found > 50
+    # Series go on from batch to batch; a task follows many at once.
+    rows = [(f"s{i}", float(a), float(b)) for i, (t, y) in enumerate(kinds[0]) for a, b in zip(t, y)] + [("s0", float("nan"), 1.0), (None, 1.0, 1.0)]
+    want = sorted((f"s{i}", n, b[0]) for i, (t, y) in enumerate(kinds[0]) for n, b in enumerate(plain_breaks(t, y), 1))
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for most in (1, 50, 10**6):
+            monkeypatch.setattr(series, "MANY", most)
+            x = series.seasonal_monitor(spark.createDataFrame(rows, "k string, t double, v double"), "k", "t", "v")
+            assert sorted((r[0], r.number, r["at"]) for r in x.collect()) == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+
+
 def test_hysteresis(spark):
     x = spark.createDataFrame([("a", i, h) for i, h in enumerate([0.0, 1.0, 0.5, 6.0, 5.5, 0.0])], "k string, i int, h double")
     assert tuple(series.ascent(x, "k", "i", "h", 3.0).first()) == ("a", 6.0, 6.0)
