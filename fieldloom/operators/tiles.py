@@ -20,6 +20,8 @@ from fieldloom.session import cut
 SIZE = 256
 #: The least gradient of filled levels: so much a cell, or this share of a level.
 LEAST_STEP, LEAST_SHARE = 1e-6, 1e-12
+#: Where fewer than this part of a tile's cells change, they are followed one by one.
+FEW = 16
 
 
 def tiles(cells: DataFrame, value: str, size: int = SIZE) -> DataFrame:
@@ -71,20 +73,43 @@ def relaxed(z: np.ndarray, around: np.ndarray) -> np.ndarray:
     """Padded levels of a tile: the least ones from which water can leave over the tile's cells next to missing ones or over its margin, whose levels are given.
 
     A cell's level is its value, or that of its lowest neighbour and the least gradient, if that is more. Levels fall from infinity,
-    for all cells at once, until none changes; they are the same in whatever order cells are visited.
+    for all cells at once, until none changes; they are the same in whatever order cells are visited. Once few cells change, only those
+    around them are looked at.
     """
-    own = z[1:-1, 1:-1]
-    here = ~np.isnan(own)
-    edge = here & np.any([np.isnan(shifted(z, i, j)) for i, j in NEIGHBOURS], axis=0)
-    x = around.copy()
-    x[1:-1, 1:-1] = np.where(edge, own, np.inf)
+    box = _box(z)
+    v = z[box]
+    here = ~np.isnan(v[1:-1, 1:-1])
+    edge = here & np.any([np.isnan(shifted(v, i, j)) for i, j in NEIGHBOURS], axis=0)
+    whole = around.copy()
+    whole[1:-1, 1:-1] = np.inf
+    x = np.ascontiguousarray(whole[box])
+    x[1:-1, 1:-1] = np.where(edge, v[1:-1, 1:-1], np.inf)
+    floor = np.where(here & ~edge, v[1:-1, 1:-1], np.inf)  # cells without a level of their own to find never fall below
     while True:
         up = x + np.maximum(LEAST_STEP, np.abs(x) * LEAST_SHARE)
-        best = np.minimum.reduce([shifted(up, i, j) for i, j in NEIGHBOURS])
-        new = np.where(here & ~edge, np.minimum(np.maximum(own, best), x[1:-1, 1:-1]), x[1:-1, 1:-1])
-        if (new == x[1:-1, 1:-1]).all():
-            return x
+        low = np.minimum(np.minimum(up[:-2], up[1:-1]), up[2:])
+        best = np.minimum(np.minimum(low[:, :-2], low[:, 1:-1]), low[:, 2:])  # a cell's own is above its level, so it changes nothing
+        new = np.minimum(np.maximum(floor, best), x[1:-1, 1:-1])
+        fell = new < x[1:-1, 1:-1]
         x[1:-1, 1:-1] = new
+        if np.count_nonzero(fell) * FEW <= fell.size:
+            break
+    flat, width = x.ravel(), x.shape[1]
+    floor, steps = np.pad(floor, 1, constant_values=np.inf).ravel(), np.array([i * width + j for i, j in NEIGHBOURS])
+    near = np.zeros(len(flat), bool)
+    at = np.flatnonzero(np.pad(fell, 1))
+    while len(at):
+        near[(at[:, None] + steps).ravel()] = True
+        c = np.flatnonzero(near)
+        near[c] = False
+        c = c[floor[c] < flat[c]]
+        b = flat[c[:, None] + steps].min(axis=1)
+        new = np.maximum(floor[c], b + np.maximum(LEAST_STEP, np.abs(b) * LEAST_SHARE))
+        fell = new < flat[c]
+        at = c[fell]
+        flat[at] = new[fell]
+    whole[box][1:-1, 1:-1] = x[1:-1, 1:-1]
+    return whole
 
 
 def _part(i: int, n: int, margin: bool) -> slice:
@@ -202,9 +227,20 @@ def facets(level: np.ndarray, dx: float = 1.0, dy: float = 1.0) -> dict[str, np.
     return {"facet": facet, "corner": corner, "tangent": tangent, "width": width}
 
 
+def _facets(level: np.ndarray, dx: float, dy: float) -> dict[str, np.ndarray]:
+    """facets() of a tile, worked out where it has cells."""
+    box = _box(level)
+    inner = tuple(slice(b.start, b.stop - 2) for b in box)
+    shape = (level.shape[0] - 2, level.shape[1] - 2)
+    out = {"facet": np.full(shape, -1, np.int8), "corner": np.zeros(shape), "tangent": np.zeros(shape), "width": np.ones(shape)}
+    for k, x in facets(level[box], dx, dy).items():
+        out[k][inner] = x
+    return out
+
+
 def _shares(level: np.ndarray, dx: float, dy: float) -> tuple[list[int], list[tuple[int, float, int, float] | None], dict]:
     """Cells of a tile (numbers in the padded array) from high to low, and where each one's flow goes: two padded numbers with their shares."""
-    f, n = facets(level, dx, dy), level.shape[1]
+    f, n = _facets(level, dx, dy), level.shape[1]
     own = np.flatnonzero(~np.isnan(level[1:-1, 1:-1]).ravel())
     at = (own // (n - 2) + 1) * n + own % (n - 2) + 1
     order = np.argsort(-level.ravel()[at], kind="stable")
