@@ -4,6 +4,8 @@ import datetime
 import random
 import uuid
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from fieldloom.session import shared_folder
@@ -72,6 +74,95 @@ def test_a_drop_that_rounding_hides_counts(spark):
     assert replayed(spark, rows, "cell long, at timestamp, value double, reference double, version int", monitor.monitored, 1) == [(1, 1, START, START + datetime.timedelta(days=1), 0.082)]
 
 
+def test_state_is_held_by_tiles(spark):
+    """Calls to Python and round trips to the state store are as many as tiles, however many cells there are."""
+    monitor.stateful(spark)
+    at, days, cells = f"{shared_folder(spark).rstrip('/')}/tiles-{uuid.uuid4().hex}", 3, 3000
+    ddl = "cell long, at timestamp, value double, reference double, version int"
+    x = spark.range(days * cells).selectExpr(f"id % {cells} AS cell", f"timestamp'2024-01-01' + make_dt_interval(CAST(id / {cells} AS INT)) AS at", f"IF(id % {cells} % 2 = 0, 0.4D, 0.8D) AS value", "0.8D AS reference", "1 AS version")
+    x.coalesce(1).write.parquet(f"{at}/in")
+    job = monitor.monitored(spark.readStream.schema(ddl).parquet(f"{at}/in")).writeStream.format("parquet").option("checkpointLocation", f"{at}/checkpoint").option("path", f"{at}/out").trigger(availableNow=True).start()
+    job.awaitTermination()
+    assert spark.read.parquet(f"{at}/out").count() == cells / 2
+    assert 0 < max(p["stateOperators"][0]["numRowsTotal"] for p in job.recentProgress) <= 1024
+
+
+def test_a_cell_without_a_name_is_a_cell(spark):
+    rows = [(c, START + datetime.timedelta(days=k), 0.4 + 0.5 * (c == 0), 0.8, 1) for k in range(3) for c in (None, 0, 2**53 + 1)]
+    ddl = "cell long, at timestamp, value double, reference double, version int"
+    for named in (2**53 + 1, None):
+        assert replayed(spark, [r for r in rows if r[0] in (0, named)], ddl, monitor.monitored, 3) == [(named, 1, START, START + datetime.timedelta(days=1), 0.4)]
+
+
+def plain_step(held, rows, found):
+    """One cell's state after its rows, one row at a time."""
+    version, reference, pending, last, done = held
+    for cell, at, value, own, v in sorted(rows, key=lambda r: (r[1], np.inf if np.isnan(r[4]) else r[4])):
+        if last is not None and at <= last:
+            continue
+        last = at
+        if v > version:
+            version, reference, pending, done = int(v), None, None, False
+        if v < version:
+            continue
+        reference = own if reference is None and not np.isnan(own) else reference
+        if np.isnan(value) or reference is None or reference < 0.5 or done:
+            continue
+        if value - reference > 1e-9 - 0.2:
+            pending = None
+        elif pending is None:
+            pending = at
+        else:
+            found.append((cell, version, pending, at, value))
+            done = True
+    return version, reference, pending, last, done
+
+
+def test_cells_of_a_tile_advance_as_each_alone():
+    """Late and equal times, gaps in values, references and versions, older versions, over several triggers."""
+    rng, total = random.Random(11), 0
+    for _ in range(300):
+        state, alone = np.zeros(0, monitor.HELD), {}
+        for trigger in range(rng.randint(1, 4)):
+            rows = [(rng.randrange(4), 8 * trigger + rng.randrange(14), rng.choice([0.1, 0.4, 0.9, np.nan]), rng.choice([0.6, 0.6, 0.3, np.nan]), rng.choice([1, 1, 1, 0, 2, np.nan])) for _ in range(rng.randint(1, 30))]
+            state, found = monitor.advance_tile(state, pd.DataFrame(rows, columns=["cell", "at", "value", "reference", "version"]))
+            want = []
+            for cell in {r[0] for r in rows}:
+                alone[cell] = plain_step(alone.get(cell, (0, None, None, None, False)), [r for r in rows if r[0] == cell], want)
+            assert sorted(found.itertuples(index=False, name=None)) == sorted(want)
+            total += len(want)
+    assert total > 100
+
+
+def test_cells_expire_one_by_one():
+    """A tile's state lives on with any of its cells; a cell's state doesn't."""
+
+    class Held:
+        held = None
+
+        def exists(self):
+            return self.held is not None
+
+        def get(self):
+            return self.held
+
+        def update(self, held):
+            self.held = held
+
+    class Clock:
+        def __init__(self, now):
+            self.getCurrentProcessingTimeInMs = lambda: now
+
+    m = monitor.Monitor(0.5, 0.2, keep_ms=100)
+    m.held = Held()
+    scene = lambda cell, at: pd.DataFrame([(cell, at, 0.4, 0.8, 1)], columns=["cell", "at", "value", "reference", "version"])
+    told = lambda now, *scenes: [tuple(r) for x in m.handleInputRows((0,), iter(scenes), Clock(now)) for r in x.itertuples(index=False)]
+    assert told(1000, scene(1, 10), scene(2, 10)) == []
+    assert told(1050, scene(2, 20)) == [(2, 1, 10, 20, 0.4)]
+    assert told(1100, scene(1, 30)) == []  # 100 ms after its last scene cell 1 starts anew
+    assert told(1149, scene(1, 40), scene(2, 30)) == [(1, 1, 30, 40, 0.4)]  # cell 2 is known and told
+
+
 @pytest.mark.parametrize("triggers", [1, 4, 20])
 def test_sessions_end_by_silence(spark, triggers):
     rng = random.Random(5)
