@@ -70,7 +70,8 @@ def monitored_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
     monitor.stateful(spark)
     e = table(spark, sf_dir, "events")
     x = e.select(F.col("user_id").alias("cell"), F.col("ts").cast("timestamp").alias("at"), F.when(F.col("event_type") != "error", F.col("value") / 100).alias("value"), F.lit(0.6).alias("reference"), (1 + F.month("ts")).alias("version"))
-    found = replay_in_order(spark, x, "at", lambda s: monitor.monitored(s))
+    with monitor.one_trigger(spark):
+        found = replay_in_order(spark, x, "at", lambda s: monitor.monitored(s))
     return found.select("cell", "version", F.col("since").cast("timestamp_ntz").alias("since"), F.col("confirmed").cast("timestamp_ntz").alias("confirmed"), "value")
 
 

@@ -3,11 +3,13 @@
 import datetime
 import random
 import uuid
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
 import pytest
 
+from fieldloom.plans import streams
 from fieldloom.session import shared_folder
 from fieldloom.streaming import monitor
 
@@ -87,6 +89,18 @@ def test_state_is_held_by_tiles(spark):
     assert 0 < max(p["stateOperators"][0]["numRowsTotal"] for p in job.recentProgress) <= 1024
 
 
+def test_runs_of_one_trigger_leave_no_stores_open(spark, tmp_path):
+    """A store that stays open keeps its folder under Spark's local one; the session's setting is as before."""
+    rows = [(u, START + datetime.timedelta(days=k), "view", 30.0) for u in range(20) for k in range(3)]
+    spark.createDataFrame(rows, "user_id long, ts timestamp_ntz, event_type string, value double").write.parquet(f"file://{tmp_path}/events.parquet")
+    local = Path(spark._jvm.org.apache.spark.util.Utils.getLocalDir(spark.sparkContext._jsc.sc().conf()))
+    stores = lambda: set(local.parent.rglob("StateStoreId*"))
+    name = "spark.sql.streaming.stateStore.unloadOnCommit"
+    before, held = stores(), spark.conf.get(name, None)
+    found = streams.monitored_drops(spark, f"file://{tmp_path}")
+    assert found.count() == 20 and stores() <= before and spark.conf.get(name, None) == held
+
+
 def test_a_cell_without_a_name_is_a_cell(spark):
     rows = [(c, START + datetime.timedelta(days=k), 0.4 + 0.5 * (c == 0), 0.8, 1) for k in range(3) for c in (None, 0, 2**53 + 1)]
     ddl = "cell long, at timestamp, value double, reference double, version int"
